@@ -1,161 +1,187 @@
 """Checks of the JSON rules kept with a site.
 
-Every check is a column: ``''`` when the rule is good, else what is wrong.
-Rules are read as variants, because the type of a member decides: a missing
-member takes its default, a member of the wrong type (null included) is an error.
+Every check takes the name of a rule column and gives a column: ``''`` when the
+rule is good, else what is wrong. Rules are read as variants, because the type
+of a member decides: a missing member takes its default, a member of the wrong
+type (null included) is an error. A rule is parsed once per check, bound to ``d``.
 """
 
 from __future__ import annotations
 
-from typing import NamedTuple
-
 from pyspark.sql import Column, functions as F
 
-from gleaner.functions.columns import strip
-
 # The fields of an article; the first two are required.
 REQUIRED_FIELDS = ("content", "title")
 FIELDS = REQUIRED_FIELDS + ("author", "postdate", "tag", "titleimage")
 
+_BLANKS = "'" + "".join(f"\\u{code:04x}" for code in range(33)) + "'"
 
-class Member(NamedTuple):
-    """A rule member: whether its type is acceptable, and its value or default."""
 
-    ok: Column
-    value: Column
+def _strip(text: str) -> str:
+    return f"btrim({text}, {_BLANKS})"
 
 
-def _kind(document: Column, key: str) -> Column:
-    return F.schema_of_variant(F.try_variant_get(document, f"$.{key}", "variant"))
+def _kind(key: str) -> str:
+    return f"schema_of_variant(try_variant_get(d, '$.{key}', 'variant'))"
 
 
-def _text(document: Column, key: str) -> Member:
-    kind = _kind(document, key)
-    value = F.try_variant_get(document, f"$.{key}", "string")
-    return Member(kind.isNull() | (kind == "STRING"), F.when(kind == "STRING", value).otherwise(F.lit("")))
+def _is_text(key: str) -> str:
+    return f"coalesce({_kind(key)}, 'STRING') = 'STRING'"
 
 
-def _whole_number(document: Column, key: str) -> Member:
-    kind = _kind(document, key)
-    value = F.when(
-        kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), F.try_variant_get(document, f"$.{key}", "double")
-    )
-    fits = (value == F.floor(value)) & value.between(-2147483648, 2147483647)
-    return Member(
-        kind.isNull() | F.coalesce(fits, F.lit(False)), F.coalesce(value, F.lit(0.0)).try_cast("int")
+def _text(key: str) -> str:
+    return f"coalesce(try_variant_get(d, '$.{key}', 'string'), '')"
+
+
+def _is_int(key: str) -> str:
+    number = f"try_variant_get(d, '$.{key}', 'double')"
+    return (
+        f"({_kind(key)} IS NULL OR coalesce({_kind(key)} RLIKE '^(BIGINT|DECIMAL|DOUBLE|FLOAT)' "
+        f"AND {number} = floor({number}) AND {number} BETWEEN -2147483648 AND 2147483647, false))"
     )
 
 
-def _verdict(good: Column, message: str) -> Column:
-    return F.when(F.coalesce(good, F.lit(False)), F.lit("")).otherwise(F.lit(message))
+def _int(key: str) -> str:
+    return f"CAST(coalesce(try_variant_get(d, '$.{key}', 'double'), 0) AS BIGINT)"
 
 
-def _path_ok(path: Column) -> Column:
+def _is_path(text: str) -> str:
     """Whether a JSON path is made of steps, each an operator and a name."""
-    steps = F.split(path, " ")
-    operators = F.filter(steps, lambda _, i: i % 2 == 0)
-    return (F.size(steps) % 2 == 0) & F.forall(operators, lambda op: op.isin("|", "||"))
+    steps = f"split({text}, ' ')"
+    return f"(size({steps}) % 2 = 0 AND forall(filter({steps}, (s, i) -> i % 2 = 0), s -> s IN ('|', '||')))"
 
 
-def urlformat_error(rule: Column) -> Column:
-    """List URL template: ``url`` with ``<num>``, http or https, page numbers not negative."""
-    document = F.try_parse_json(rule)
-    url, first, last = _text(document, "url"), _whole_number(document, "numfirst"), _whole_number(document, "numlast")
-    good = (
-        document.isNotNull()
-        & url.ok
-        & first.ok
-        & last.ok
-        & url.value.contains("<num>")
-        & (url.value.startswith("http://") | url.value.startswith("https://"))
-        & (first.value >= 0)
-        & (last.value >= 0)
+def _of_document(column: str, text: str) -> str:
+    return f"transform(array(try_parse_json({column})), d -> {text})[0]"
+
+
+def _fault(column: str, good: str, message: str) -> str:
+    """NULL for a good rule, else the message."""
+    return f"CASE WHEN NOT coalesce({_of_document(column, f'd IS NOT NULL AND {good}')}, false) THEN '{message}' END"
+
+
+def _both(parts: list[str]) -> str:
+    return " AND ".join(parts)
+
+
+def _urlformat(column: str) -> str:
+    url, first, last = _text("url"), _int("numfirst"), _int("numlast")
+    good = _both(
+        [
+            _is_text("url"),
+            _is_int("numfirst"),
+            _is_int("numlast"),
+            f"contains({url}, '<num>')",
+            f"(startswith({url}, 'http://') OR startswith({url}, 'https://'))",
+            f"CASE WHEN {_is_int('numfirst')} AND {_is_int('numlast')} THEN {first} >= 0 AND {last} >= 0 END",
+        ]
     )
-    return _verdict(good, "urlformat rule is not valid")
+    return _fault(column, good, "urlformat rule is not valid")
 
 
-def urlformat_parts(rule: Column) -> tuple[Column, Column, Column]:
-    """Template, first and last page number of a good list URL rule."""
-    document = F.try_parse_json(rule)
-    return (
-        _text(document, "url").value,
-        _whole_number(document, "numfirst").value,
-        _whole_number(document, "numlast").value,
+def _listjson(column: str) -> str:
+    good = f"{_is_text('contenturl')} AND {_is_path(_strip(_text('contenturl')))}"
+    return _fault(column, good, "listjson rule is not valid")
+
+
+def _listhtml(column: str) -> str:
+    good = _both([f"{_is_text(key)} AND {_text(key)} <> ''" for key in ("list", "contenturl")])
+    return _fault(column, good, "listhtml rule is not valid")
+
+
+def _contentjson(column: str) -> str:
+    def field(key: str) -> str:
+        path = _strip(_text(key))
+        optional = "" if key in REQUIRED_FIELDS else f"{path} = '' OR "
+        return f"{_is_text(key)} AND ({optional}{_is_path(path)})"
+
+    return _fault(column, _both([field(key) for key in FIELDS]), "contentjson rule is not valid")
+
+
+def _contenthtml(column: str) -> str:
+    good = [_is_text(key) for key in FIELDS] + [f"{_text(key)} <> ''" for key in REQUIRED_FIELDS]
+    return _fault(column, _both(good), "contenthtml rule is not valid")
+
+
+def _wxconfig(column: str) -> str:
+    good = _both(
+        [
+            _is_text("keyword"),
+            f"{_text('keyword')} <> ''",
+            f"CASE WHEN {_is_int('contenttype')} THEN {_int('contenttype')} IN (0, 1) END",
+        ]
     )
+    return _fault(column, good, "wxconfig rule is not valid")
 
 
-def listjson_error(rule: Column) -> Column:
+def _error(*faults: str) -> Column:
+    return F.expr(f"coalesce({', '.join(faults)}, '')")
+
+
+def urlformat_error(column: str = "urlformat") -> Column:
+    """List URL template: ``url`` with ``<num>``, http or https, page numbers not negative."""
+    return _error(_urlformat(column))
+
+
+def urlformat_parts(column: str = "urlformat") -> Column:
+    """Template, first and last page number of a good list URL rule, as a struct."""
+    parts = f"named_struct('url', {_text('url')}, 'first', {_int('numfirst')}, 'last', {_int('numlast')})"
+    return F.expr(_of_document(column, parts))
+
+
+def listjson_error(column: str = "listjson") -> Column:
     """JSON list rule: the path of the article links."""
-    document = F.try_parse_json(rule)
-    path = _text(document, "contenturl")
-    return _verdict(document.isNotNull() & path.ok & _path_ok(strip(path.value)), "listjson rule is not valid")
+    return _error(_listjson(column))
 
 
-def listhtml_error(rule: Column) -> Column:
+def listhtml_error(column: str = "listhtml") -> Column:
     """HTML list rule: selectors of the list and of the links in it."""
-    document = F.try_parse_json(rule)
-    block, link = _text(document, "list"), _text(document, "contenturl")
-    good = document.isNotNull() & block.ok & link.ok & (block.value != "") & (link.value != "")
-    return _verdict(good, "listhtml rule is not valid")
+    return _error(_listhtml(column))
 
 
-def contentjson_error(rule: Column) -> Column:
+def contentjson_error(column: str = "contentjson") -> Column:
     """JSON article rule: required and optional paths."""
-    document = F.try_parse_json(rule)
-    good = document.isNotNull()
-    for name in FIELDS:
-        member = _text(document, name)
-        path = strip(member.value)
-        good = good & member.ok & (_path_ok(path) if name in REQUIRED_FIELDS else (path == "") | _path_ok(path))
-    return _verdict(good, "contentjson rule is not valid")
+    return _error(_contentjson(column))
 
 
-def contenthtml_error(rule: Column) -> Column:
+def contenthtml_error(column: str = "contenthtml") -> Column:
     """HTML article rule: required and optional selectors."""
-    document = F.try_parse_json(rule)
-    good = document.isNotNull()
-    for name in FIELDS:
-        member = _text(document, name)
-        good = good & member.ok
-        if name in REQUIRED_FIELDS:
-            good = good & (member.value != "")
-    return _verdict(good, "contenthtml rule is not valid")
+    return _error(_contenthtml(column))
 
 
-def wxconfig_error(rule: Column) -> Column:
+def wxconfig_error(column: str = "wxconfig") -> Column:
     """Account rule: a keyword and a content type of 0 or 1."""
-    document = F.try_parse_json(rule)
-    keyword, kind = _text(document, "keyword"), _whole_number(document, "contenttype")
-    good = document.isNotNull() & keyword.ok & kind.ok & (keyword.value != "") & kind.value.isin(0, 1)
-    return _verdict(good, "wxconfig rule is not valid")
+    return _error(_wxconfig(column))
 
 
-def wxconfig_contenttype(rule: Column) -> Column:
+def wxconfig_contenttype(column: str = "wxconfig") -> Column:
     """Content type of a good account rule."""
-    return _whole_number(F.try_parse_json(rule), "contenttype").value
+    return F.expr(_of_document(column, _int("contenttype")))
+
 
+def _one_of(left: str, right: str) -> str:
+    one = f"({_strip(left)} <> '') <> ({_strip(right)} <> '')"
+    return f"CASE WHEN NOT ({one}) THEN 'needs one of {left} and {right}' END"
 
-def _exactly_one(left: Column, right: Column) -> Column:
-    return (strip(left) != "") != (strip(right) != "")
 
+def _if_given(column: str, fault: str) -> str:
+    return f"CASE WHEN {_strip(column)} <> '' THEN {fault} END"
 
-def site_error(urlformat: Column, listjson: Column, listhtml: Column, contentjson: Column, contenthtml: Column) -> Column:
+
+def site_error() -> Column:
     """The first thing wrong with a site's rules, in the order they are needed."""
-    checks = [
-        F.when(urlformat == "", F.lit("urlformat is empty")).otherwise(F.lit("")),
-        urlformat_error(urlformat),
-        F.when(_exactly_one(listjson, listhtml), F.lit("")).otherwise(F.lit("needs one of listjson and listhtml")),
-        F.when(strip(listjson) != "", listjson_error(listjson)).otherwise(F.lit("")),
-        F.when(strip(listhtml) != "", listhtml_error(listhtml)).otherwise(F.lit("")),
-        F.when(_exactly_one(contentjson, contenthtml), F.lit("")).otherwise(
-            F.lit("needs one of contentjson and contenthtml")
-        ),
-        F.when(strip(contentjson) != "", contentjson_error(contentjson)).otherwise(F.lit("")),
-        F.when(strip(contenthtml) != "", contenthtml_error(contenthtml)).otherwise(F.lit("")),
-    ]
-    return F.coalesce(*[F.nullif(check, F.lit("")) for check in checks], F.lit(""))
-
-
-def account_error(wxconfig: Column) -> Column:
+    return _error(
+        "CASE WHEN urlformat = '' THEN 'urlformat is empty' END",
+        _urlformat("urlformat"),
+        _one_of("listjson", "listhtml"),
+        _if_given("listjson", _listjson("listjson")),
+        _if_given("listhtml", _listhtml("listhtml")),
+        _one_of("contentjson", "contenthtml"),
+        _if_given("contentjson", _contentjson("contentjson")),
+        _if_given("contenthtml", _contenthtml("contenthtml")),
+    )
+
+
+def account_error() -> Column:
     """What is wrong with an account site's rule."""
-    return F.when(wxconfig == "", F.lit("wxconfig is empty")).otherwise(wxconfig_error(wxconfig))
+    return _error("CASE WHEN wxconfig = '' THEN 'wxconfig is empty' END", _wxconfig("wxconfig"))

@@ -15,13 +15,12 @@ BLOCK = 10000
 
 def rule_errors(sites: DataFrame, check, column: str) -> DataFrame:
     """``sid`` and what a check says of one rule column."""
-    return sites.select("sid", check(F.col(column)).alias("err"))
+    return sites.select("sid", check(column).alias("err"))
 
 
 def site_errors(sites: DataFrame) -> DataFrame:
     """``sid, err`` of plain sites, enabled or not."""
-    columns = [F.col(name) for name in ("urlformat", "listjson", "listhtml", "contentjson", "contenthtml")]
-    return sites.filter(F.col("isweixin") == 0).select("sid", site_error(*columns).alias("err"))
+    return sites.filter(F.col("isweixin") == 0).select("sid", site_error().alias("err"))
 
 
 def _set(table: DataFrame, **changes: Column) -> DataFrame:
@@ -32,8 +31,7 @@ def _set(table: DataFrame, **changes: Column) -> DataFrame:
 
 def audit_sites(sites: DataFrame) -> DataFrame:
     """Sites after the audit of the plain ones: failures are disabled, good ones marked as listed."""
-    columns = [F.col(name) for name in ("urlformat", "listjson", "listhtml", "contentjson", "contenthtml")]
-    checked = sites.withColumn("_err", F.when(F.col("isweixin") == 0, site_error(*columns)))
+    checked = sites.withColumn("_err", F.when(F.col("isweixin") == 0, site_error()))
     plain, bad = F.col("_err").isNotNull(), F.col("_err") != ""
     return _set(
         checked,
@@ -57,7 +55,7 @@ def audit_listurls(sites: DataFrame, listurls: DataFrame, now: int) -> DataFrame
 
 def audit_account_sites(sites: DataFrame) -> DataFrame:
     """Sites after the audit of the account ones."""
-    checked = sites.withColumn("_err", F.when(F.col("isweixin") == 1, account_error(F.col("wxconfig"))))
+    checked = sites.withColumn("_err", F.when(F.col("isweixin") == 1, account_error()))
     bad = F.col("_err") != ""
     return _set(
         checked,
@@ -75,10 +73,10 @@ def _page_url(number: Column, now: int) -> Column:
 
 def _page_ranges(sites: DataFrame) -> DataFrame:
     """Template and page numbers of the sites with a good rule."""
-    template, first, last = urlformat_parts(F.col("urlformat"))
-    good = sites.filter(urlformat_error(F.col("urlformat")) == "")
-    return good.withColumns(
-        {"_url": template, "_first": first.cast("bigint"), "_last": last.cast("bigint")}
+    good = sites.filter(urlformat_error() == "")
+    read = good.withColumn("_parts", urlformat_parts())
+    return read.withColumns(
+        {"_url": F.col("_parts.url"), "_first": F.col("_parts.first"), "_last": F.col("_parts.last")}
     )
 
 

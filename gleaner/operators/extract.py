@@ -173,7 +173,7 @@ def _gated(pages: DataFrame, part: str, chosen: Column, rule_error: Column) -> D
 
 def _add_html_links(pages: DataFrame, chosen: Column) -> DataFrame:
     rule = F.col("listhtml")
-    gated = _gated(pages, "_html", chosen, rules.listhtml_error(rule))
+    gated = _gated(pages, "_html", chosen, rules.listhtml_error())
     found = _html_links(
         "url", "_html_body", json_text(rule, "list"), json_text(rule, "contenturl"), json_text(rule, "attr")
     )
@@ -187,7 +187,7 @@ def _add_html_links(pages: DataFrame, chosen: Column) -> DataFrame:
 
 def _add_json_links(pages: DataFrame, chosen: Column) -> DataFrame:
     rule = F.col("listjson")
-    added = _gated(pages, "_json", chosen, rules.listjson_error(rule)).withColumns(
+    added = _gated(pages, "_json", chosen, rules.listjson_error()).withColumns(
         {
             "_json_prefix": json_text(rule, "urlprefix"),
             "_json_template": json_text(rule, "extraprefix"),
@@ -268,13 +268,13 @@ def explode_links(linked: DataFrame, *keep: str) -> DataFrame:
 
 def _add_html_fields(pages: DataFrame, chosen: Column) -> DataFrame:
     rule = F.col("contenthtml")
-    gated = _gated(pages, "_html", chosen, rules.contenthtml_error(rule))
+    gated = _gated(pages, "_html", chosen, rules.contenthtml_error())
     return gated.withColumn("_html", _html_fields("url", "_html_body", *[json_text(rule, name) for name in FIELDS]))
 
 
 def _add_json_fields(pages: DataFrame, chosen: Column) -> DataFrame:
     rule = F.col("contentjson")
-    gated = _gated(pages, "_json", chosen, rules.contentjson_error(rule))
+    gated = _gated(pages, "_json", chosen, rules.contentjson_error())
     read = gated.withColumn("_json", _json_fields("_json_body", *[json_text(rule, name) for name in FIELDS]))
     image = F.col("_json.titleimage")
     absolute = resolve_json_link(image, site_root(F.col("url")), folder_url(F.col("url")))

@@ -69,7 +69,7 @@ def due_images(images: DataFrame) -> DataFrame:
 def due_account_sites(sites: DataFrame, now: int) -> DataFrame:
     """Enabled account sites with a good rule whose article list is due."""
     return enabled_sites(sites, 1).filter(
-        (account_error(F.col("wxconfig")) == "") & (F.lit(now) - F.col("schedule") > F.col("lastfetch"))
+        (account_error() == "") & (F.lit(now) - F.col("schedule") > F.col("lastfetch"))
     )
 
 

@@ -56,16 +56,9 @@ def _status() -> Column:
     return result_status(F.col("joberror"), F.col("connecterror"), F.col("parseerror"))
 
 
-def commit_lists(
-    results: DataFrame, sites: DataFrame, listurls: DataFrame, contenturls: DataFrame, now: int
-) -> dict[str, DataFrame]:
-    """List page results: status and errors, counters, site clocks, new articles.
-
-    ``results``: attempt, luid, sid, source, links, duration, joberror,
-    connecterror, parseerror, fetched_at.
-    """
-    last = last_attempts(results, "luid")
-    changes = last.select(
+def commit_list_pages(results: DataFrame, listurls: DataFrame) -> DataFrame:
+    """List pages with source, status, errors and counters of their results."""
+    changes = last_attempts(results, "luid").select(
         "luid",
         "source",
         _status().alias("status"),
@@ -75,13 +68,34 @@ def commit_lists(
         "parseerror",
     )
     counted = add_attempts(listurls, attempts(results.select("luid", "attempt"), "luid"))
+    return update(counted, changes, "luid")
+
+
+def commit_links(results: DataFrame, contenturls: DataFrame, now: int) -> DataFrame:
+    """Articles with the new ones of the links found."""
     links = explode_links(results, "attempt", "luid", "sid").select(
         F.col("attempt").alias("page"), "pos", "luid", "sid", F.col("link").alias("url")
     )
+    return contenturls.unionByName(insert_links(links, contenturls, now))
+
+
+def commit_clocks(results: DataFrame, sites: DataFrame) -> DataFrame:
+    """Sites with their clocks moved to the last of the results."""
+    return move_clocks(sites, latest_fetch(results))
+
+
+def commit_lists(
+    results: DataFrame, sites: DataFrame, listurls: DataFrame, contenturls: DataFrame, now: int
+) -> dict[str, DataFrame]:
+    """List page results: status and errors, counters, site clocks, new articles.
+
+    ``results``: attempt, luid, sid, source, links, duration, joberror,
+    connecterror, parseerror, fetched_at.
+    """
     return {
-        "listurls": update(counted, changes, "luid"),
-        "sites": move_clocks(sites, latest_fetch(results)),
-        "contenturls": contenturls.unionByName(insert_links(links, contenturls, now)),
+        "listurls": commit_list_pages(results, listurls),
+        "sites": commit_clocks(results, sites),
+        "contenturls": commit_links(results, contenturls, now),
     }
 
 
@@ -117,21 +131,13 @@ def _commit_bodies(
     }
 
 
-def commit_articles(
-    results: DataFrame,
-    sites: DataFrame,
-    contenturls: DataFrame,
-    images: DataFrame,
-    articletags: DataFrame,
-    contenttags: DataFrame,
-    now: int,
+def commit_article_rows(
+    results: DataFrame, contenturls: DataFrame, images: DataFrame, now: int
 ) -> dict[str, DataFrame]:
-    """Article results: fields, bodies, images, tags, completeness.
+    """Articles with their fields and bodies, and images with the new ones.
 
-    ``results``: attempt, cuid, sid, url, source, content, title, author,
-    postdate, tag, titleimage, duration, joberror, connecterror, parseerror,
-    fetched_at. The status is fixed before the body is read: a body that
-    cannot be read leaves status 2 with ``parseerror`` set.
+    The status is fixed before the body is read: a body that cannot be read
+    leaves status 2 with ``parseerror`` set.
     """
     last = last_attempts(results, "cuid").withColumn("status", _status())
     done = F.col("status") == DONE
@@ -160,13 +166,36 @@ def commit_articles(
         "source postdate lastupdate title author contenttext contentsource contentabsurl contentlocalurl status "
         "imagefinish connecterror parseerror duration"
     ).split()
-    tagged = last.filter(done).select("cuid", "tag")
-    all_tags = upsert_tags(tagged, articletags)
+    return _commit_bodies(read, contenturls, images, changed, now)
+
+
+def commit_article_tags(results: DataFrame, articletags: DataFrame, contenttags: DataFrame) -> dict[str, DataFrame]:
+    """Tags and their bridge with those of the articles read."""
+    narrow = results.select("attempt", "cuid", "tag", "joberror", "connecterror", "parseerror")
+    tagged = last_attempts(narrow, "cuid").filter(_status() == DONE).select("cuid", "tag")
+    names = upsert_tags(tagged, articletags)
+    return {"articletags": names, "contenttags": upsert_bridge(tagged, names, contenttags)}
+
+
+def commit_articles(
+    results: DataFrame,
+    sites: DataFrame,
+    contenturls: DataFrame,
+    images: DataFrame,
+    articletags: DataFrame,
+    contenttags: DataFrame,
+    now: int,
+) -> dict[str, DataFrame]:
+    """Article results: fields, bodies, images, tags, completeness, site clocks.
+
+    ``results``: attempt, cuid, sid, url, source, content, title, author,
+    postdate, tag, titleimage, duration, joberror, connecterror, parseerror,
+    fetched_at.
+    """
     return {
-        **_commit_bodies(read, contenturls, images, changed, now),
-        "articletags": all_tags,
-        "contenttags": upsert_bridge(tagged, all_tags, contenttags),
-        "sites": move_clocks(sites, latest_fetch(results)),
+        **commit_article_rows(results, contenturls, images, now),
+        **commit_article_tags(results, articletags, contenttags),
+        "sites": commit_clocks(results, sites),
     }
 
 
@@ -210,7 +239,7 @@ def commit_account_articles(
     ).split()
     return {
         **_commit_bodies(rows, contenturls, images, changed, now),
-        "sites": move_clocks(sites, latest_fetch(pages)),
+        "sites": commit_clocks(pages, sites),
     }
 
 
@@ -236,19 +265,33 @@ def commit_images(results: DataFrame, images: DataFrame, contenturls: DataFrame)
     }
 
 
+def _due_lists(pages: DataFrame, sites: DataFrame, now: int) -> DataFrame:
+    """Saved list pages of the account sites that are due, with their content type."""
+    due = due_account_sites(sites, now).select("sid", wxconfig_contenttype().alias("contenttype"))
+    return pages.join(due, "sid")
+
+
+def commit_account_items(pages: DataFrame, sites: DataFrame, contenturls: DataFrame, now: int) -> DataFrame:
+    """Articles with the new ones that the saved lists of due account sites name."""
+    listed = account_items(_due_lists(pages, sites, now), F.col("contenttype"))
+    items = explode_items(listed, "sid").select(
+        F.col("sid").alias("page"), "pos", "sid", "title", F.col("link").alias("url"), "postdate"
+    )
+    return contenturls.unionByName(insert_account_items(items, contenturls, now))
+
+
+def commit_account_clocks(pages: DataFrame, sites: DataFrame, now: int) -> DataFrame:
+    """Sites with the clock and the mark of those whose list was read, in vain or not."""
+    touched = _due_lists(pages.select("sid"), sites, now).select("sid").distinct()
+    return update(sites, touched.select("sid", F.lit(now).alias("lastfetch"), F.lit(1).alias("listcreated")), "sid")
+
+
 def commit_account_lists(pages: DataFrame, sites: DataFrame, contenturls: DataFrame, now: int) -> dict[str, DataFrame]:
     """Saved list pages of due account sites: new articles, clocks, and the mark that a list was read.
 
     ``pages``: one of ``sid, url, body, connecterror`` per site.
     """
-    due = due_account_sites(sites, now).select("sid", wxconfig_contenttype(F.col("wxconfig")).alias("contenttype"))
-    listed = account_items(pages.join(due, "sid"), F.col("contenttype"))
-    items = explode_items(listed, "sid").select(
-        F.col("sid").alias("page"), "pos", "sid", "title", F.col("link").alias("url"), "postdate"
-    )
-    touched = pages.select("sid").join(due, "sid", "left_semi").distinct()
-    clocks = touched.select("sid", F.lit(now).alias("lastfetch"), F.lit(1).alias("listcreated"))
     return {
-        "sites": update(sites, clocks, "sid"),
-        "contenturls": contenturls.unionByName(insert_account_items(items, contenturls, now)),
+        "sites": commit_account_clocks(pages, sites, now),
+        "contenturls": commit_account_items(pages, sites, contenturls, now),
     }

@@ -180,7 +180,7 @@ def _entities(text: str) -> str:
 
 def _words(markup: str) -> str:
     """SQL for the words of simple markup: a block start separates, other tags vanish."""
-    spaced = f"regexp_replace(regexp_replace({markup}, '<(p|br|h1|div|li|article)[ >][^>]*', ' <x', 'g'), '<[^>]*>', '', 'g')"
+    spaced = f"regexp_replace(regexp_replace({markup}, '<(p|br|h1|div|li|article)( [^>]*)?>', ' ', 'g'), '<[^>]*>', '', 'g')"
     return f"trim(regexp_replace({_entities(spaced)}, '[ \t\n\f\r]+', ' ', 'g'))"
 
 
@@ -435,7 +435,7 @@ def _list_results(t):
 )
 def list_results_in_listurls(t):
     """List pages after the results of their fetches."""
-    after = commit.commit_lists(_list_results(t), t.sites, t.state("listurls"), t.contenturls, NOW)["listurls"]
+    after = commit.commit_list_pages(_list_results(t), t.state("listurls"))
     return after.select("luid", "connectcount", "parsecount", "lastupdate", "duration", "status", "source")
 
 
@@ -447,7 +447,7 @@ def list_results_in_listurls(t):
 )
 def list_results_in_contenturls(t):
     """Articles after the results of list page fetches."""
-    after = commit.commit_lists(_list_results(t), t.sites, t.listurls, t.state("contenturls"), NOW)["contenturls"]
+    after = commit.commit_links(_list_results(t), t.state("contenturls"), NOW)
     return after.select("cuid", "luid", "sid", "url", "title", "dateline")
 
 
@@ -457,7 +457,7 @@ def list_results_in_contenturls(t):
 )
 def list_results_in_sites(t):
     """Site clocks after the results of list page fetches."""
-    after = commit.commit_lists(_list_results(t), t.sites, t.listurls, t.contenturls, NOW)["sites"]
+    after = commit.commit_clocks(_list_results(t), t.sites)
     return after.select("sid", "lastfetch", "listcreated")
 
 
@@ -468,10 +468,8 @@ NEW_IMAGES = f"""done AS (SELECT cuid, sid, titleimage FROM v_article_results WH
   added AS (SELECT (SELECT max(imgid) FROM v_images) + row_number() OVER (ORDER BY cuid, kind, pos) AS imgid, * FROM rows)"""
 
 
-def _commit_articles(t):
-    return commit.commit_articles(
-        t.article_results, t.sites, t.state("contenturls"), t.state("images"), t.articletags, t.contenttags, NOW
-    )
+def _commit_rows(t):
+    return commit.commit_article_rows(t.article_results, t.state("contenturls"), t.state("images"), NOW)
 
 
 @query(
@@ -486,7 +484,7 @@ def _commit_articles(t):
 )
 def article_results(t):
     """Articles after the results of their fetches."""
-    return _commit_articles(t)["contenturls"].select(
+    return _commit_rows(t)["contenturls"].select(
         "cuid", "title", "author", "postdate", "status", "contenttext", "contentabsurl", "contentlocalurl", "contentsource",
         "titleimageid", "imagefinish", "connecterror", "parseerror",
     )
@@ -495,7 +493,7 @@ def article_results(t):
 @query("p2_new_images", f"WITH {NEW_IMAGES} SELECT imgid, cuid, sid, urlabs, filename FROM v_images UNION ALL SELECT imgid, cuid, sid, urlabs, filename FROM added")
 def article_images(t):
     """Images after the results of article fetches."""
-    return _commit_articles(t)["images"].select("imgid", "cuid", "sid", "urlabs", "filename")
+    return _commit_rows(t)["images"].select("imgid", "cuid", "sid", "urlabs", "filename")
 
 
 # Tag texts as in the results; the parts of a text come from splitting it without its trailing commas.
@@ -508,7 +506,7 @@ RESULT_TAGS = f"""named AS (SELECT cuid, unnest(range(0, len(names))) AS pos, un
 @query("p2_tags", f"WITH {RESULT_TAGS} SELECT tid, tagname FROM alltags")
 def article_tags(t):
     """Tags after the results of article fetches."""
-    return _commit_articles(t)["articletags"]
+    return commit.commit_article_tags(t.article_results, t.articletags, t.contenttags)["articletags"]
 
 
 @query(
@@ -519,7 +517,7 @@ def article_tags(t):
 )
 def article_bridge(t):
     """The article-tag bridge after the results of article fetches."""
-    return _commit_articles(t)["contenttags"]
+    return commit.commit_article_tags(t.article_results, t.articletags, t.contenttags)["contenttags"]
 
 
 @query(
@@ -588,7 +586,7 @@ DUE_ACCOUNTS = f"SELECT sid, wxconfig LIKE '%:1}}' AS history FROM v_sites WHERE
 )
 def account_lists(t):
     """Articles after reading the lists of due account sites."""
-    after = commit.commit_account_lists(t.site_lists, t.sites, t.state("contenturls"), CLOCK)["contenturls"]
+    after = commit.commit_account_items(t.site_lists, t.sites, t.state("contenturls"), CLOCK)
     return after.select("cuid", "sid", "title", "url", "postdate", "dateline")
 
 
@@ -599,7 +597,7 @@ def account_lists(t):
 )
 def account_clocks(t):
     """Sites after reading the lists of due account sites."""
-    after = commit.commit_account_lists(t.site_lists, t.sites, t.contenturls, CLOCK)["sites"]
+    after = commit.commit_account_clocks(t.site_lists, t.sites, CLOCK)
     return after.select("sid", "lastfetch", "listcreated")
 
 
@@ -663,10 +661,10 @@ def running_completion(t):
 
 
 GAP = 7200
-POLITE = f"""WITH RECURSIVE reqs AS (SELECT DISTINCT user_id + 1 AS sid, CAST(floor(epoch(ts)) AS BIGINT) AS at FROM events),
-  admitted AS (SELECT sid, min(at) AS at FROM reqs GROUP BY sid
-    UNION ALL SELECT a.sid, min(r.at) FROM admitted a JOIN reqs r ON r.sid = a.sid AND r.at > a.at + {GAP} GROUP BY a.sid)
-  SELECT sid, at FROM admitted"""
+POLITE = f"""WITH RECURSIVE reqs AS (SELECT DISTINCT user_id + 1 AS sid, CAST(floor(epoch(ts)) AS BIGINT) AS moment FROM events),
+  admitted AS (SELECT sid, min(moment) AS moment FROM reqs GROUP BY sid
+    UNION ALL SELECT a.sid, min(r.moment) FROM admitted a JOIN reqs r ON r.sid = a.sid AND r.moment > a.moment + {GAP} GROUP BY a.sid)
+  SELECT sid, moment AS "at" FROM admitted"""
 
 
 @query("st4_polite_requests", POLITE)
