@@ -54,7 +54,6 @@ TOKEN = re.compile(
     re.S,
 )
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))?)?")
-SPACES = re.compile(r"[ \t\n\f\r]+")
 BLANKS = "".join(map(chr, range(33)))
 
 
@@ -113,7 +112,8 @@ def parse(page: str) -> Element:
         start = token.start() if token else len(page)
         if start > at:
             text = page[at:start]
-            in_body = in_body or not text.isspace()
+            if not in_body:
+                in_body = not text.isspace()
             if in_body:
                 stack[-1].children.append(text)
         if not token:
@@ -158,6 +158,15 @@ def parse(page: str) -> Element:
     return root
 
 
+def _single_spaces(text: str) -> str:
+    for blank in "\t\n\f\r":
+        if blank in text:
+            text = text.replace(blank, " ")
+    while "  " in text:
+        text = text.replace("  ", " ")
+    return text
+
+
 def text_of(element: Element) -> str:
     """The words of an element with single spaces; a block start separates words."""
     parts: list[str] = []
@@ -168,7 +177,7 @@ def text_of(element: Element) -> str:
         if type(node) is str:
             words = unescape(node) if "&" in node else node
             if not keep:
-                words = SPACES.sub(" ", words)
+                words = _single_spaces(words)
                 if last and last in " \t\n\f\r" and words[:1] == " ":
                     words = words[1:]
             if words:
@@ -212,7 +221,7 @@ def inner_html(element: Element) -> str:
     while todo:
         node = todo.pop()
         if type(node) is str:
-            parts.append(node if raw else _escape(unescape(node), "&\xa0<>"))
+            parts.append(node if raw else _escape(unescape(node) if "&" in node else node, "&\xa0<>"))
             continue
         if type(node) is tuple:
             parts.append(node[0])
@@ -315,8 +324,18 @@ def _matches(node: Element, chain: list, last: int, top: Element) -> bool:
 
 def select(top: Element, text: str) -> list[Element]:
     """The elements a selector finds in ``top``, itself included, in document order."""
-    chains = selector(text)
-    return [node for node in top.walk() if any(_matches(node, chain, len(chain) - 1, top) for chain in chains)]
+    # Most elements fail on the tag of the last step; that is looked at first.
+    wanted = [
+        (next((test["tag"].lower() for test in chain[-1][1] if test["tag"] not in (None, "*")), None), chain, len(chain) - 1)
+        for chain in selector(text)
+    ]
+    found = []
+    for node in top.walk():
+        for tag, chain, last in wanted:
+            if (tag is None or tag == node.tag) and _matches(node, chain, last, top):
+                found.append(node)
+                break
+    return found
 
 
 def _flatten(path: str) -> str:

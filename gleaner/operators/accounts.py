@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from gleaner.functions.columns import BLANKS, upload_path
 from gleaner.functions.markup import Element, outer_html, parse, resolve, select, text_of, text_of_all
+from gleaner.functions.readers import page_reader
 from gleaner.operators.bodies import image_filename, images_of, rewrite, top_elements
 from gleaner.schemas import IMAGES, texts
 
@@ -79,7 +80,7 @@ def history_items(page_url: str, body: str) -> list[tuple]:
     return items
 
 
-@F.pandas_udf(ITEMS_TYPE)
+@page_reader(ITEMS_TYPE)
 def _items(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
     def one(page_url, body, contenttype):
         if body is None:
@@ -153,7 +154,7 @@ def read_article(body: str, path: str, owner: int) -> tuple:
     )
 
 
-@F.pandas_udf(ARTICLE_TYPE)
+@page_reader(ARTICLE_TYPE)
 def _article(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
     nothing = (None,) * len(ARTICLE_COLUMNS)
 

@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from gleaner.functions.columns import upload_path
-from gleaner.functions.markup import Element, inner_html, outer_html, parse, resolve, select, text_of_all
+from gleaner.functions.markup import Element, inner_html, outer_html, parse, resolve, text_of_all
+from gleaner.functions.readers import page_reader
 from gleaner.schemas import IMAGES, texts
 
 # Image attributes a reader does not get.
@@ -30,7 +31,7 @@ def filename_column(owner: Column, place: Column) -> Column:
 
 def top_elements(content: str) -> list[Element]:
     """The elements directly in a body; text between them is dropped."""
-    body = select(parse(content), "html > body")[0]
+    body = parse(content).children[0].children[1]
     return [child for child in body.children if isinstance(child, Element)]
 
 
@@ -60,7 +61,7 @@ def _normal(content: str, page_url: str, path: str, owner: int) -> tuple:
     return words, with_absolute, with_local, manifest, ""
 
 
-@F.pandas_udf(BODY_TYPE)
+@page_reader(BODY_TYPE)
 def _normal_body(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
     def one(content, page_url, path, owner):
         if content is None:
@@ -117,7 +118,7 @@ def image_manifest(articles: DataFrame, now: int) -> DataFrame:
     return manifest_rows(articles.withColumn("_body", body), F.col("_body.images"), now)
 
 
-@F.pandas_udf(T.StringType())
+@page_reader(T.StringType())
 def reader_body(content: pd.Series) -> pd.Series:
     """A body without the layout attributes of its images."""
 

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from gleaner.functions import rules
 from gleaner.functions.columns import BLANKS, json_text, strip
 from gleaner.functions.markup import inner_html, parse, resolve, select, text_of
+from gleaner.functions.readers import page_reader
 from gleaner.functions.rules import FIELDS
 from gleaner.functions.urls import fill_template, folder_url, resolve_json_link, site_root
 from gleaner.schemas import texts
@@ -29,7 +30,7 @@ def _reason(failure: Exception) -> str:
     return f"{type(failure).__name__}: {failure}"
 
 
-@F.pandas_udf(LINKS_TYPE)
+@page_reader(LINKS_TYPE)
 def _html_links(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
     """Absolute links of each page: every link element within every list element."""
 
@@ -87,7 +88,7 @@ def json_words(value: object) -> str:
     return value.strip(BLANKS)
 
 
-@F.pandas_udf(LINKS_TYPE)
+@page_reader(LINKS_TYPE)
 def _json_values(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
     """The values of each JSON page at a path, as text."""
 
@@ -111,7 +112,7 @@ def _quiet(read, otherwise: str | None = "") -> str | None:
         return otherwise
 
 
-@F.pandas_udf(FIELDS_TYPE)
+@page_reader(FIELDS_TYPE)
 def _html_fields(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
     """The six fields of each HTML article page."""
 
@@ -137,7 +138,7 @@ def _html_fields(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFram
         yield pd.DataFrame([one(*row) for row in zip(*batch)], columns=[*FIELDS, "error"])
 
 
-@F.pandas_udf(FIELDS_TYPE)
+@page_reader(FIELDS_TYPE)
 def _json_fields(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
     """The six fields of each JSON article page; the title image is not yet absolute, a missing one NULL."""
 

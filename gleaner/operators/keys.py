@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from gleaner.session import durable
+from gleaner.session import stored
 
 # monotonically_increasing_id keeps the place within a partition in the low bits.
 _PLACE_BITS = 33
@@ -14,12 +14,13 @@ def number_rows(rows: DataFrame, order: list[Column], name: str, after: Column |
     """Number rows 1, 2, 3 ... in an order, on top of ``after``.
 
     ``order`` must tell all rows apart, so range partitions come out even. The
-    sorted rows are written once (narrow rows only, please); a second pass
-    counts them per partition and adds up the partitions before. No task ever
-    holds more than its range, and the join brings one row per partition.
+    sorted rows are written once with their partition and place (narrow rows
+    only, please); a second pass counts them per partition and adds up the
+    partitions before. No task ever holds more than its range, and the join
+    brings one row per partition.
     """
     sorted_rows = rows.orderBy(*order).withColumn("_slot", F.monotonically_increasing_id())
-    saved = durable(sorted_rows)
+    saved = stored(sorted_rows)
     part = F.shiftright("_slot", _PLACE_BITS)
     place = F.col("_slot").bitwiseAND((1 << _PLACE_BITS) - 1)
     # One row per partition: this window runs over a few thousand rows at most.

@@ -26,6 +26,7 @@ from gleaner.operators.rollup import (
 from gleaner.operators.select import due_account_sites
 from gleaner.operators.tags import upsert_bridge, upsert_tags
 from gleaner.schemas import DONE
+from gleaner.session import stored
 from gleaner.sources.tables import conform
 
 
@@ -118,9 +119,13 @@ def _image_rows(bodies: DataFrame, titles: DataFrame, images: DataFrame, now: in
 def _commit_bodies(
     read: DataFrame, contenturls: DataFrame, images: DataFrame, changed: list[str], now: int
 ) -> dict[str, DataFrame]:
-    """Images and article rows of results whose bodies are read (``_images`` an array, ``changed`` the columns)."""
+    """Images and article rows of results whose bodies are read (``_images`` an array, ``changed`` the columns).
+
+    The results are stored first: they are read for the images and again for
+    the articles, and parsing the pages is by far the dearest step.
+    """
+    read = stored(read)
     done = read.filter(F.col("status") == DONE)
-    # The numbered rows are stored, so both uses below read the same ids.
     numbered = _image_rows(manifest_rows(done, F.col("_images"), now), done, images, now)
     title_ids = numbered.filter("is_title = 1").select("cuid", F.col("imgid").alias("titleimageid"))
     rows = read.join(title_ids, "cuid", "left").withColumn("titleimageid", F.coalesce("titleimageid", F.lit(0)))

@@ -1,9 +1,10 @@
-"""Session settings the jobs rely on, and the durable cut used before numbering rows."""
+"""Session settings the jobs rely on, and tables kept in the shared folder between steps."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -58,23 +59,30 @@ def _package_zip() -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for checkpoints, as the cluster names it; a temporary one only in local mode."""
+    """The folder all executors share, as the cluster names it; a temporary one only in local mode."""
     context = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not named:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        named = tempfile.mkdtemp(prefix="gleaner-checkpoint-")
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(named)
-    return named
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    if not hasattr(context, "_gleaner_dir"):
+        context._gleaner_dir = tempfile.mkdtemp(prefix="gleaner-shared-")
+    return context._gleaner_dir
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Write the rows once to the checkpoint folder and go on from there.
+def new_folder(spark: SparkSession, kind: str) -> str:
+    """A folder name in the shared folder that nothing has used yet."""
+    return f"{shared_dir(spark)}/{kind}/{uuid.uuid4().hex}"
 
-    Numbering reads its rows twice, and both reads must see the same
-    partitions, also when an executor is lost in between.
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write rows once as a table in the shared folder and go on from there.
+
+    Used where several readers must see the very same rows (numbering) or
+    where reading again costs less than working out again (parsed pages). What
+    follows survives the loss of executors and reads only the columns it needs.
     """
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = new_folder(df.sparkSession, "tables")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

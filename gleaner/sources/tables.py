@@ -25,9 +25,19 @@ def conform(df: DataFrame, table: str) -> DataFrame:
     )
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Rows of a plain scan over all cores when it has fewer splits than there are cores.
+
+    Parsing pages is work for the cores, and a small input may come in one
+    split. A large one has splits enough and is left as it is.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def read_raw_pages(spark: SparkSession, path: str) -> DataFrame:
     """Already fetched pages: url, body, connect error, duration, fetch time."""
-    return spark.read.schema(SCHEMAS["raw_pages"]).parquet(path).na.fill(defaults("raw_pages"))
+    return spread(spark.read.schema(SCHEMAS["raw_pages"]).parquet(path)).na.fill(defaults("raw_pages"))
 
 
 def read_table(spark: SparkSession, folder: str, table: str) -> DataFrame:

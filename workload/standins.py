@@ -13,6 +13,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gleaner.sources.tables import spread
+
 GIVEN = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
     "conversations"
@@ -226,8 +228,9 @@ def with_standins(query: str) -> str:
 
 
 def given(spark: SparkSession, folder: str, table: str) -> DataFrame:
-    """One of the given tables."""
-    return spark.read.parquet(f"{folder}/{table}.parquet")
+    """One of the given tables; those that become pages are spread over the cores."""
+    scan = spark.read.parquet(f"{folder}/{table}.parquet")
+    return spread(scan) if table in ("pages", "documents") else scan
 
 
 def standin(spark: SparkSession, folder: str, name: str) -> DataFrame:
