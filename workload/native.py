@@ -183,8 +183,7 @@ JSON_REF = "CASE c_nationkey % 3 WHEN 0 THEN concat('/x/', c_name) WHEN 1 THEN c
 )
 def json_refs(t):
     """References as JSON pages write them, made absolute."""
-    t.json_pages  # registers the customer view
-    pages = t.spark.sql(
+    pages = t.sql(
         f"SELECT c_custkey, concat('http://s', c_custkey, '.example.org/api/list') AS url, {JSON_REF} AS ref FROM customer"
     )
     page = F.col("url")
@@ -207,16 +206,14 @@ PAGE_REFS = """SELECT page_id, url, CASE page_id % 8 WHEN 0 THEN concat('/x/', p
 )
 def html_refs(t):
     """References as HTML pages write them, made absolute."""
-    t.host_pages  # registers the pages view
-    return t.spark.sql(PAGE_REFS).select("page_id", urls.resolve_html_link("url", "ref").alias("link"))
+    return t.sql(PAGE_REFS).select("page_id", urls.resolve_html_link("url", "ref").alias("link"))
 
 
 @query("u5_id_templates", "SELECT c_custkey, concat('http://h.example.org/p/', c_custkey, '?v=', c_custkey) AS link FROM customer")
 def id_templates(t):
     """Article URLs from ids."""
-    t.json_pages
     template = F.lit("http://h.example.org/p/<id>?v=<id>")
-    return t.spark.table("customer").select(
+    return t.given("customer").select(
         "c_custkey", urls.fill_template(template, F.col("c_custkey").cast("string")).alias("link")
     )
 
@@ -325,9 +322,8 @@ def reset_in_flight(t):
 @query("f9_excerpts", "SELECT doc_id, substr(text, 1, 200) AS excerpt, substr(text, 1, 10) AS head FROM documents")
 def excerpts(t):
     """The start of every text as a listing shows it."""
-    t.bodies
     text = F.col("text")
-    return t.spark.table("documents").select(
+    return t.given("documents").select(
         "doc_id", columns.excerpt(text).alias("excerpt"), columns.excerpt(text, 10).alias("head")
     )
 
@@ -358,9 +354,8 @@ def page_arguments(t):
 @query("f12_counts_caption", "SELECT o_orderkey, concat('阅读: ', o_custkey, ', 点赞: ', o_orderstatus) AS extrainfo FROM orders")
 def counts_caption(t):
     """The caption of two counts."""
-    t.contenturls
     caption = columns.counts_caption(F.col("o_custkey").cast("string"), F.col("o_orderstatus"))
-    return t.spark.table("orders").select("o_orderkey", caption.alias("extrainfo"))
+    return t.given("orders").select("o_orderkey", caption.alias("extrainfo"))
 
 
 DATES = """SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN CAST(CAST(o_orderdate AS DATE) AS STRING) WHEN 1 THEN '2016-5-1' WHEN 2 THEN '2016-13-01' ELSE o_orderpriority END AS postdate
@@ -373,8 +368,7 @@ DATES = """SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN CAST(CAST(o_orderd
 )
 def date_to_epoch(t):
     """Epoch seconds of free-form dates."""
-    t.contenturls
-    return t.spark.sql(DATES).select("o_orderkey", columns.to_epoch(F.col("postdate")).alias("seconds"))
+    return t.sql(DATES).select("o_orderkey", columns.to_epoch(F.col("postdate")).alias("seconds"))
 
 
 @query(
@@ -393,8 +387,7 @@ def epoch_to_text(t):
 @query("c3_md5", "SELECT doc_id, upper(md5(text)) AS digest FROM documents")
 def md5(t):
     """Digest of every text."""
-    t.bodies
-    return t.spark.table("documents").select("doc_id", columns.md5_hex(F.col("text")).alias("digest"))
+    return t.given("documents").select("doc_id", columns.md5_hex(F.col("text")).alias("digest"))
 
 
 @query(
@@ -403,9 +396,8 @@ def md5(t):
 )
 def json_text(t):
     """Members of event properties as text."""
-    t.fetches
     props = F.col("props")
-    return t.spark.table("events").select(
+    return t.given("events").select(
         "event_id", columns.json_text(props, "k").alias("k"), columns.json_text(props, "none").alias("missing")
     )
 
@@ -416,11 +408,10 @@ def json_text(t):
 )
 def text_to_int(t):
     """Ints from text, 7 where it is none."""
-    t.contenturls
     text = F.when(F.col("o_orderstatus") == "F", (F.col("o_orderkey") * 100000).cast("string")).otherwise(
         F.substring("o_orderpriority", F.lit(1), (F.col("o_orderkey") % 3).cast("int"))
     )
-    return t.spark.table("orders").select("o_orderkey", columns.to_int(text, 7).alias("number"))
+    return t.given("orders").select("o_orderkey", columns.to_int(text, 7).alias("number"))
 
 
 # ---- joins -----------------------------------------------------------------------------------------------------------
@@ -639,9 +630,8 @@ def index_batch(t):
 )
 def multiset_difference(t):
     """Sizes and brands of parts, each less the times a customer takes it away."""
-    t.articletags, t.json_pages
-    new = t.spark.table("part").select((F.col("p_size") % 20).alias("size"), F.col("p_brand").alias("brand"))
-    old = t.spark.table("customer").select(
+    new = t.given("part").select((F.col("p_size") % 20).alias("size"), F.col("p_brand").alias("brand"))
+    old = t.given("customer").select(
         (F.col("c_nationkey") % 20).alias("size"), F.concat(F.lit("Brand#"), F.col("c_custkey") % 9 + 1).alias("brand")
     )
     return keys.multiset_difference(new, old)
@@ -666,8 +656,7 @@ def split_by_presence(t):
 )
 def new_ids(t):
     """Ids for order lines above those of the list pages."""
-    t.images
-    rows = t.spark.table("lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n"))
+    rows = t.given("lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n"))
     return keys.new_ids(rows, t.listurls, "luid", [F.col("l_orderkey"), F.desc("l_linenumber")])
 
 

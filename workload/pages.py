@@ -677,7 +677,6 @@ def polite_requests(t):
 @query("st4_polite_requests_batch", POLITE)
 def polite_requests_batch(t):
     """Requests admitted from a stored table, by the least gap per site."""
-    t.fetches
-    events = t.spark.table("events")
+    events = t.given("events")
     requests = events.select((F.col("user_id") + 1).alias("sid"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("at"))
     return streams.polite_requests_batch(requests, GAP)

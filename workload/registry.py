@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gleaner.session import prepare
 from gleaner.sources.tables import conform
-from workload.standins import standin, with_standins
+from workload.standins import given, sql, standin, with_standins
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -23,6 +23,14 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         return standin(self.spark, self.folder, f"v_{name}")
 
+    def given(self, name: str) -> DataFrame:
+        """One of the given tables."""
+        return given(self.spark, self.folder, name)
+
+    def sql(self, text: str) -> DataFrame:
+        """A query over given tables and stand-ins."""
+        return sql(self.spark, self.folder, text)
+
     def state(self, name: str) -> DataFrame:
         """A state table with its full schema."""
         return conform(getattr(self, name), name)

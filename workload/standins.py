@@ -227,18 +227,42 @@ def with_standins(query: str) -> str:
     return f"WITH {', '.join(parts)} {head}"
 
 
+def _frames(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """The frames already registered as views for a folder; another folder starts over."""
+    held = getattr(spark, "_standins", None)
+    if held is None or held[0] != folder:
+        held = spark._standins = (folder, {})
+    return held[1]
+
+
 def given(spark: SparkSession, folder: str, table: str) -> DataFrame:
     """One of the given tables; those that become pages are spread over the cores."""
-    scan = spark.read.parquet(f"{folder}/{table}.parquet")
-    return spread(scan) if table in ("pages", "documents") else scan
+    frames = _frames(spark, folder)
+    if table not in frames:
+        scan = spark.read.parquet(f"{folder}/{table}.parquet")
+        frames[table] = spread(scan) if table in ("pages", "documents") else scan
+        frames[table].createOrReplaceTempView(table)
+    return frames[table]
+
+
+def sql(spark: SparkSession, folder: str, text: str) -> DataFrame:
+    """A query over given tables and stand-ins."""
+    for table in set(re.findall(r"\b[a-z]+\b", text)) & set(GIVEN):
+        given(spark, folder, table)
+    for name in needs(text):
+        _view(spark, folder, name)
+    return spark.sql(text)
+
+
+def _view(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    frames = _frames(spark, folder)
+    if name not in frames:
+        frames[name] = sql(spark, folder, SQL.get(name, SPARK_CLOCK))
+        frames[name].createOrReplaceTempView(name)
+    return frames[name]
 
 
 def standin(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A stand-in as a frame. The views it goes through are replaced on every call."""
-    for one in (*needs(name), name):
-        text = SQL.get(one, SPARK_CLOCK)
-        for table in set(re.findall(r"\b[a-z]+\b", text)) & set(GIVEN):
-            given(spark, folder, table).createOrReplaceTempView(table)
-        spark.sql(text).createOrReplaceTempView(one)
-    frame = spark.table(name)
+    """A stand-in as a frame."""
+    frame = _view(spark, folder, name)
     return frame.withColumnRenamed("gap_s", "interval") if name == "v_sites" else frame
