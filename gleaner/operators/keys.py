@@ -10,6 +10,15 @@ from gleaner.session import stored
 _PLACE_BITS = 33
 
 
+def reading_order(page: str, place: Column) -> Column:
+    """Page and place on it as one number.
+
+    Aggregates over a plain number stay in the hash aggregate with its
+    map-side partial results; a struct would force a sort of all rows.
+    """
+    return F.col(page).cast("decimal(38,0)") * (1 << 32) + place
+
+
 def number_rows(rows: DataFrame, order: list[Column], name: str, after: Column | int = 0) -> DataFrame:
     """Number rows 1, 2, 3 ... in an order, on top of ``after``.
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from gleaner.operators.keys import new_ids
+from gleaner.operators.keys import new_ids, reading_order
 from gleaner.sources.tables import conform
 
 
@@ -12,14 +12,14 @@ def unseen_links(links: DataFrame, contenturls: DataFrame, on: list[str]) -> Dat
     """One row per key of ``links`` that no article has yet.
 
     ``links`` holds ``page, pos`` and the key columns. A key found several
-    times keeps the first page, and on it the last place. The smallest
-    (page, -pos) per key is an aggregate with map-side partial results, so a
-    link found on a third of all pages never gathers in one task.
+    times keeps the first page, and on it the last place. That is an aggregate
+    with map-side partial results, so a link found on a third of all pages
+    never gathers in one task.
     """
-    rest = [name for name in links.columns if name not in (*on, "page", "pos")]
-    first = links.groupBy(*on).agg(F.min(F.struct("page", (-F.col("pos")).alias("_back"), *rest)).alias("_first"))
-    fresh = first.join(contenturls.select(*on), on, "left_anti")
-    return fresh.select(*on, "_first.page", (-F.col("_first._back")).alias("pos"), *[f"_first.{name}" for name in rest])
+    rest = [name for name in links.columns if name not in on]
+    order = reading_order("page", -F.col("pos"))
+    first = links.groupBy(*on).agg(*[F.min_by(name, order).alias(name) for name in rest])
+    return first.join(contenturls.select(*on), on, "left_anti")
 
 
 def insert_links(links: DataFrame, contenturls: DataFrame, now: int) -> DataFrame:

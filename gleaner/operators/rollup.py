@@ -14,9 +14,8 @@ def row_total(rows: DataFrame) -> DataFrame:
 
 def images_complete(images: DataFrame, touched: DataFrame) -> DataFrame:
     """Articles of ``touched`` (an image of theirs has a result) with no image left waiting."""
-    left = images.groupBy("cuid").agg(F.count_if(F.col("status") == WAITING).alias("_left"))
-    asked = touched.select("cuid").distinct()
-    return left.filter("_left = 0").join(asked, "cuid", "left_semi").select("cuid")
+    pending = images.filter(F.col("status") == WAITING).select("cuid").distinct()
+    return touched.select("cuid").distinct().join(pending, "cuid", "left_anti")
 
 
 def mark_complete(contenturls: DataFrame, complete: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gleaner.functions.columns import strip
-from gleaner.operators.keys import new_ids
+from gleaner.operators.keys import new_ids, reading_order
 
 
 def split_tags(tag: Column) -> Column:
@@ -23,10 +23,10 @@ def article_tag_names(articles: DataFrame) -> DataFrame:
 
 def upsert_tags(articles: DataFrame, articletags: DataFrame) -> DataFrame:
     """The tag table with the unknown names of the articles, numbered by first appearance."""
-    seen = article_tag_names(articles).groupBy("tagname").agg(F.min(F.struct("cuid", "pos")).alias("_first"))
+    order = reading_order("cuid", F.col("pos"))
+    seen = article_tag_names(articles).groupBy("tagname").agg(F.min(order).alias("_first"))
     unknown = seen.join(articletags.select("tagname"), "tagname", "left_anti")
-    rows = unknown.select("tagname", F.col("_first.cuid").alias("_cuid"), F.col("_first.pos").alias("_pos"))
-    numbered = new_ids(rows, articletags, "tid", [F.col("_cuid"), F.col("_pos")])
+    numbered = new_ids(unknown, articletags, "tid", [F.col("_first")])
     return articletags.select("tid", "tagname").unionByName(numbered.select("tid", "tagname"))
 
 

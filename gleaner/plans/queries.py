@@ -10,7 +10,7 @@ from gleaner.operators.rollup import row_total
 from gleaner.operators.select import article_page, enabled_sites, index_batch, of_one_site, visible_articles
 from gleaner.operators.tags import tag_lists, tag_strings
 
-# A page of this many rows is small enough to send to every task.
+# The keys of a page up to this many rows may pass through the driver.
 SMALL_PAGE = 10000
 
 ROW_COLUMNS = "cuid sid sitename title url author postdate content lastupdate titleimage".split()
@@ -23,16 +23,40 @@ def site_list(sites: DataFrame) -> DataFrame:
 
 
 def with_title_image(articles: DataFrame, images: DataFrame) -> DataFrame:
-    """Articles with ``titleimage``; empty for those that have none."""
-    found = images.select(F.col("imgid").alias("titleimageid"), "urlabs", "path", "filename")
+    """Articles with ``titleimage``; empty for those that have none.
+
+    Id 0 stands for none and would be one huge key; such articles are spread
+    by their own number, turned negative, which no image has.
+    """
+    found = images.select(F.col("imgid").alias("_image"), "urlabs", "path", "filename")
     shown = title_image(F.col("islocal"), F.col("urlabs"), F.col("path"), F.col("filename"))
+    key = F.when(F.col("titleimageid") == 0, -F.col("cuid")).otherwise(F.col("titleimageid"))
     return (
-        articles.join(found, "titleimageid", "left")
+        articles.withColumn("_image", key)
+        .join(found, "_image", "left")
         .withColumn("titleimage", shown)
-        .drop("urlabs", "path", "filename")
+        .drop("_image", "urlabs", "path", "filename")
     )
 
 
+def at_hand(keys: DataFrame) -> DataFrame:
+    """The few keys of a page, worked out once."""
+    return keys.sparkSession.createDataFrame(keys.collect(), keys.schema)
+
+
+def of_keys(table: DataFrame, key: str, keys: DataFrame, bound: int) -> DataFrame:
+    """Rows of a table for the keys of a page (one column); ``bound`` is how many there can be.
+
+    Up to ``SMALL_PAGE`` keys become a literal list: the filter reaches the
+    scan, and row groups without such a key are never read. Beyond that it is
+    a semi join.
+    """
+    wanted = keys.toDF(key)
+    if bound > SMALL_PAGE:
+        return table.join(wanted, key, "left_semi")
+    return table.filter(F.col(key).isin([row[0] for row in wanted.collect()]))
+
+
 def listed_articles(contenturls: DataFrame, sites: DataFrame, sid: int = 0) -> DataFrame:
     """The visible articles of one site or all, before paging."""
     return visible_articles(of_one_site(contenturls, sid), sites, "islocal", "sitename")
@@ -43,16 +67,16 @@ def content_list(
 ) -> DataFrame:
     """One page of visible articles, newest first.
 
-    The page is cut before the images are looked up, so the image table is
-    filtered by a page's worth of ids and never shuffled.
+    The page is cut on narrow columns; texts and images are then read for its
+    rows only.
     """
-    listed = listed_articles(contenturls, sites, sid)
-    rows = article_page(listed.withColumn("content", excerpt(F.col("contenttext"))), page, count)
-    wanted = article_page(listed.select("cuid", "titleimageid"), page, count).select(F.col("titleimageid").alias("imgid"))
-    if page_arguments(page, count)[1] <= SMALL_PAGE:
-        wanted = F.broadcast(wanted)
-    shown = with_title_image(rows, images.join(wanted, "imgid", "left_semi"))
-    return shown.select(*ROW_COLUMNS)
+    bound = page_arguments(page, count)[1]
+    keys = article_page(listed_articles(contenturls, sites, sid).select("cuid", "titleimageid"), page, count)
+    if bound <= SMALL_PAGE:
+        keys = at_hand(keys)
+    rows = listed_articles(of_keys(contenturls, "cuid", keys.select("cuid"), bound), sites)
+    shown = with_title_image(rows, of_keys(images, "imgid", keys.select("titleimageid"), bound))
+    return shown.withColumn("content", excerpt(F.col("contenttext"))).select(*ROW_COLUMNS)
 
 
 def content_count(contenturls: DataFrame, sites: DataFrame, sid: int = 0) -> DataFrame:
@@ -86,13 +110,14 @@ def content_details(
 def index_feed(contenturls: DataFrame, contenttags: DataFrame, articletags: DataFrame, count: int) -> DataFrame:
     """The next articles for the index with their tags as one text.
 
-    Only the batch's own bridge rows are read on; the batch is small by its count.
+    The batch is cut on narrow columns; texts and tags are then read for its
+    rows only.
     """
-    batch = index_batch(contenturls, count).select("cuid", "url", "title", "contenttext", "lastupdate")
     keys = index_batch(contenturls.select("cuid", "status", "indexfinish"), count).select("cuid")
     if count <= SMALL_PAGE:
-        keys = F.broadcast(keys)
-    tags = tag_strings(contenttags.join(keys, "cuid", "left_semi"), articletags)
+        keys = at_hand(keys)
+    batch = of_keys(contenturls, "cuid", keys, count).select("cuid", "url", "title", "contenttext", "lastupdate")
+    tags = tag_strings(of_keys(contenttags, "cuid", keys, count), articletags)
     return batch.join(tags, "cuid", "left").withColumn("tags", F.coalesce("tags", F.lit("")))
 
 

@@ -631,7 +631,9 @@ def link_stream(t):
 @query("st2_first_sightings", f"WITH {HTML_LINKS} SELECT DISTINCT link AS url FROM links")
 def first_sightings(t):
     """Every link of arriving pages once."""
-    links = streams.link_stream(_arriving_pages(t), t.sites, "attempt").withColumnRenamed("link", "url")
+    links = streams.link_stream(_arriving_pages(t), t.sites, "attempt").select(
+        F.col("attempt").alias("page"), F.col("link").alias("url")
+    )
     return streams.drain_to_parquet(streams.first_sightings(links), streams.run_folder(t.spark))
 
 
