@@ -8,6 +8,7 @@ knows what the site rules need and treats sloppy pages the way browsers do
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from html import unescape
 
 # Element groups of the HTML standard.
@@ -98,10 +99,19 @@ def parse(page: str) -> Element:
     html = Element("html", "", root)
     head, body = Element("head", "", html), Element("body", "", html)
     stack, in_body, at = [html, body], False, 0
+    # How many of each tag are open, so that a deep page is not searched in vain.
+    is_open: defaultdict[str, int] = defaultdict(int)
 
     def close(tags: set[str], stop: set[str] | frozenset[str]) -> None:
+        for tag in tags:
+            if is_open[tag]:
+                break
+        else:
+            return
         for depth in range(len(stack) - 1, 1, -1):
             if stack[depth].tag in tags:
+                for node in stack[depth:]:
+                    is_open[node.tag] -= 1
                 del stack[depth:]
                 return
             if stack[depth].tag in stop:
@@ -139,13 +149,15 @@ def parse(page: str) -> Element:
             if tag in CLOSES_P:
                 close({"p"}, SCOPE)
             if tag in HEADINGS and stack[-1].tag in HEADINGS:
-                stack.pop()
+                is_open[stack.pop().tag] -= 1
             if tag in IMPLIED:
                 close(*IMPLIED[tag])
             if tag == "tr" and stack[-1].tag == "table":
                 stack.append(Element("tbody", "", stack[-1]))
+                is_open["tbody"] += 1
             if tag in ("td", "th") and stack[-1].tag in TABLE_PARTS:
                 stack.append(Element("tr", "", stack[-1]))
+                is_open["tr"] += 1
             parent = stack[-1]
         closed = written.endswith("/") and not re.search(r"=[^\s\"']*/$", written)
         node = Element(tag, written[:-1] if closed else written, parent)
@@ -155,6 +167,7 @@ def parse(page: str) -> Element:
             at = end.end() if end else len(page)
         elif tag not in VOID and not closed and parent is not head:
             stack.append(node)
+            is_open[tag] += 1
     return root
 
 
