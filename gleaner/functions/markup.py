@@ -206,6 +206,15 @@ def text_of(element: Element) -> str:
     return "".join(parts).strip(BLANKS)
 
 
+def base_url(tree: Element, page_url: str) -> str:
+    """What a page's references are relative to: its ``base`` element, if it has one, else its own URL."""
+    head = tree.children[0].children[0]
+    for node in head.children:
+        if type(node) is Element and node.tag == "base" and node.get("href"):
+            return resolve(page_url, node.get("href")) or page_url
+    return page_url
+
+
 def text_of_all(elements: list[Element]) -> str:
     """The texts of several elements; each but those before any text follows a space."""
     parts: list[str] = []

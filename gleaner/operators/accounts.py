@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from gleaner.functions.columns import BLANKS, upload_path
-from gleaner.functions.markup import Element, outer_html, parse, resolve, select, text_of, text_of_all
+from gleaner.functions.markup import Element, base_url, outer_html, parse, resolve, select, text_of, text_of_all
 from gleaner.functions.readers import page_reader
 from gleaner.operators.bodies import image_filename, images_of, rewrite, top_elements
 from gleaner.schemas import IMAGES, texts
@@ -53,26 +53,28 @@ def _first(found: list[Element], read) -> str:
 
 def search_items(page_url: str, body: str) -> list[tuple]:
     """Items of a saved search result page; they carry no date."""
-    items = []
-    for item in select(parse(body), SEARCH["item"]):
+    items, tree = [], parse(body)
+    base = base_url(tree, page_url)
+    for item in select(tree, SEARCH["item"]):
         links = select(item, SEARCH["link"])
-        image = _first(select(item, SEARCH["image"]), lambda node: resolve(page_url, node.get("src")))
+        image = _first(select(item, SEARCH["image"]), lambda node: resolve(base, node.get("src")))
         items.append(
-            (_first(links, text_of), _first(links, lambda node: resolve(page_url, node.get("href"))), "", image)
+            (_first(links, text_of), _first(links, lambda node: resolve(base, node.get("href"))), "", image)
         )
     return items
 
 
 def history_items(page_url: str, body: str) -> list[tuple]:
     """Items of a saved account history page."""
-    items = []
-    for item in select(parse(body), HISTORY["item"]):
+    items, tree = [], parse(body)
+    base = base_url(tree, page_url)
+    for item in select(tree, HISTORY["item"]):
         titles = select(item, HISTORY["title"])
         style = _first(select(item, HISTORY["image"]), lambda node: node.get("style") or "")
         items.append(
             (
                 _first(titles, text_of),
-                _first(titles, lambda node: resolve(page_url, node.get("hrefs"))),
+                _first(titles, lambda node: resolve(base, node.get("hrefs"))),
                 _first(select(item, HISTORY["date"]), text_of),
                 style.replace("background-image:url(", "").replace(")", ""),
             )

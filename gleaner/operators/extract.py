@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from gleaner.functions import rules
 from gleaner.functions.columns import BLANKS, json_text, strip
-from gleaner.functions.markup import inner_html, parse, resolve, select, text_of
+from gleaner.functions.markup import base_url, inner_html, parse, resolve, select, text_of
 from gleaner.functions.readers import page_reader
 from gleaner.functions.rules import FIELDS
 from gleaner.functions.urls import fill_template, folder_url, resolve_json_link, site_root
@@ -38,10 +38,10 @@ def _html_links(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame
         if body is None:
             return [], ""
         try:
+            tree = parse(body)
+            base = base_url(tree, page_url)
             found = [
-                resolve(page_url, node.get(attribute or "href"))
-                for part in select(parse(body), block)
-                for node in select(part, link)
+                resolve(base, node.get(attribute or "href")) for part in select(tree, block) for node in select(part, link)
             ]
             return found, ""
         except Exception as failure:
@@ -126,7 +126,7 @@ def _html_fields(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFram
         readers = {
             "content": lambda found: inner_html(found[0]).strip(BLANKS),
             "tag": lambda found: ",".join(text_of(node) for node in found).strip(BLANKS),
-            "titleimage": lambda found: resolve(page_url, found[0].get("src")).strip(BLANKS),
+            "titleimage": lambda found: resolve(base_url(tree, page_url), found[0].get("src")).strip(BLANKS),
         }
         fields = (
             path and _quiet(lambda: readers.get(name, lambda found: text_of(found[0]))(select(tree, path)))

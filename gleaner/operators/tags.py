@@ -17,8 +17,9 @@ def split_tags(tag: Column) -> Column:
 
 
 def article_tag_names(articles: DataFrame) -> DataFrame:
-    """One row per tag name of each article (``cuid, tag``) with its place."""
-    return articles.select("cuid", F.posexplode(split_tags(F.col("tag"))).alias("pos", "tagname"))
+    """One row per tag name of each article (``cuid, tag``, one row each) with its place; repeats are dropped."""
+    names = F.array_distinct(split_tags(F.col("tag")))
+    return articles.select("cuid", F.posexplode(names).alias("pos", "tagname"))
 
 
 def upsert_tags(articles: DataFrame, articletags: DataFrame) -> DataFrame:
@@ -32,15 +33,9 @@ def upsert_tags(articles: DataFrame, articletags: DataFrame) -> DataFrame:
 
 def upsert_bridge(articles: DataFrame, articletags: DataFrame, contenttags: DataFrame) -> DataFrame:
     """The article-tag bridge with the pairs not there yet; ``articletags`` already holds all names."""
-    pairs = (
-        article_tag_names(articles)
-        .groupBy("cuid", "tagname")
-        .agg(F.min("pos").alias("_pos"))
-        .join(articletags.select("tid", "tagname"), "tagname")
-        .select("tid", "cuid", "_pos")
-    )
-    fresh = pairs.join(contenttags.select("cuid", "tid"), ["cuid", "tid"], "left_anti")
-    numbered = new_ids(fresh, contenttags, "ctid", [F.col("cuid"), F.col("_pos")])
+    names = article_tag_names(articles).join(articletags.select("tid", "tagname"), "tagname")
+    fresh = names.select("cuid", "tid", "pos").join(contenttags.select("cuid", "tid"), ["cuid", "tid"], "left_anti")
+    numbered = new_ids(fresh, contenttags, "ctid", [F.col("cuid"), F.col("pos")])
     return contenttags.select("ctid", "tid", "cuid").unionByName(numbered.select("ctid", "tid", "cuid"))
 
 

@@ -34,6 +34,11 @@ def test_html_links(spark):
     assert attribute.first().links == ["http://h/a/x"]
 
 
+def test_links_are_relative_to_the_base_element(spark):
+    page = '<head><base href="http://o/d/"></head><ul><li><a href="x"></ul>'
+    assert extract.html_links(pages(spark, page, {"list": "li", "contenturl": "a"}, "listhtml")).first().links == ["http://o/d/x"]
+
+
 def test_html_links_that_fail(spark):
     rule = {"list": "li", "contenturl": "a"}
     assert status(extract.html_links(pages(spark, "<li>", "{", "listhtml"))) == 3

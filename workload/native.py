@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from gleaner.functions import columns, rules, urls
 from gleaner.operators import audit, keys, links, rollup, select, tags
 from gleaner.operators.extract import explode_links, html_links
+from gleaner.session import stored
 from workload.registry import query
 from workload.standins import CLOCK, NOW
 
@@ -691,6 +692,7 @@ def tag_upsert(t):
 )
 def bridge_upsert(t):
     """The article-tag bridge with the pairs it lacked."""
-    tagged = _tagged(t)
+    # In a collection the articles are a stored table, read for the names and again for the pairs.
+    tagged = stored(_tagged(t))
     names = tags.upsert_tags(tagged, t.known_tags)
     return tags.upsert_bridge(tagged, names, t.known_bridge)

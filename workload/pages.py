@@ -172,10 +172,10 @@ def json_link_status(t):
 
 
 def _entities(text: str) -> str:
-    """SQL for text with the entities of the given pages resolved."""
-    for entity, sign in (("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
+    """SQL for text with the entities of the given pages resolved; ``&amp`` counts without its semicolon, as in browsers."""
+    for entity, sign in (("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·")):
         text = f"replace({text}, '{entity}', '{sign}')"
-    return text
+    return f"regexp_replace({text}, '&amp;?', '&', 'g')"
 
 
 def _words(markup: str) -> str:
