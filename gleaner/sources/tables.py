@@ -37,17 +37,32 @@ def spread(scan: DataFrame) -> DataFrame:
 
 def read_raw_pages(spark: SparkSession, path: str) -> DataFrame:
     """Already fetched pages: url, body, connect error, duration, fetch time."""
-    return spread(spark.read.schema(SCHEMAS["raw_pages"]).parquet(path)).na.fill(defaults("raw_pages"))
+    filled = {name: value for name, value in defaults("raw_pages").items() if name != "url"}
+    return spread(spark.read.schema(SCHEMAS["raw_pages"]).parquet(path)).na.fill(filled)
 
 
 def read_table(spark: SparkSession, folder: str, table: str) -> DataFrame:
-    """One state table of a snapshot folder, with its fixed schema and defaults."""
-    return spark.read.schema(SCHEMAS[table]).parquet(f"{folder}/{table}").na.fill(defaults(table))
+    """One state table of a snapshot folder, with its fixed schema.
+
+    Written by ``write_table`` it holds no NULL, and nothing is put around its
+    columns here: filters on keys, status and flags reach the scan.
+    """
+    return spark.read.schema(SCHEMAS[table]).parquet(f"{folder}/{table}")
+
+
+def read_foreign_table(spark: SparkSession, path: str, table: str) -> DataFrame:
+    """A state table written by others: missing columns and NULLs take their defaults."""
+    return conform(spark.read.parquet(path), table)
 
 
 def write_table(df: DataFrame, folder: str, table: str) -> None:
-    """Write one state table into the next snapshot folder; refuses to overwrite."""
-    conform(df, table).write.mode("errorifexists").parquet(f"{folder}/{table}")
+    """Write one state table into the next snapshot folder; refuses to overwrite.
+
+    Files are sorted by key, so a filter on a few keys skips row groups and
+    pages of the wide columns.
+    """
+    rows = conform(df, table).sortWithinPartitions(KEYS[table])
+    rows.write.mode("errorifexists").parquet(f"{folder}/{table}")
 
 
 def write_bucketed(df: DataFrame, name: str, path: str, table: str, buckets: int) -> None:

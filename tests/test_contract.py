@@ -46,9 +46,19 @@ def test_no_site_or_link_is_gathered_in_one_task(spark, name):
 
 
 def test_the_page_filter_reaches_the_scan(spark, tmp_path):
+    from gleaner.operators.select import due_images, visible_articles
     from gleaner.plans.queries import of_keys
+    from gleaner.sources.tables import read_table, write_table
 
-    spark.range(1000).selectExpr("id AS cuid", "'x' AS contenttext").write.parquet(str(tmp_path / "a"))
-    rows = of_keys(spark.read.parquet(str(tmp_path / "a")), "cuid", spark.createDataFrame([(7,), (9,)], "cuid bigint"), 2)
-    text = rows._jdf.queryExecution().executedPlan().toString()
-    assert "PushedFilters: [In(cuid, [7,9])]" in text and rows.count() == 2
+    for table, key in (("contenturls", "cuid"), ("images", "imgid"), ("sites", "sid")):
+        write_table(spark.range(1000).selectExpr(f"id AS {key}"), str(tmp_path), table)
+    articles, images, sites = (read_table(spark, str(tmp_path), table) for table in ("contenturls", "images", "sites"))
+
+    def scans(frame):
+        return frame._jdf.queryExecution().executedPlan().toString()
+
+    rows = of_keys(articles, "cuid", spark.createDataFrame([(7,), (9,)], "cuid bigint"), 2)
+    assert "In(cuid, [7,9])" in scans(rows) and rows.count() == 2
+    assert "In(status, [0,3])" in scans(due_images(images))
+    counted = visible_articles(articles, sites).groupBy().count()
+    assert "EqualTo(status,2)" in scans(counted) and "contenttext" not in scans(counted)

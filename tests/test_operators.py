@@ -10,7 +10,7 @@ from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from gleaner.operators import audit, keys, links, rollup, select, tags
-from gleaner.sources.tables import conform, read_table, write_bucketed, write_table
+from gleaner.sources.tables import conform, read_foreign_table, read_table, write_bucketed, write_table
 
 
 def state(spark, table, rows, columns):
@@ -167,6 +167,12 @@ def test_snapshots(spark, tmp_path):
         write_table(spark.createDataFrame([(1, "a")], "tid int, tagname string"), str(tmp_path), "articletags")
 
 
+def test_foreign_tables_are_completed(spark, tmp_path):
+    spark.createDataFrame([(1, None), (2, "a")], "tid int, tagname string").write.parquet(str(tmp_path / "t"))
+    rows = read_foreign_table(spark, str(tmp_path / "t"), "articletags").collect()
+    assert sorted(tuple(row) for row in rows) == [(1, ""), (2, "a")]
+
+
 def test_missing_values_take_their_defaults(spark):
     row = conform(spark.createDataFrame([(1, None)], "sid int, schedule int"), "sites").first()
     assert (row.sid, row.interval, row.schedule, row.sitename, row.islocal) == (1, 20, 3600, "", 0)
