@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from gleaner.functions.columns import upload_path
-from gleaner.functions.markup import Element, inner_html, outer_html, parse, resolve, text_of_all
+from gleaner.functions.markup import Element, outer_html, parse, resolve, text_of_all
 from gleaner.functions.readers import page_reader
 from gleaner.schemas import IMAGES, texts
 

@@ -20,6 +20,7 @@ from gleaner.functions.markup import base_url, inner_html, parse, resolve, selec
 from gleaner.functions.readers import page_reader
 from gleaner.functions.rules import FIELDS
 from gleaner.functions.urls import fill_template, folder_url, resolve_json_link, site_root
+from gleaner.operators.sides import RULES_LIMIT, broadcast_if_small
 from gleaner.schemas import texts
 
 FIELDS_TYPE = T.StructType(texts(*FIELDS, "error"))
@@ -322,10 +323,12 @@ def article_results(pages: DataFrame, sites: DataFrame) -> DataFrame:
     ).drop("contenthtml", "contentjson")
 
 
-def with_site_rules(pages: DataFrame, sites: DataFrame, *rule_columns: str) -> DataFrame:
+def with_site_rules(
+    pages: DataFrame, sites: DataFrame, *rule_columns: str, limit: int = RULES_LIMIT
+) -> DataFrame:
     """Pages with the rules of their site.
 
-    A plain equi join: Catalyst broadcasts the sites while they are small
-    enough, and a hot site is split at run time beyond that.
+    Bodies are by far the widest column there is, and a shuffle join would move
+    them all. The rules are weighed first and broadcast up to ``limit`` bytes.
     """
-    return pages.join(sites.select("sid", *rule_columns), "sid")
+    return pages.join(broadcast_if_small(sites.select("sid", *rule_columns), limit), "sid")

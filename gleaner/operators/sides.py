@@ -1,0 +1,23 @@
+"""Joining wide pages to narrow tables without moving the pages."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F, types as T
+
+# Rules of some hundred thousand sites. Pages weigh terabytes, so this much is worth sending to every executor.
+RULES_LIMIT = 256 << 20
+
+
+def weight(side: DataFrame) -> int:
+    """Roughly the bytes of a table: its texts, and 16 for every column of a row."""
+    texts = [F.octet_length(field.name) for field in side.schema.fields if field.dataType == T.StringType()]
+    row = sum(map(lambda length: F.coalesce(length, F.lit(0)), texts), F.lit(16 * len(side.columns)))
+    return side.agg(F.sum(row.cast("bigint"))).first()[0] or 0
+
+
+def broadcast_if_small(side: DataFrame, limit: int) -> DataFrame:
+    """A side marked for broadcast when its measured weight is within a limit, else as it is.
+
+    Beyond the limit Spark shuffles both sides and splits hot keys at run time.
+    """
+    return F.broadcast(side) if weight(side) <= limit else side

@@ -7,14 +7,21 @@ from pyspark.sql import DataFrame, functions as F
 from gleaner.functions.rules import FIELDS
 from gleaner.operators.audit import generated_urls
 from gleaner.operators.extract import article_results, list_results
+from gleaner.operators.sides import RULES_LIMIT, broadcast_if_small
+from gleaner.session import stored
 
 # How much a report shows.
 LIST_PAGES, LINKS, CONTENT_LENGTH = 2, 5, 100
 
 
-def _stored(wanted: DataFrame, raw_pages: DataFrame) -> DataFrame:
-    """Wanted pages (``url``) with their stored body; one that is not stored counts as not fetched."""
-    joined = wanted.join(raw_pages.select("url", "body", "connecterror"), "url", "left")
+def _with_bodies(wanted: DataFrame, raw_pages: DataFrame) -> DataFrame:
+    """Wanted pages (``url``) with their stored body; one that is not stored counts as not fetched.
+
+    The few addresses go to the pages, not the pages to a shuffle.
+    """
+    addresses = broadcast_if_small(wanted.select("url").distinct(), RULES_LIMIT)
+    found = raw_pages.select("url", "body", "connecterror").join(addresses, "url", "left_semi")
+    joined = wanted.join(found, "url", "left")
     return joined.withColumn("connecterror", F.coalesce("connecterror", F.lit("page is not stored")))
 
 
@@ -22,18 +29,22 @@ def dry_run(sites: DataFrame, raw_pages: DataFrame, now: int) -> DataFrame:
     """Report per site: its first list pages, their first links, and the fields found there.
 
     One row per link, and one without a link for a list page that gave none.
+    The links found are kept as a small table: they are reported and followed.
     """
     firsts = generated_urls(sites, now).filter(F.col("pos") < LIST_PAGES)
-    listed = list_results(_stored(firsts.select("sid", F.col("pos").alias("listpos"), F.col("listurl").alias("url")), raw_pages), sites)
-    linked = listed.select(
-        "sid",
-        "listpos",
-        F.col("url").alias("listurl"),
-        F.concat("joberror", "connecterror", "parseerror").alias("listerror"),
-        F.posexplode_outer(F.slice("links", 1, LINKS)).alias("linkpos", "link"),
+    pages = firsts.select("sid", F.col("pos").alias("listpos"), F.col("listurl").alias("url"))
+    listed = list_results(_with_bodies(pages, raw_pages), sites)
+    linked = stored(
+        listed.select(
+            "sid",
+            "listpos",
+            F.col("url").alias("listurl"),
+            F.concat("joberror", "connecterror", "parseerror").alias("listerror"),
+            F.posexplode_outer(F.slice("links", 1, LINKS)).alias("linkpos", "link"),
+        )
     )
     wanted = linked.filter("link IS NOT NULL").select("sid", F.col("link").alias("url")).distinct()
-    read = article_results(_stored(wanted, raw_pages), sites).select(
+    read = article_results(_with_bodies(wanted, raw_pages), sites).select(
         "sid",
         F.col("url").alias("link"),
         F.concat("joberror", "connecterror", "parseerror").alias("articleerror"),

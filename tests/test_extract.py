@@ -109,6 +109,20 @@ def test_results_follow_the_rule_a_site_has(spark):
     assert rows[1].source == '<li><a href="/x">' and rows[3].source == ""
 
 
+def test_heavy_rules_are_joined_without_a_broadcast(spark):
+    sites = spark.createDataFrame([(i, "x" * 100) for i in range(50)], "sid bigint, listhtml string")
+    fetched = spark.range(200).select((F.col("id") % 50).alias("sid"), F.lit("b").alias("body"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        light = extract.with_site_rules(fetched, sites, "listhtml")
+        heavy = extract.with_site_rules(fetched, sites, "listhtml", limit=1000)
+        plans = [frame._jdf.queryExecution().executedPlan().toString() for frame in (light, heavy)]
+        assert "BroadcastHashJoin" in plans[0] and "SortMergeJoin" in plans[1]
+        assert light.count() == heavy.count() == 200
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_bodies(spark):
     content = 'bare <p>x</p><img src="/a.png"><img alt="n">'
     articles = spark.createDataFrame([(5, 3, "http://h/p/1", content)], "cuid bigint, sid bigint, url string, content string")

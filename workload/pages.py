@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F, types as T
 
-from gleaner.functions.columns import upload_path
-from gleaner.operators import accounts, bodies, extract, keys, tags
+from gleaner.operators import accounts, bodies, extract
 from gleaner.plans import commit, dryrun, queries
-from gleaner.schemas import SCHEMAS
-from gleaner.sources.tables import conform, read_raw_pages, read_table, write_table
+from gleaner.session import stored
+from gleaner.sources.tables import read_raw_pages, read_table, write_table
 from gleaner.streaming import streams
-from workload.native import FRESH_LINKS, HTML_LINKS, SHOWN_IMAGE, TAG_NAMES, VISIBLE, WXCONFIG_OK
+from workload.native import HTML_LINKS, SHOWN_IMAGE, VISIBLE, WXCONFIG_OK
 from workload.registry import query
 from workload.standins import CLOCK, NOW
 
@@ -344,24 +343,23 @@ def reader_bodies(t):
 @query("x11_rule_dry_run")
 def rule_dry_run(t):
     """What the rules of all sites find: list pages by site and number, articles on the links found there."""
-    generated = keys_of_pages(t)
-    return dryrun.dry_run(t.sites, generated, NOW)
+    return dryrun.dry_run(t.sites, stored(_dry_run_pages(t)), NOW)
 
 
-def keys_of_pages(t):
+def _dry_run_pages(t):
     """Stored pages for a dry run: the given pages under the list URLs of sites and the links on them."""
     from gleaner.operators.audit import generated_urls
 
-    page_count = t.host_pages.agg(F.count("*")).scalar()
+    page_count = t.given("pages").count()
     bodies_by_id = t.host_pages.select(F.col("page").alias("page_id"), "body", "connecterror")
     lists = generated_urls(t.sites, NOW).select(
         "sid", F.col("listurl").alias("url"), ((F.col("sid") * 5 + F.col("pos")) % page_count).alias("page_id")
     )
-    stored = lists.join(bodies_by_id, "page_id")
-    links = extract.explode_links(extract.list_results(stored, t.sites), "page_id")
+    listed = lists.join(bodies_by_id, "page_id")
+    links = extract.explode_links(extract.list_results(listed, t.sites), "page_id")
     articles = links.select(F.col("link").alias("url"), ((F.col("page_id") + 1) % page_count).alias("page_id"))
     chosen = articles.groupBy("url").agg(F.min("page_id").alias("page_id")).join(bodies_by_id, "page_id")
-    return stored.select("url", "body", "connecterror").unionByName(chosen.select("url", "body", "connecterror"))
+    return listed.select("url", "body", "connecterror").unionByName(chosen.select("url", "body", "connecterror"))
 
 
 # ---- queries of readers and the index --------------------------------------------------------------------------------
