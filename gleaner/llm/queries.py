@@ -6,7 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from gleaner.llm.mixing import mixed
+from gleaner.llm.packing import packed
+from gleaner.llm.quality_rules import COUNTS, judged, learn
 from gleaner.llm.simhash import near_duplicates
+from gleaner.llm.substring import without_repeats
 from gleaner.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,3 +39,49 @@ def _op4(read) -> DataFrame:
     """Fingerprint and component of every document."""
     rows = near_duplicates(read("documents"))
     return rows.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+_OP3 = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+win AS (
+  SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS k
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w WHERE len(ws) >= 13)),
+held AS (SELECT k, min(doc_id) AS least FROM win GROUP BY k),
+gone AS (
+  SELECT DISTINCT doc_id, i + unnest(range(13)) AS p
+  FROM (SELECT doc_id, i FROM win JOIN held USING (k) WHERE doc_id > least)),
+each_word AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM w),
+left_over AS (
+  SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS kept
+  FROM each_word ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN left_over USING (doc_id)"""
+
+
+@query("op3_substring_dedup", _OP3)
+def _op3(read) -> DataFrame:
+    """Words of every document, how many of them repeat earlier documents, and a digest of the rest."""
+    rows = without_repeats(read("documents"))
+    return rows.select("row.doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op7_quality_rules")
+def _op7(read) -> DataFrame:
+    """Counts and verdict of every document."""
+    docs = read("documents")
+    return judged(docs, learn(docs, read("labels"))).select("row.doc_id", *COUNTS, "base_failed", "kept", "score")
+
+
+@query("op2_packing")
+def _op2(read) -> DataFrame:
+    """Where every piece of every document stands."""
+    return packed(read("documents")).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@query("op10_mixing")
+def _op10(read) -> DataFrame:
+    """What the mix takes of every document."""
+    rows = mixed(read("documents"))
+    return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))

@@ -13,13 +13,14 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK = 4 << 20  # bytes of text that a task handles at once; a longer text stands alone
+BLOCK = 2 << 20  # bytes of text that a task handles at once; a longer text stands alone
 
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 _BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2^64
 _INVERSE = pow(_BASE, -1, 1 << 64)
+_STEP = 1 << 19  # bytes that one prefix sum spans
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -79,9 +80,10 @@ def normal(data: np.ndarray, offsets: np.ndarray, starts: np.ndarray, ends: np.n
     keep = ~SPACE[data]
     lengths = ends - starts
     new_starts = np.concatenate(([0], np.cumsum(lengths + 1)[:-1]))
-    out = np.full(int(new_starts[-1] + lengths[-1] + 1), 32, np.uint8)
-    place = np.arange(int(lengths.sum())) + np.repeat(np.arange(len(starts)), lengths)
-    out[place] = data[keep]
+    letters = np.ones(int(new_starts[-1] + lengths[-1] + 1), bool)
+    letters[new_starts + lengths] = False
+    out = np.full(len(letters), 32, np.uint8)
+    out[letters] = data[keep]
     counts = np.bincount(doc, minlength=len(offsets) - 1)
     closing = np.concatenate((new_starts, [len(out)]))
     return out, closing[np.concatenate(([0], np.cumsum(counts)))], new_starts, new_starts + lengths
@@ -89,9 +91,8 @@ def normal(data: np.ndarray, offsets: np.ndarray, starts: np.ndarray, ends: np.n
 
 def _power(size: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers[0]) < size:
-        room = max(size, 1 << 20)
         for k, base in enumerate((_BASE, _INVERSE)):
-            row = np.full(room, base, np.uint64)
+            row = np.full(max(size, _STEP + 1), base, np.uint64)
             row[0] = 1
             _powers[k] = np.multiply.accumulate(row)
     return _powers[0], _powers[1]
@@ -110,13 +111,18 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     Prefix sums of bytes times powers of an odd base modulo 2^64: a word is the
     difference of two sums, divided by the power at its start.
     """
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    power, inverse = _power(len(data) + 1)
-    sums = np.empty(len(data) + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+    out = np.empty(len(starts), np.uint64)
+    first = 0
+    while first < len(starts):
+        origin = starts[first]
+        last = max(first + 1, int(np.searchsorted(ends, origin + _STEP, "right")))
+        begin, end = starts[first:last] - origin, ends[first:last] - origin
+        power, inverse = _power(int(end[-1]) + 1)
+        sums = np.zeros(int(end[-1]) + 1, np.uint64)
+        np.cumsum((data[origin : origin + end[-1]].astype(np.uint64) + np.uint64(1)) * power[: end[-1]], out=sums[1:])
+        out[first:last] = mix((sums[end] - sums[begin]) * inverse[begin] + (end - begin).astype(np.uint64))
+        first = last
+    return out
 
 
 def runs(hashes: np.ndarray, size: int) -> np.ndarray:
