@@ -6,11 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from gleaner.llm.captures import CHECK as _OP9, captures, printed
+from gleaner.llm.labelled import fold
+from gleaner.llm.language import identified, learn as learn_languages
 from gleaner.llm.mixing import mixed
 from gleaner.llm.packing import packed
+from gleaner.llm.quality_classifier import scored
 from gleaner.llm.quality_rules import COUNTS, judged, learn
+from gleaner.llm.revisits import resolved
+from gleaner.llm.sharding import SHARD_BYTES, sharded
 from gleaner.llm.simhash import near_duplicates
 from gleaner.llm.substring import without_repeats
+from gleaner.llm.topk import top_products
 from gleaner.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,3 +92,60 @@ def _op10(read) -> DataFrame:
     """What the mix takes of every document."""
     rows = mixed(read("documents"))
     return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+@query("op1_quality_classifier")
+def _op1(read) -> DataFrame:
+    """Score and prediction of every document."""
+    return scored(read("documents"), read("labels"))
+
+
+_OP5 = """
+WITH v AS (
+  SELECT vec_id, [floor(64 * CAST(x AS DOUBLE)) for x in embedding] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM s QUALIFY rank <= 20"""
+
+
+@query("op5_exact_top_k", _OP5)
+def _op5(read) -> DataFrame:
+    """The 20 largest inner products of every query."""
+    return top_products(read("embeddings"))
+
+
+_OP6 = f"""
+WITH d AS (
+  SELECT doc_id, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n_bytes,
+    CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 15) AS BIGINT) AS h
+  FROM documents),
+e AS (SELECT *, h >> (60 - depth) AS prefix FROM (SELECT *, unnest(range(61)) AS depth FROM d)),
+p AS (
+  SELECT depth, prefix, sum(n_bytes) AS b, count(*) AS n FROM e GROUP BY depth, prefix
+  HAVING sum(n_bytes) <= {SHARD_BYTES} OR min(h) = max(h))
+SELECT doc_id, n_bytes, lpad(bin(prefix), CAST(depth AS INTEGER), '0') AS shard, CAST(0 AS BIGINT) AS page,
+  CAST(b AS BIGINT) AS shard_bytes, n AS shard_docs
+FROM e JOIN p USING (depth, prefix) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY depth) = 1"""
+
+
+@query("op6_extendible_sharding", _OP6)
+def _op6(read) -> DataFrame:
+    """The shard of every document."""
+    return sharded(read("documents"))
+
+
+@query("op8_language_id")
+def _op8(read) -> DataFrame:
+    """Language of every document."""
+    docs = read("documents")
+    rows = identified(docs, learn_languages(docs))
+    return rows.select("doc_id", (fold(4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+@query("op9_warc_revisits", _OP9)
+def _op9(read) -> DataFrame:
+    """What every revisit of the pages' records refers to."""
+    return resolved(captures(read("pages"))).withColumn("headers", printed("headers"))
