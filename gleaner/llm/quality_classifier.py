@@ -18,8 +18,10 @@ SIZE = 32  # components of a vector
 MARKS = 2  # components that a word's index vector has, one up and one down
 REACH = 2  # neighbours on either side that a context holds
 TRAIN_ROWS = 20_000  # labelled documents the network is fitted on, about, at most
+FEATURES = 2 * SIZE + 5  # pooled numbers per text
 HIDDEN = 24
 ACCEPT = 0.3
+_EQUAL = 0.9999  # from here on two unit vectors count as equal
 _PIECES = 64  # parts in which the contexts are summed up
 
 _KIND = np.full(256, 2, np.uint8)  # 0 white space, 1 letters and digits, 2 other signs
@@ -115,12 +117,12 @@ def _sums(held: dict, pack) -> pa.RecordBatch:
 
 
 def pooled(data: np.ndarray, offsets: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """Per text: mean and spread of its terms' vectors, how alike neighbours are, and its length."""
+    """Per text: mean and spread of its terms' vectors, how alike and how often equal neighbours are, and its length."""
     rows = len(offsets) - 1
     term, doc = terms(data, offsets)
     counts = np.bincount(doc, minlength=rows)
     some = np.flatnonzero(counts)
-    out = np.zeros((rows, 2 * SIZE + 3), np.float32)
+    out = np.zeros((rows, FEATURES), np.float32)
     if not len(term):
         return out
     own = vectors[term]
@@ -133,7 +135,8 @@ def pooled(data: np.ndarray, offsets: np.ndarray, vectors: np.ndarray) -> np.nda
         if len(term) > step:
             near = doc[:-step] == doc[step:]
             alike = np.einsum("ij,ij->i", own[:-step], own[step:]) * near
-            out[:, 2 * SIZE + step - 1] = np.bincount(doc[:-step], alike, rows) / np.maximum(counts - step, 1)
+            for k, pairs in enumerate((alike, alike > _EQUAL)):
+                out[:, 2 * SIZE + 2 * k + step - 1] = np.bincount(doc[:-step], pairs, rows) / np.maximum(counts - step, 1)
     out[:, -1] = np.log1p(counts)
     return out
 
@@ -225,7 +228,7 @@ def scored(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_ROWS) -> DataF
     shape = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("label", T.IntegerType()), T.StructField("features", T.BinaryType())])
     rows = _pooled_rows(known, vectors, ["doc_id", "label"], shape, lambda features: [pa.array([f.tobytes() for f in features], pa.binary())]).collect()
     rows.sort(key=lambda r: (r.doc_id, bytes(r.features)))
-    features = np.frombuffer(b"".join(r.features for r in rows), np.float32).reshape(-1, 2 * SIZE + 3).astype(float)
+    features = np.frombuffer(b"".join(r.features for r in rows), np.float32).reshape(-1, FEATURES).astype(float)
     network = fit(features, np.array([r.label for r in rows], float))
 
     def answer(features: np.ndarray) -> list[pa.Array]:
