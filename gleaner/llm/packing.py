@@ -11,20 +11,61 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
+from gleaner.llm.text import SPACE, flat, text_blocks, word_hashes
+
 TOKENS = 1024  # tokens of a sequence
 SEGMENTS = 64  # pieces of a sequence
 POOL = 1024  # pieces a task chooses from
 _SLOT = 33  # a sequence's number is its task's, then its own
-_KNOWN = 300_000  # word pieces whose ids a worker remembers
+_KNOWN = 1_000_000  # parts of texts whose ids a worker remembers: about 200 MB
+
+
+_BLANK = SPACE.copy()
+_BLANK[0x1C:0x20] = True
+_SIGN = np.zeros(256, bool)
+# Not the bar: it closes the string of the special token, which the tokenizer takes as a whole.
+_SIGN[list(b"!#$%&*+,-./:;<=>?@^_`~)]}")] = True
+_ALNUM = np.zeros(256, bool)
+_ALNUM[list(range(48, 58)) + list(range(65, 91)) + list(range(97, 123))] = True
+
+
+def _parts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of parts of texts whose tokens do not depend on what stands around them.
+
+    The tokenizer never joins what stands before a single space with it, nor a letter or
+    digit with signs after it. So a text is cut before each space between two bytes that are surely
+    no white space, and each piece between an ASCII letter, digit or Latin-1 letter and its
+    closing ``_SIGN``s. Where a cut is in doubt there is none, which only makes a part longer.
+    """
+    edge = np.zeros(len(data) + 1, bool)
+    edge[offsets] = True
+    at = np.flatnonzero(data == 32)
+    at = at[(at > 0) & (at < len(data) - 1)]
+    at = at[~edge[at] & ~edge[at + 1]]
+    before, after = data[at - 1], data[at + 1]
+    # White space beyond ASCII begins with one of four bytes, and ends within two bytes after it.
+    odd = np.isin(data, (0xC2, 0xE1, 0xE2, 0xE3))
+    near = odd[np.maximum(at - 2, 0)] | odd[np.maximum(at - 3, 0)]
+    doubt = _BLANK[before] | _BLANK[after] | odd[at + 1] | (before >= 128) & near
+    edge[at[~doubt]] = True
+    bounds = np.flatnonzero(edge)
+    starts, ends = bounds[:-1], bounds[1:]
+    plain = np.maximum.accumulate(np.where(_SIGN[data], -1, np.arange(len(data))))
+    last = plain[ends - 1]
+    # The accumulated place may lie in an earlier piece: then the piece is signs only.
+    inside = (last >= starts) & (last < ends - 1)
+    final, lead = data[np.maximum(last, 0)], data[np.maximum(last - 1, 0)]
+    letter = _ALNUM[final] | (lead == 0xC3) & (final >= 128) & (final != 0x97) & (final != 0xB7)
+    edge[last[inside & letter] + 1] = True
+    bounds = np.flatnonzero(edge)
+    return bounds[:-1], bounds[1:]
 
 
 class Tokens:
     """Ids of texts by a byte-level BPE file of the ``tokenizers`` library.
 
-    The tokenizer never joins what stands before a single space and what follows it, so
-    a text is cut there and each piece with its leading space is looked up; new
-    pieces go through the tokenizer together. Where white space meets the space,
-    the whole text goes through it instead.
+    Texts are cut into parts, equal parts of a block are told by a hash, and each
+    different part is looked up; parts not seen before go through the tokenizer together.
     """
 
     def __init__(self, path: str):
@@ -32,32 +73,30 @@ class Tokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.first: dict[str, bytes | None] = {}
-        self.later: dict[str, bytes | None] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, known: dict, pieces: set[str], lead: str) -> None:
-        if len(known) > _KNOWN:
-            known.clear()
-        new = [p for p in pieces if p not in known]
-        for piece, ids in zip(new, self._encode([lead + p for p in new]), strict=True):
-            # White space before a space forms a run with it: such a piece has no ids of its own.
-            known[piece] = None if (piece[-1:].isspace() or not piece and lead) else ids
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Each text's ids as little-endian unsigned 32-bit numbers."""
-        cut = [text.split(" ") for text in texts]
-        self._learn(self.first, {pieces[0] for pieces in cut}, "")
-        self._learn(self.later, set().union(*[pieces[1:] for pieces in cut]), " ")
-        look, out = self.later.__getitem__, []
-        for text, pieces in zip(texts, cut, strict=True):
-            try:
-                out.append(self.first[pieces[0]] + b"".join(map(look, pieces[1:])))
-            except TypeError:
-                out.append(self._encode([text])[0])
-        return out
+        self.known: dict[bytes, bytes] = {}
+
+    def encode(self, column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and where each text's begin (one more place at the end)."""
+        data, offsets = flat(column)
+        if not len(data):
+            return np.zeros(0, "<u4"), np.zeros(len(offsets), np.int64)
+        starts, ends = _parts(data, offsets)
+        _, first, same = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        text = data.tobytes()
+        parts = [text[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+        if len(self.known) > _KNOWN:
+            self.known.clear()
+        new = [part for part in parts if part not in self.known]
+        found = self.tokenizer.encode_batch_fast([part.decode() for part in new], add_special_tokens=False)
+        self.known.update(zip(new, [array("I", e.ids).tobytes() for e in found], strict=True))
+        ids = [self.known[part] for part in parts]
+        counts = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        opening = np.cumsum(counts) - counts
+        lengths = counts[same]
+        closing = np.cumsum(lengths)
+        place = np.repeat(opening[same] - (closing - lengths), lengths) + np.arange(int(closing[-1]))
+        before = np.concatenate(([0], closing))
+        return np.frombuffer(b"".join(ids), "<u4")[place], before[np.searchsorted(starts, offsets)]
 
 
 _tokens: dict[str, Tokens] = {}
@@ -169,17 +208,18 @@ def _sequences(batches: Iterator[pa.RecordBatch], path: str, size: int, segments
     packer = Packer((size, segments, size), _cut)
     known = tokens(path)
     end = (0).to_bytes(4, "little")
-    for batch in batches:
+    for table in text_blocks(batches):
         ready: list[list[Piece]] = []
         rests: list[Piece] = []
-        texts = [t or "" for t in batch.column("text").to_pylist()]
-        for doc, ids in zip(batch.column("doc_id").to_pylist(), known.encode(texts), strict=True):
-            ids += end
-            count = len(ids) // 4
+        ids, offsets = known.encode(table.column("text"))
+        own, edges = ids.tobytes(), (4 * offsets).tolist()
+        for row, doc in enumerate(table.column("doc_id").to_pylist()):
+            text = own[edges[row] : edges[row + 1]] + end
+            count = len(text) // 4
             full = count - count % size
-            ready += [[(doc, at, ids[4 * at : 4 * (at + size)], count)] for at in range(0, full, size)]
+            ready += [[(doc, at, text[4 * at : 4 * (at + size)], count)] for at in range(0, full, size)]
             if count > full:
-                rests.append((doc, full, ids[4 * full :], count))
+                rests.append((doc, full, text[4 * full :], count))
         packer.add(rests, [_demand(p) for p in rests])
         while len(packer.items) > POOL:
             ready += _closed(packer.fill(), size)
