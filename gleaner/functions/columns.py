@@ -31,9 +31,13 @@ def parse_pattern(pattern: str) -> str:
 
 
 def to_epoch(text: Column, pattern: str = "yyyy-MM-dd") -> Column:
-    """Epoch seconds of a date text read by a pattern, 0 when it does not fit."""
+    """Epoch seconds of a date text read by a pattern, 0 when it does not fit.
+
+    The state tables hold 32 bits; a moment beyond them wraps around.
+    """
     moment = F.try_to_timestamp(text, F.lit(parse_pattern(pattern)))
-    return F.coalesce(F.unix_seconds(moment), F.lit(0)).cast("int")
+    seconds = F.coalesce(F.unix_seconds(moment), F.lit(0))
+    return (F.pmod(seconds + F.lit(1 << 31), F.lit(1 << 32)) - F.lit(1 << 31)).cast("int")
 
 
 def from_epoch(seconds: Column, pattern: str = "yyyy-MM-dd HH:mm:ss") -> Column:
@@ -47,8 +51,11 @@ def md5_hex(text: Column) -> Column:
 
 
 def json_text(document: Column, key: str) -> Column:
-    """A JSON member as trimmed text: strings unquoted, the rest as JSON text, missing empty."""
-    return strip(F.coalesce(F.get_json_object(document, f"$.{key}"), F.lit("")))
+    """A JSON member as trimmed text: strings unquoted, the rest (null too) as JSON text, missing empty."""
+    # get_json_object gives NULL for a null member as for a missing one.
+    member = F.try_variant_get(F.try_parse_json(document), f"$.{key}", "variant")
+    null = F.when(F.schema_of_variant(member) == "VOID", F.lit("null"))
+    return strip(F.coalesce(F.get_json_object(document, f"$.{key}"), null, F.lit("")))
 
 
 def to_int(text: Column, default: int) -> Column:

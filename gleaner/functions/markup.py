@@ -329,34 +329,30 @@ def _fits(node: Element, tests: list) -> bool:
     return True
 
 
-def _matches(node: Element, chain: list, last: int, top: Element) -> bool:
-    if not _fits(node, chain[last][1]):
-        return False
-    if last == 0:
-        return True
-    direct = chain[last][0] == ">"
-    while node is not top and node.parent is not None:
-        node = node.parent
-        if _matches(node, chain, last - 1, top):
-            return True
-        if direct:
-            return False
-    return False
+def _reached(node: Element, chain: list, above: tuple[int, int]) -> tuple[int, int]:
+    """Which steps of a chain end in this node, and which in it or an ancestor, as bits.
+
+    ``above`` is the same of its parent: a step needs the one before it in the
+    parent, or anywhere above, so each node is looked at once.
+    """
+    own, ends, within = 0, *above
+    for step, (joiner, tests) in enumerate(chain):
+        before = ends if joiner == ">" else within
+        if (step == 0 or before >> (step - 1) & 1) and _fits(node, tests):
+            own |= 1 << step
+    return own, within | own
 
 
 def select(top: Element, text: str) -> list[Element]:
     """The elements a selector finds in ``top``, itself included, in document order."""
-    # Most elements fail on the tag of the last step; that is looked at first.
-    wanted = [
-        (next((test["tag"].lower() for test in chain[-1][1] if test["tag"] not in (None, "*")), None), chain, len(chain) - 1)
-        for chain in selector(text)
-    ]
-    found = []
+    chains = [(chain, 1 << len(chain) - 1) for chain in selector(text)]
+    none = [(0, 0)] * len(chains)
+    found, states = [], {}
     for node in top.walk():
-        for tag, chain, last in wanted:
-            if (tag is None or tag == node.tag) and _matches(node, chain, last, top):
-                found.append(node)
-                break
+        above = none if node is top else states.get(id(node.parent), none)
+        state = states[id(node)] = [_reached(node, chain, own) for (chain, _), own in zip(chains, above)]
+        if any(own & last for (own, _), (_, last) in zip(state, chains)):
+            found.append(node)
     return found
 
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from decimal import Decimal
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -20,7 +21,6 @@ from gleaner.functions.markup import base_url, inner_html, parse, resolve, selec
 from gleaner.functions.readers import page_reader
 from gleaner.functions.rules import FIELDS
 from gleaner.functions.urls import fill_template, folder_url, resolve_json_link, site_root
-from gleaner.operators.sides import RULES_LIMIT, broadcast_if_small
 from gleaner.schemas import texts
 
 FIELDS_TYPE = T.StructType(texts(*FIELDS, "error"))
@@ -82,11 +82,32 @@ def _members_named(start: object, name: str) -> Iterator[object]:
             todo.extend((False, inner) for inner in reversed(value))
 
 
+def _not_json(text: str) -> None:
+    raise ValueError(f"{text} is not JSON")
+
+
+def read_json(body: str) -> object:
+    """A JSON document with its numbers as written."""
+    return json.loads(body, parse_float=Decimal, parse_constant=_not_json)
+
+
+# Digits that a number may take in plain notation; beyond, its exponent stays.
+_PLAIN_DIGITS = 400
+
+
+def _compact(value: object) -> str:
+    if isinstance(value, Decimal):
+        return format(value, "f") if abs(value.adjusted()) < _PLAIN_DIGITS else str(value)
+    if isinstance(value, dict):
+        return "{" + ",".join(f"{_compact(key)}:{_compact(inner)}" for key, inner in value.items()) + "}"
+    if isinstance(value, list):
+        return "[" + ",".join(map(_compact, value)) + "]"
+    return json.dumps(value, ensure_ascii=False)
+
+
 def json_words(value: object) -> str:
     """A JSON value as trimmed text: strings as they are, the rest as compact JSON."""
-    if not isinstance(value, str):
-        value = json.dumps(value, ensure_ascii=False, separators=(",", ":"))
-    return value.strip(BLANKS)
+    return (value if isinstance(value, str) else _compact(value)).strip(BLANKS)
 
 
 @page_reader(LINKS_TYPE)
@@ -97,7 +118,7 @@ def _json_values(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFram
         if body is None:
             return [], ""
         try:
-            return [json_words(value) for value in json_steps(json.loads(body), path)], ""
+            return [json_words(value) for value in json_steps(read_json(body), path)], ""
         except Exception as failure:
             return [], _reason(failure)
 
@@ -147,7 +168,7 @@ def _json_fields(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFram
         if body is None:
             return ("",) * (len(FIELDS) - 1) + (None, "")
         try:
-            document = json.loads(body)
+            document = read_json(body)
         except Exception as failure:
             return ("",) * (len(FIELDS) - 1) + (None, _reason(failure))
 
@@ -323,12 +344,10 @@ def article_results(pages: DataFrame, sites: DataFrame) -> DataFrame:
     ).drop("contenthtml", "contentjson")
 
 
-def with_site_rules(
-    pages: DataFrame, sites: DataFrame, *rule_columns: str, limit: int = RULES_LIMIT
-) -> DataFrame:
+def with_site_rules(pages: DataFrame, sites: DataFrame, *rule_columns: str) -> DataFrame:
     """Pages with the rules of their site.
 
-    Bodies are by far the widest column there is, and a shuffle join would move
-    them all. The rules are weighed first and broadcast up to ``limit`` bytes.
+    A plain join: Catalyst sends the rules to the pages as long as their size allows. Pages
+    kept in buckets of their site (``write_paged_by_site``) do not move whatever the rules weigh.
     """
-    return pages.join(broadcast_if_small(sites.select("sid", *rule_columns), limit), "sid")
+    return pages.join(sites.select("sid", *rule_columns), "sid")

@@ -13,13 +13,14 @@ def unseen_links(links: DataFrame, contenturls: DataFrame, on: list[str]) -> Dat
 
     ``links`` holds ``page, pos`` and the key columns. A key found several
     times keeps the first page, and on it the last place. That is an aggregate
-    with map-side partial results, so a link found on a third of all pages
-    never gathers in one task.
+    over one number with map-side partial results, so a link found on a third
+    of all pages never gathers in one task; over texts it would be a sort. The
+    other columns are joined back for the keys that are left.
     """
-    rest = [name for name in links.columns if name not in on]
-    order = reading_order("page", -F.col("pos"))
-    first = links.groupBy(*on).agg(*[F.min_by(name, order).alias(name) for name in rest])
-    return first.join(contenturls.select(*on), on, "left_anti")
+    placed = links.withColumn("_order", reading_order("page", -F.col("pos")))
+    first = placed.groupBy(*on).agg(F.min("_order").alias("_order"))
+    fresh = first.join(contenturls.select(*on), on, "left_anti")
+    return placed.join(fresh, [*on, "_order"]).select(*links.columns)
 
 
 def insert_links(links: DataFrame, contenturls: DataFrame, now: int) -> DataFrame:

@@ -6,7 +6,7 @@ an aggregate with partial sums on the map side, never a sort of a whole site.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gleaner.functions.columns import page_arguments
 from gleaner.functions.rules import account_error
@@ -14,6 +14,7 @@ from gleaner.operators.keys import number_rows
 from gleaner.schemas import DONE, FETCH_FAILED, IN_PROGRESS, WAITING
 
 ANY_KIND = -1
+_RANGE_BITS = 16  # ids of a range in which pages are counted
 
 
 def enabled_sites(sites: DataFrame, kind: int = ANY_KIND) -> DataFrame:
@@ -144,9 +145,23 @@ def next_site(sites: DataFrame, last: int, kind: int = ANY_KIND) -> DataFrame:
 
 
 def article_page(rows: DataFrame, page: int, count: int) -> DataFrame:
-    """One page of articles, newest first."""
+    """One page of articles, newest first.
+
+    Ids are counted in ranges first, one row each; only the ranges that the page
+    touches are numbered, each apart. So a page costs the same however deep it lies.
+    """
     page, count = page_arguments(page, count)
-    return rows.orderBy(F.desc("cuid")).offset((page - 1) * count).limit(count)
+    skip = (page - 1) * count
+    parts = rows.withColumn("_part", F.shiftright("cuid", _RANGE_BITS))
+    newer = Window.orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = parts.groupBy("_part").agg(F.count("*").alias("_rows"))
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_rows").over(newer), F.lit(0)))
+    # A page touches at most as many ranges as it has rows.
+    touched = before.filter((F.col("_before") < skip + count) & (F.col("_before") + F.col("_rows") > skip))
+    place = F.col("_before") + F.row_number().over(Window.partitionBy("_part").orderBy(F.desc("cuid")))
+    numbered = parts.join(F.broadcast(touched), "_part").withColumn("_place", place)
+    page_rows = numbered.filter((F.col("_place") > skip) & (F.col("_place") <= skip + count))
+    return page_rows.orderBy(F.desc("cuid")).limit(count).select(*rows.columns)
 
 
 def index_batch(contenturls: DataFrame, count: int) -> DataFrame:

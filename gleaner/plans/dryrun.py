@@ -7,48 +7,48 @@ from pyspark.sql import DataFrame, functions as F
 from gleaner.functions.rules import FIELDS
 from gleaner.operators.audit import generated_urls
 from gleaner.operators.extract import article_results, list_results
-from gleaner.operators.sides import RULES_LIMIT, broadcast_if_small
 from gleaner.session import stored
 
-# How much a report shows.
-LIST_PAGES, LINKS, CONTENT_LENGTH = 2, 5, 100
+# Fixed value: characters of a body that a report shows.
+CONTENT_LENGTH = 100
 
 
 def _with_bodies(wanted: DataFrame, raw_pages: DataFrame) -> DataFrame:
-    """Wanted pages (``url``) with their stored body; one that is not stored counts as not fetched.
-
-    The few addresses go to the pages, not the pages to a shuffle.
-    """
-    addresses = broadcast_if_small(wanted.select("url").distinct(), RULES_LIMIT)
-    found = raw_pages.select("url", "body", "connecterror").join(addresses, "url", "left_semi")
+    """Wanted pages (``url``) with their stored body; one that is not stored counts as not fetched."""
+    found = raw_pages.select("url", "body", "connecterror")
     joined = wanted.join(found, "url", "left")
     return joined.withColumn("connecterror", F.coalesce("connecterror", F.lit("page is not stored")))
 
 
-def dry_run(sites: DataFrame, raw_pages: DataFrame, now: int) -> DataFrame:
-    """Report per site: its first list pages, their first links, and the fields found there.
+def dry_run(sites: DataFrame, raw_pages: DataFrame, now: int, follow_pages: int = 2, follow_links: int = 5) -> DataFrame:
+    """Report per site: all its list pages, all links of those it reads, and the fields of the articles it reads.
 
-    One row per link, and one without a link for a list page that gave none.
-    The links found are kept as a small table: they are reported and followed.
+    One row per link, and one without a link for a list page that gave none or
+    is not read. A run reads the first ``follow_pages`` list pages of a site
+    (``pagefollowed``) and the first ``follow_links`` links of each
+    (``linkfollowed``); what it lists is never cut.
     """
-    firsts = generated_urls(sites, now).filter(F.col("pos") < LIST_PAGES)
-    pages = firsts.select("sid", F.col("pos").alias("listpos"), F.col("listurl").alias("url"))
-    listed = list_results(_with_bodies(pages, raw_pages), sites)
+    pages = generated_urls(sites, now).select("sid", F.col("pos").alias("listpos"), "listurl", (F.col("pos") < follow_pages).alias("pagefollowed"))
+    asked = pages.filter("pagefollowed").select("sid", "listpos", F.col("listurl").alias("url"))
+    listed = list_results(_with_bodies(asked, raw_pages), sites)
+    # The links are reported and followed, so they are worked out once.
     linked = stored(
         listed.select(
             "sid",
             "listpos",
-            F.col("url").alias("listurl"),
             F.concat("joberror", "connecterror", "parseerror").alias("listerror"),
-            F.posexplode_outer(F.slice("links", 1, LINKS)).alias("linkpos", "link"),
+            F.posexplode_outer("links").alias("linkpos", "link"),
         )
-    )
-    wanted = linked.filter("link IS NOT NULL").select("sid", F.col("link").alias("url")).distinct()
+    ).withColumn("linkfollowed", F.coalesce(F.col("linkpos") < follow_links, F.lit(False)))
+    wanted = linked.filter("linkfollowed").select("sid", F.col("link").alias("url")).distinct()
     read = article_results(_with_bodies(wanted, raw_pages), sites).select(
         "sid",
         F.col("url").alias("link"),
+        F.lit(True).alias("linkfollowed"),
         F.concat("joberror", "connecterror", "parseerror").alias("articleerror"),
         F.substring("content", 1, CONTENT_LENGTH).alias("content"),
         *[name for name in FIELDS if name != "content"],
     )
-    return linked.join(read, ["sid", "link"], "left")
+    found = linked.join(read, ["sid", "link", "linkfollowed"], "left")
+    report = pages.join(found, ["sid", "listpos"], "left")
+    return report.withColumns({name: F.coalesce(name, F.lit(value)) for name, value in (("listerror", ""), ("linkfollowed", False))})

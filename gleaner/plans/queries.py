@@ -4,14 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gleaner.functions.columns import excerpt, page_arguments, title_image
+from gleaner.functions.columns import excerpt, title_image
 from gleaner.operators.bodies import reader_body
 from gleaner.operators.rollup import row_total
 from gleaner.operators.select import article_page, enabled_sites, index_batch, of_one_site, visible_articles
 from gleaner.operators.tags import tag_lists, tag_strings
-
-# The keys of a page up to this many rows may pass through the driver.
-SMALL_PAGE = 10000
+from gleaner.session import stored
 
 ROW_COLUMNS = "cuid sid sitename title url author postdate content lastupdate titleimage".split()
 DETAIL_COLUMNS = "luid sid sitename title url author postdate content lastupdate titleimage extrainfo tags".split()
@@ -39,22 +37,15 @@ def with_title_image(articles: DataFrame, images: DataFrame) -> DataFrame:
     )
 
 
-def at_hand(keys: DataFrame) -> DataFrame:
-    """The few keys of a page, worked out once."""
-    return keys.sparkSession.createDataFrame(keys.collect(), keys.schema)
-
-
-def of_keys(table: DataFrame, key: str, keys: DataFrame, bound: int) -> DataFrame:
-    """Rows of a table for the keys of a page (one column); ``bound`` is how many there can be.
+def of_keys(table: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """Rows of a table for the keys of a page (one stored column): a semi join.
 
-    Up to ``SMALL_PAGE`` keys become a literal list: the filter reaches the
-    scan, and row groups without such a key are never read. Beyond that it is
-    a semi join.
+    The least and the greatest key become a filter of the scan, so row groups
+    outside are never read.
     """
     wanted = keys.toDF(key)
-    if bound > SMALL_PAGE:
-        return table.join(wanted, key, "left_semi")
-    return table.filter(F.col(key).isin([row[0] for row in wanted.collect()]))
+    low, high = wanted.agg(F.min(key), F.max(key)).first()
+    return table.filter(F.col(key).between(low, high)).join(wanted, key, "left_semi")
 
 
 def listed_articles(contenturls: DataFrame, sites: DataFrame, sid: int = 0) -> DataFrame:
@@ -70,12 +61,9 @@ def content_list(
     The page is cut on narrow columns; texts and images are then read for its
     rows only.
     """
-    bound = page_arguments(page, count)[1]
-    keys = article_page(listed_articles(contenturls, sites, sid).select("cuid", "titleimageid"), page, count)
-    if bound <= SMALL_PAGE:
-        keys = at_hand(keys)
-    rows = listed_articles(of_keys(contenturls, "cuid", keys.select("cuid"), bound), sites)
-    shown = with_title_image(rows, of_keys(images, "imgid", keys.select("titleimageid"), bound))
+    keys = stored(article_page(listed_articles(contenturls, sites, sid).select("cuid", "titleimageid"), page, count))
+    rows = listed_articles(of_keys(contenturls, "cuid", keys.select("cuid")), sites)
+    shown = with_title_image(rows, of_keys(images, "imgid", keys.select("titleimageid")))
     return shown.withColumn("content", excerpt(F.col("contenttext"))).select(*ROW_COLUMNS)
 
 
@@ -95,16 +83,23 @@ def content_details(
     """Visible articles in full, one or all: reader's body, title image, tags."""
     wanted = contenturls if cuid is None else contenturls.filter(F.col("cuid") == cuid)
     bridge = contenttags if cuid is None else contenttags.filter(F.col("cuid") == cuid)
-    visible = visible_articles(wanted, sites, "islocal", "sitename")
-    body = F.when(F.col("islocal") == 0, F.col("contentabsurl")).otherwise(F.col("contentlocalurl"))
+    return _details(wanted, wanted, sites, images, bridge, articletags)
+
+
+def _details(
+    chosen: DataFrame, contenturls: DataFrame, sites: DataFrame, images: DataFrame, bridge: DataFrame, articletags: DataFrame
+) -> DataFrame:
+    """The chosen articles in full. Sites, images and tags meet on keys and flags; texts and bodies join once, last."""
+    narrow = chosen.select("cuid", "sid", "status", "imagefinish", "titleimageid")
     no_tags = F.array().cast("array<struct<tagid:bigint,tagname:string>>")
-    return (
-        with_title_image(visible, images)
+    shown = (
+        with_title_image(visible_articles(narrow, sites, "islocal", "sitename"), images)
         .join(tag_lists(bridge, articletags), "cuid", "left")
-        .withColumn("content", reader_body(body))
-        .withColumn("tags", F.coalesce("tags", no_tags))
-        .select("cuid", *DETAIL_COLUMNS)
+        .select("cuid", "sitename", "islocal", "titleimage", F.coalesce("tags", no_tags).alias("tags"))
     )
+    body = F.when(F.col("islocal") == 0, F.col("contentabsurl")).otherwise(F.col("contentlocalurl"))
+    rows = contenturls.join(shown, "cuid").withColumn("content", reader_body(body))
+    return rows.select("cuid", *DETAIL_COLUMNS)
 
 
 def index_feed(contenturls: DataFrame, contenttags: DataFrame, articletags: DataFrame, count: int) -> DataFrame:
@@ -113,11 +108,9 @@ def index_feed(contenturls: DataFrame, contenttags: DataFrame, articletags: Data
     The batch is cut on narrow columns; texts and tags are then read for its
     rows only.
     """
-    keys = index_batch(contenturls.select("cuid", "status", "indexfinish"), count).select("cuid")
-    if count <= SMALL_PAGE:
-        keys = at_hand(keys)
-    batch = of_keys(contenturls, "cuid", keys, count).select("cuid", "url", "title", "contenttext", "lastupdate")
-    tags = tag_strings(of_keys(contenttags, "cuid", keys, count), articletags)
+    keys = stored(index_batch(contenturls.select("cuid", "status", "indexfinish"), count).select("cuid"))
+    batch = of_keys(contenturls, "cuid", keys).select("cuid", "url", "title", "contenttext", "lastupdate")
+    tags = tag_strings(of_keys(contenttags, "cuid", keys), articletags)
     return batch.join(tags, "cuid", "left").withColumn("tags", F.coalesce("tags", F.lit("")))
 
 
@@ -158,8 +151,11 @@ def content_json(
 ) -> DataFrame:
     """A JSON answer for each asked ``cuid``; an article that is not visible is not found."""
     asked = cuids.select("cuid").distinct()
-    details = content_details(
-        contenturls.join(asked, "cuid", "left_semi"), sites, images, contenttags.join(asked, "cuid", "left_semi"), articletags
-    )
-    found = F.col("sid").isNotNull()
-    return asked.join(details, "cuid", "left").select("cuid", _detail_answer(found).alias("json"))
+    keys = contenturls.select("cuid", "sid", "status", "imagefinish", "titleimageid").join(asked, "cuid", "left_semi")
+    details = _details(keys, contenturls, sites, images, contenttags.join(asked, "cuid", "left_semi"), articletags)
+    found = details.select("cuid", _detail_answer(F.lit(True)).alias("json"))
+    # Only the asked ids that no visible article has are left to answer.
+    missing = asked.join(details.select("cuid"), "cuid", "left_anti")
+    nothing = F.struct(*[F.lit(None).cast(details.schema[name].dataType).alias(name) for name in DETAIL_COLUMNS])
+    empty = missing.select("cuid", nothing.alias("_row")).select("cuid", "_row.*")
+    return found.union(empty.select("cuid", _detail_answer(F.lit(False)).alias("json")))

@@ -20,6 +20,9 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     # Whole pages travel to the Python workers, so batches hold few rows.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "500",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(32 << 20),
+    # A rule may name a member twice; the last one counts.
+    "spark.sql.variant.allowDuplicateKeys": "true",
     # Stream state (every url ever seen, every site's clock) outgrows executor memory.
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }

@@ -25,20 +25,10 @@ def conform(df: DataFrame, table: str) -> DataFrame:
     )
 
 
-def spread(scan: DataFrame) -> DataFrame:
-    """Rows of a plain scan over all cores when it has fewer splits than there are cores.
-
-    Parsing pages is work for the cores, and a small input may come in one
-    split. A large one has splits enough and is left as it is.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
-
-
 def read_raw_pages(spark: SparkSession, path: str) -> DataFrame:
     """Already fetched pages: url, body, connect error, duration, fetch time."""
     filled = {name: value for name, value in defaults("raw_pages").items() if name != "url"}
-    return spread(spark.read.schema(SCHEMAS["raw_pages"]).parquet(path)).na.fill(filled)
+    return spark.read.schema(SCHEMAS["raw_pages"]).parquet(path).na.fill(filled)
 
 
 def read_table(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -65,6 +55,15 @@ def write_table(df: DataFrame, folder: str, table: str) -> None:
     rows.write.mode("errorifexists").parquet(f"{folder}/{table}")
 
 
+def write_paged_by_site(pages: DataFrame, name: str, path: str, buckets: int) -> None:
+    """Write fetched pages (with ``sid``) as a catalog table in buckets of their site.
+
+    Read from it, pages meet the rules of their sites without moving, whatever
+    the rules weigh. A site is split over files of its bucket, not over buckets.
+    """
+    pages.write.mode("errorifexists").option("path", path).bucketBy(buckets, "sid").saveAsTable(name)
+
+
 def write_bucketed(df: DataFrame, name: str, path: str, table: str, buckets: int) -> None:
     """Write a state table as a catalog table bucketed on its key.
 

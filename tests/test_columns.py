@@ -12,7 +12,7 @@ def one(spark, column):
 
 
 def test_dates(spark):
-    for text, seconds in [("2016-05-11", 1462924800), ("2016-5-1", 1462060800), ("2016-13-01", 0), ("x", 0), ("", 0)]:
+    for text, seconds in [("2016-05-11", 1462924800), ("2016-5-1", 1462060800), ("2016-13-01", 0), ("x", 0), ("", 0), ("2200-01-01", 7258118400 - (2 << 32)), ("2040-01-01", 2208988800 - (1 << 32))]:
         assert one(spark, columns.to_epoch(F.lit(text))) == seconds
     assert one(spark, columns.to_epoch(F.lit("20160511"), "yyyyMMdd")) == 1462924800
     assert one(spark, columns.from_epoch(F.lit(1462924801))) == "2016-05-11 00:00:01"
@@ -21,8 +21,8 @@ def test_dates(spark):
 
 def test_text_values(spark):
     assert one(spark, columns.md5_hex(F.lit("a"))) == "0CC175B9C0F1B6A831C399E269772661"
-    document = F.lit('{"a":" x ","b":{"c":1},"d":2}')
-    assert [one(spark, columns.json_text(document, key)) for key in "abdz"] == ["x", '{"c":1}', "2", ""]
+    document = F.lit('{"a":" x ","b":{"c":1},"d":2,"n":null}')
+    assert [one(spark, columns.json_text(document, key)) for key in "abdzn"] == ["x", '{"c":1}', "2", "", "null"]
     numbers = [("12", 12), ("-3", -3), ("+4", 4), ("1.5", 9), (" 1", 9), ("", 9), ("99999999999", 9)]
     for text, number in numbers:
         assert one(spark, columns.to_int(F.lit(text), 9)) == number

@@ -108,7 +108,7 @@ def test_listing(spark):
     for row in found:
         image = ("" if row.cuid % 4 else f"u{row.cuid}") if row.sid == 1 else ("" if row.cuid % 4 else f"p/f{row.cuid}")
         assert row.titleimage == image and len(row.content) == 200
-    large = queries.content_list(articles, sites, images, 0, 1, queries.SMALL_PAGE + 1)
+    large = queries.content_list(articles, sites, images, 0, 1, 20000)
     assert sorted(row.cuid for row in large.collect()) == sorted(visible)
     assert queries.content_count(articles, sites).first().rscount == len(visible)
     answer = json.loads(queries.content_list_json(articles, sites, images, 2, 1, 2).first().json)
@@ -144,7 +144,11 @@ def test_dry_run(spark):
     )
     report = dryrun.dry_run(sites, conform(pages, "raw_pages"), NOW).collect()
     shown = {row.link: row for row in report if row.link}
-    assert sorted(shown) == [f"http://h/a/{i}" for i in range(5)]
+    assert sorted(shown) == [f"http://h/a/{i}" for i in range(8)]
+    assert sorted(link for link, row in shown.items() if row.linkfollowed) == [f"http://h/a/{i}" for i in range(5)]
+    assert shown["http://h/a/6"].title is None and shown["http://h/a/6"].articleerror is None
+    assert {row.listurl for row in report} == {f"http://h/l/{i}" for i in range(10)}
+    assert {row.listurl for row in report if row.pagefollowed} == {"http://h/l/0", "http://h/l/1"}
     assert shown["http://h/a/1"].title == "T" and len(shown["http://h/a/1"].content) == 100
     assert shown["http://h/a/2"].articleerror != ""
     assert [row.listerror != "" for row in report if row.listurl == "http://h/l/1"] == [True]

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from gleaner.functions.columns import result_status
 from gleaner.operators import accounts, bodies, extract
+from gleaner.sources.tables import write_paged_by_site
 
 DAY = 1462924800  # 2016-05-11
 
@@ -109,18 +111,26 @@ def test_results_follow_the_rule_a_site_has(spark):
     assert rows[1].source == '<li><a href="/x">' and rows[3].source == ""
 
 
-def test_heavy_rules_are_joined_without_a_broadcast(spark):
+def test_pages_in_buckets_of_their_site_do_not_move_for_their_rules(spark, tmp_path):
     sites = spark.createDataFrame([(i, "x" * 100) for i in range(50)], "sid bigint, listhtml string")
     fetched = spark.range(200).select((F.col("id") % 50).alias("sid"), F.lit("b").alias("body"))
+    write_paged_by_site(fetched, "paged", str(tmp_path / "t"), 4)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        light = extract.with_site_rules(fetched, sites, "listhtml")
-        heavy = extract.with_site_rules(fetched, sites, "listhtml", limit=1000)
-        plans = [frame._jdf.queryExecution().executedPlan().toString() for frame in (light, heavy)]
-        assert "BroadcastHashJoin" in plans[0] and "SortMergeJoin" in plans[1]
-        assert light.count() == heavy.count() == 200
+        ruled = extract.with_site_rules(spark.table("paged"), sites, "listhtml")
+        assert ruled._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+        assert ruled.count() == 200
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("DROP TABLE paged")
+
+
+def test_json_numbers_stay_as_written():
+    document = extract.read_json('{"a":[0.12345678901234567890,1e5,-2,{"b":1.50,"c":null,"é":"x"}],"big":1e999999}')
+    assert [extract.json_words(value) for value in document["a"]] == ["0.12345678901234567890", "100000", "-2", '{"b":1.50,"c":null,"é":"x"}']
+    assert extract.json_words(document["big"]) == "1E+999999"
+    with pytest.raises(ValueError):
+        extract.read_json('{"a":NaN}')
 
 
 def test_bodies(spark):

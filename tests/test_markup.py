@@ -114,3 +114,11 @@ def test_hostile_pages_take_linear_time():
     for page in ("<a " * 100000, '<a b="' * 50000, "<!--" * 100000, "</x" * 100000, "<div>" * 50000):
         text_of(select(parse(page), "body")[0])
     assert time.time() - began < 20
+
+
+def test_nested_pages_take_time_linear_in_their_depth():
+    began = time.time()
+    page = '<div class="q">' + "<div>" * 3000 + "<a>x</a>" + "</div>" * 3000
+    assert len(select(parse(page), ".q div > div div a")) == 1
+    assert select(parse(page), ".q div span div a") == []
+    assert time.time() - began < 1

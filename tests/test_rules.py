@@ -136,3 +136,8 @@ def test_a_very_long_range_is_cut_into_blocks(spark, monkeypatch):
     sites = spark.createDataFrame([(1, rule)], "sid bigint, urlformat string")
     rows = sorted((row.pos, row.listurl) for row in audit.generated_urls(sites, 0).collect())
     assert rows == [(number, f"http://a/{number + 3}") for number in range(50)]
+
+
+def test_a_rule_with_a_repeated_member_takes_the_last(spark):
+    given = ['{"list":"","list":"a","contenturl":"b"}', '{"list":"a","list":"","contenturl":"b"}']
+    assert verdicts(spark, rules.listhtml_error, "listhtml", given) == [True, False]

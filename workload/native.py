@@ -359,13 +359,13 @@ def counts_caption(t):
     return t.given("orders").select("o_orderkey", caption.alias("extrainfo"))
 
 
-DATES = """SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN CAST(CAST(o_orderdate AS DATE) AS STRING) WHEN 1 THEN '2016-5-1' WHEN 2 THEN '2016-13-01' ELSE o_orderpriority END AS postdate
+DATES = """SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN CAST(CAST(o_orderdate AS DATE) AS STRING) WHEN 1 THEN '2016-5-1' WHEN 2 THEN CASE o_orderkey % 8 WHEN 2 THEN '2016-13-01' ELSE '2200-01-01' END ELSE o_orderpriority END AS postdate
   FROM orders"""
 
 
 @query(
     "c1_date_to_epoch",
-    f"SELECT o_orderkey, coalesce(CAST(epoch(try_strptime(postdate, '%Y-%m-%d')) AS BIGINT), 0) AS seconds FROM ({DATES})",
+    f"SELECT o_orderkey, (coalesce(CAST(epoch(try_strptime(postdate, '%Y-%m-%d')) AS BIGINT), 0) + 2147483648) % 4294967296 - 2147483648 AS seconds FROM ({DATES})",
 )
 def date_to_epoch(t):
     """Epoch seconds of free-form dates."""
@@ -393,13 +393,15 @@ def md5(t):
 
 @query(
     "c4_json_text",
-    "SELECT event_id, trim(coalesce(json_extract_string(props, '$.k'), '')) AS k, trim(coalesce(json_extract_string(props, '$.none'), '')) AS missing FROM events",
+    """SELECT event_id, trim(coalesce(json_extract_string(props, '$.k'), '')) AS k, trim(coalesce(json_extract_string(props, '$.none'), '')) AS missing,
+  CASE WHEN event_id % 3 = 0 THEN 'null' ELSE '' END AS nothing FROM events""",
 )
 def json_text(t):
     """Members of event properties as text."""
-    props = F.col("props")
+    # A third has a null member, which is text too.
+    props = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit('{"nothing":null,'), F.substr("props", F.lit(2)))).otherwise(F.col("props"))
     return t.given("events").select(
-        "event_id", columns.json_text(props, "k").alias("k"), columns.json_text(props, "none").alias("missing")
+        "event_id", *[columns.json_text(props, key).alias(name) for key, name in (("k", "k"), ("none", "missing"), ("nothing", "nothing"))]
     )
 
 

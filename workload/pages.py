@@ -9,7 +9,7 @@ from gleaner.plans import commit, dryrun, queries
 from gleaner.session import stored
 from gleaner.sources.tables import read_raw_pages, read_table, write_table
 from gleaner.streaming import streams
-from workload.native import HTML_LINKS, SHOWN_IMAGE, VISIBLE, WXCONFIG_OK
+from workload.native import GENERATED, HTML_LINKS, SHOWN_IMAGE, VISIBLE, WXCONFIG_OK
 from workload.registry import query
 from workload.standins import CLOCK, NOW
 
@@ -340,10 +340,24 @@ def reader_bodies(t):
     return t.bodies.select("cuid", bodies.reader_body(F.col("content")).alias("content"))
 
 
-@query("x11_rule_dry_run")
+@query(
+    "x11_rule_dry_run",
+    f"""WITH {GENERATED.replace('__WHICH__', 'true')},
+  n AS (SELECT count(*) AS n FROM pages),
+  lists AS (SELECT sid, gpos, listurl, (sid * 5 + gpos) % n AS page FROM gen, n),
+  hrefs AS (SELECT l.*, regexp_extract(listurl, '^([a-z]+://[^/?#]*)', 1) AS origin, regexp_extract_all(body, '<li><a href="([^"]*)"', 1) AS found
+    FROM lists l JOIN v_host_pages h ON h.page = l.page WHERE connecterror = '' AND (l.sid - 1) % 6 IN (0, 2, 3)),
+  links AS (SELECT sid, gpos, page, unnest(range(0, len(found))) AS linkpos, concat(origin, unnest(found)) AS link FROM hrefs),
+  articles AS (SELECT link, min((page + 1) % n) AS page FROM links, n GROUP BY link),
+  titles AS (SELECT link, connecterror, {_words("regexp_extract(body, '<h1>(.*?)</h1>', 1, 's')")} AS title FROM articles a JOIN v_host_pages h ON h.page = a.page)
+  SELECT l.sid, l.gpos AS listpos, listurl, l.gpos < 2 AS pagefollowed, linkpos, k.link, coalesce(linkpos < 5, false) AS linkfollowed,
+    CASE WHEN linkpos < 5 THEN CASE WHEN (l.sid - 1) % 8 IN (0, 1, 2, 3) AND connecterror = '' THEN title ELSE '' END END AS title
+  FROM lists l LEFT JOIN links k ON k.sid = l.sid AND k.gpos = l.gpos AND l.gpos < 2 LEFT JOIN titles t ON t.link = k.link""",
+)
 def rule_dry_run(t):
-    """What the rules of all sites find: list pages by site and number, articles on the links found there."""
-    return dryrun.dry_run(t.sites, stored(_dry_run_pages(t)), NOW)
+    """What the rules of all sites find: every list page, every link of those that are read, articles of the links followed."""
+    report = dryrun.dry_run(t.sites, stored(_dry_run_pages(t)), NOW)
+    return report.select("sid", "listpos", "listurl", "pagefollowed", "linkpos", "link", "linkfollowed", "title")
 
 
 def _dry_run_pages(t):
@@ -641,8 +655,11 @@ def _arriving_events(t):
     return events.select(
         (F.col("user_id") + 1).alias("sid"),
         F.unix_seconds(F.col("ts").cast("timestamp")).alias("at"),
-        (F.col("event_id") % 5).cast("int").alias("status"),
+        # An image comes several times; its last status counts.
+        F.when(F.col("event_id") % 5 == 0, 0).otherwise(2).alias("status"),
         F.col("user_id").alias("cuid"),
+        (F.col("event_id") % 3).alias("imgid"),
+        F.col("event_id").alias("attempt"),
     )
 
 
@@ -653,11 +670,15 @@ def running_latest_fetch(t):
     return streams.drain_updates(stream, streams.run_folder(t.spark), ["sid"])
 
 
-@query("st3_running_completion", "SELECT user_id AS cuid, count(*) FILTER (event_id % 5 = 0) AS waiting, count(*) AS images FROM events GROUP BY user_id")
+@query(
+    "st3_running_completion",
+    """SELECT cuid, count(*) FILTER (status = 0) AS waiting, count(*) AS images
+  FROM (SELECT user_id AS cuid, event_id % 3 AS imgid, arg_max(CASE WHEN event_id % 5 = 0 THEN 0 ELSE 2 END, event_id) AS status FROM events GROUP BY ALL) GROUP BY cuid""",
+)
 def running_completion(t):
-    """Images still waiting per article over arriving images."""
-    stream = streams.running_completion(_arriving_events(t))
-    return streams.drain_updates(stream, streams.run_folder(t.spark), ["cuid"])
+    """Images still waiting per article, by the last status of each image that has arrived."""
+    stream = streams.running_image_status(_arriving_events(t))
+    return streams.completion(streams.drain_updates(stream, streams.run_folder(t.spark), ["cuid", "imgid"]))
 
 
 GAP = 7200

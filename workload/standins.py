@@ -13,13 +13,14 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.sources.tables import spread
+from gleaner.session import stored
 
 GIVEN = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
     "conversations"
 ).split()
 
+FILES = 8  # of every stand-in
 NOW = 1700000000  # for anything stamped
 CLOCK = 4000  # for what is due: the sites' clocks run from 0 to 4999
 
@@ -236,11 +237,10 @@ def _frames(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
 
 
 def given(spark: SparkSession, folder: str, table: str) -> DataFrame:
-    """One of the given tables; those that become pages are spread over the cores."""
+    """One of the given tables."""
     frames = _frames(spark, folder)
     if table not in frames:
-        scan = spark.read.parquet(f"{folder}/{table}.parquet")
-        frames[table] = spread(scan) if table in ("pages", "documents") else scan
+        frames[table] = spark.read.parquet(f"{folder}/{table}.parquet")
         frames[table].createOrReplaceTempView(table)
     return frames[table]
 
@@ -255,9 +255,10 @@ def sql(spark: SparkSession, folder: str, text: str) -> DataFrame:
 
 
 def _view(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A stand-in, written once per session as the collection would keep it: in a fixed number of files."""
     frames = _frames(spark, folder)
     if name not in frames:
-        frames[name] = sql(spark, folder, SQL.get(name, SPARK_CLOCK))
+        frames[name] = stored(sql(spark, folder, SQL.get(name, SPARK_CLOCK)).repartition(FILES))
         frames[name].createOrReplaceTempView(name)
     return frames[name]
 
