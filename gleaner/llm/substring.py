@@ -88,7 +88,7 @@ def _packed(table: pa.Table, size: int, buckets: int) -> Iterator[tuple[int, byt
     data, _, starts, ends = normal(data, offsets, starts, ends, doc)
     if len(starts) < size:
         return
-    ids = table.column("doc_id").fill_null(int(_LAST)).to_numpy()
+    ids = table.column("row_id").to_numpy()
     keys = table.column("row_key").to_numpy()
     places = np.arange(len(starts)) - np.concatenate(([0], np.cumsum(np.bincount(doc, minlength=len(ids)))))[doc]
     hashes = word_hashes(data, starts, ends)
@@ -102,7 +102,8 @@ def _packed(table: pa.Table, size: int, buckets: int) -> Iterator[tuple[int, byt
     following = np.concatenate(([False], np.diff(first) == 1))
     if settled.any():
         a, b = _spans(settled, following)
-        yield buckets + int(abs(keys[0]) % buckets), _pack(np.array([len(a)]), keys[owner[a]], places[first[a]], places[first[b]] + size)
+        rows = ids[owner[a]], keys[owner[a]], places[first[a]], places[first[b]] + size
+        yield buckets + int(abs(ids[0]) % buckets), _pack(np.array([len(a)]), *rows)
     seeds = _least(runs(hashes, GRAM), size - GRAM + 1)[first]
     left = ~settled
     following[1:] &= seeds[1:] == seeds[:-1]
@@ -127,8 +128,8 @@ def _settled(table: pa.Table, size: int, buckets: int) -> pa.Table:
     unpack = zstandard.ZstdDecompressor().decompress
     blobs = [unpack(blob) for blob in table.column("blob").to_pylist()]
     if table.column("bucket")[0].as_py() >= buckets:
-        parts = [np.frombuffer(blob, np.int64)[1:].reshape(3, -1) for blob in blobs]
-        keys, begin, end = np.concatenate(parts, axis=1)
+        parts = [np.frombuffer(blob, np.int64)[1:].reshape(4, -1) for blob in blobs]
+        row, keys, begin, end = np.concatenate(parts, axis=1)
     else:
         heads = [np.frombuffer(blob, np.int64, 4 * n, 8).reshape(4, -1) for blob in blobs for n in [int.from_bytes(blob[:8], "little")]]
         ids, owners, places, lengths = np.concatenate(heads, axis=1)
@@ -144,18 +145,24 @@ def _settled(table: pa.Table, size: int, buckets: int) -> pa.Table:
         a, b = _spans(later, np.concatenate(([False], np.diff(first) == 1)))
         # The place of a window within its string, after the string's own place.
         opening = np.searchsorted(string, owner[a])
-        keys = owners[owner[a]]
+        row, keys = ids[owner[a]], owners[owner[a]]
         begin = places[owner[a]] + first[a] - opening
         end = begin + (first[b] - first[a]) + size
-    return pa.table({"row_key": keys, "begin": begin.astype(np.int64), "end": end.astype(np.int64)})
+    return pa.table({"row_id": row, "row_key": keys, "begin": begin, "end": end})
 
 
-def _row_key() -> Column:
-    return F.xxhash64(F.col("doc_id").cast("bigint"), F.coalesce("text", F.lit(""))).alias("row_key")
+def _row(docs: DataFrame) -> list[Column]:
+    """What finds a row again: its id, and a hash of its text if any id is null or repeats.
+
+    Most corpora have an id per row; a hash would then be an eighth of all that is sent.
+    """
+    unique = docs.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").isEmpty()
+    twin = F.lit(0).cast("bigint") if unique else F.xxhash64(F.coalesce("text", F.lit("")))
+    return [F.coalesce(F.col("doc_id").cast("bigint"), F.lit(int(_LAST))).alias("row_id"), twin.alias("row_key")]
 
 
-def repeated_ranges(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``row_key``, ``begin``, ``end``: words ``begin`` to before ``end`` lie in windows that a smaller id holds too.
+def repeated_ranges(docs: DataFrame, row: list[Column], window: int = WINDOW) -> DataFrame:
+    """``row_id``, ``row_key``, ``begin``, ``end``: words ``begin`` to before ``end`` lie in windows that a smaller id holds too.
 
     Super-k-mers: a window's minimiser is the least hash of ``GRAM`` consecutive
     words in it. Consecutive windows with the same minimiser travel as one string
@@ -178,8 +185,9 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     def settle(table: pa.Table) -> pa.Table:
         return _settled(table, window, buckets)
 
-    sent = docs.select(F.col("doc_id").cast("bigint"), _row_key(), "text").mapInArrow(send, "bucket bigint, blob binary")
-    return sent.groupBy("bucket").applyInArrow(settle, "row_key bigint, begin bigint, end bigint")
+    sent = docs.select(*row, "text").mapInArrow(send, "bucket bigint, blob binary")
+    # As many partitions as buckets, so a task's share does not grow with the input.
+    return sent.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(settle, "row_id bigint, row_key bigint, begin bigint, end bigint")
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -194,13 +202,14 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     with equal ids. Repeated rows get equal results. An empty table gives an empty
     result. Columns of other names are passed on, whatever they are called.
     """
+    row = _row(docs)
     ranges = (
-        repeated_ranges(docs, window)
-        .groupBy("row_key")
+        repeated_ranges(docs, row, window)
+        .groupBy("row_id", "row_key")
         .agg(F.collect_list(F.struct("begin", "end")).alias("ranges"))
     )
-    rows = docs.select(F.struct(*[c for c in docs.columns if c != "text"]).alias("row"), "text", _row_key())
-    joined = rows.join(ranges, "row_key", "left").drop("row_key")
+    rows = docs.select(F.struct(*[c for c in docs.columns if c != "text"]).alias("row"), "text", *row)
+    joined = rows.join(ranges, ["row_id", "row_key"], "left").drop("row_id", "row_key")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in text_blocks(batches):
