@@ -392,9 +392,7 @@ def resolve(page_url: str, ref: str | None) -> str:
     if not base:
         return ""
     origin, path, query = f"{base[1]}://{base[2]}", base[3], base[4] or ""
-    if ref == "":
-        return page_url
-    if ref[0] == "#":
+    if ref == "" or ref[0] == "#":
         return f"{origin}{path}{query}{ref}"
     if ref[0] == "?":
         return f"{origin}{path or '/'}{ref}"

@@ -119,7 +119,7 @@ def test_listing(spark):
 def test_article_detail(spark):
     sites = state(spark, "sites", [(1, "s", 0)], "sid bigint, sitename string, islocal int")
     articles = state(
-        spark, "contenturls", [(1, 1, 2, '<p>x</p><img src="u" width="3">'), (2, 1, 0, "")], "cuid bigint, sid bigint, status int, contentabsurl string"
+        spark, "contenturls", [(1, 1, 2, '<p>x</p>\n<img src="u" width="3">'), (2, 1, 0, "")], "cuid bigint, sid bigint, status int, contentabsurl string"
     )
     bridge = spark.createDataFrame([(1, 2, 1), (2, 1, 1)], "ctid bigint, tid bigint, cuid bigint")
     names = spark.createDataFrame([(1, "a"), (2, "b")], "tid bigint, tagname string")

@@ -148,9 +148,14 @@ def test_bodies(spark):
 
 
 def test_reader_body(spark):
-    frame = spark.createDataFrame([('<p><img src="s" width="1" class="c" alt="t"></p>',), (None,)], "c string")
-    rows = [row[0] for row in frame.select(bodies.reader_body("c")).collect()]
-    assert rows == ['<p><img src="s" alt="t"></p>', None]
+    given = [
+        '<p class="c"><img src="s" width="1" class="c" alt="t"></p>', None, '<img class="" data-w="1" data-ratio="2" data-src="3" width="4" height="5" style="a>b" x>',
+        '<img alt="class=&quot;c&quot; width" style="s"><imgs class="c"><div style="k">', '<img data-class="k" class="c"><img width>',
+    ]
+    frame = spark.createDataFrame([(k, text) for k, text in enumerate(given)], "k int, c string").orderBy("k")
+    assert [row[0] for row in frame.select(bodies.reader_body(F.col("c"))).collect()] == [
+        '<p class="c"><img src="s" alt="t"></p>', None, "<img x>", '<img alt="class=&quot;c&quot; width"><imgs class="c"><div style="k">', '<img data-class="k"><img>',
+    ]
 
 
 def account_page(images, authors=1, title="A"):

@@ -5,9 +5,11 @@ from __future__ import annotations
 import time
 
 import pytest
-from hypothesis import given, settings, strategies as st
+from hypothesis import HealthCheck, given, settings, strategies as st
+from pyspark.sql import functions as F
 
 from gleaner.functions.markup import inner_html, parse, resolve, select, text_of, text_of_all
+from gleaner.functions.urls import resolve_html_link
 
 
 def texts(page, selector):
@@ -122,3 +124,14 @@ def test_nested_pages_take_time_linear_in_their_depth():
     assert len(select(parse(page), ".q div > div div a")) == 1
     assert select(parse(page), ".q div span div a") == []
     assert time.time() - began < 1
+
+
+@settings(max_examples=40, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.text(alphabet="ab/.?#:\u00e9 ", max_size=12), min_size=20, max_size=20))
+def test_links_as_columns_equal_links_in_pages(spark, refs):
+    bases = ["http://h/a/b/c.html?q=1#f", "https://h", "http://h/../x/./y/", "mailto:a", "x://h/p?q"]
+    refs = [*refs, "//o/../p/./q", "http://z/a/../b?x#y", "javascript:a", "../..", "./", "", "#f", "?a", "FTP://h/a/./b"]
+    rows = [(base, ref) for base in bases for ref in refs]
+    frame = spark.createDataFrame(rows, "page string, ref string").coalesce(1)
+    found = frame.select("page", "ref", resolve_html_link(F.col("page"), F.col("ref")).alias("link")).collect()
+    assert [(r.page, r.ref, r.link) for r in found] == [(page, ref, resolve(page, ref)) for page, ref in rows]

@@ -207,7 +207,7 @@ PAGE_REFS = """SELECT page_id, url, CASE page_id % 8 WHEN 0 THEN concat('/x/', p
 )
 def html_refs(t):
     """References as HTML pages write them, made absolute."""
-    return t.sql(PAGE_REFS).select("page_id", urls.resolve_html_link("url", "ref").alias("link"))
+    return t.sql(PAGE_REFS).select("page_id", urls.resolve_html_link(F.col("url"), F.col("ref")).alias("link"))
 
 
 @query("u5_id_templates", "SELECT c_custkey, concat('http://h.example.org/p/', c_custkey, '?v=', c_custkey) AS link FROM customer")

@@ -332,12 +332,12 @@ def image_manifest(t):
 
 @query(
     "x10_reader_bodies",
-    f"""SELECT cuid, replace(replace(replace({_body_sql("concat('/img/', doc_id, '.png')", "'b.png'", "'#'")}, ' width="10" class="c"', ''), ' data-src="z" height="1"', ''), ' src="#"', '') AS content
-  FROM v_bodies JOIN documents ON doc_id = cuid - 1""",
+    """SELECT cuid, concat('<p class="c">', lang, '</p>', chr(10), '<img src="http://i.example.org/', cuid - 1, '.png" alt="x">', chr(10), '<img>') AS absolute,
+  concat('<div><img src="upload/', cuid - 1, '"></div>') AS local FROM v_contenturls JOIN documents ON doc_id = (cuid - 1) % (SELECT count(*) FROM documents)""",
 )
 def reader_bodies(t):
-    """All article bodies without the layout attributes of their images."""
-    return t.bodies.select("cuid", bodies.reader_body(F.col("content")).alias("content"))
+    """All stored bodies without the layout attributes of their images."""
+    return t.contenturls.select("cuid", bodies.reader_body(F.col("contentabsurl")).alias("absolute"), bodies.reader_body(F.col("contentlocalurl")).alias("local"))
 
 
 @query(

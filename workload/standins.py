@@ -70,7 +70,7 @@ FROM part""",
 SELECT o_orderkey + 1 AS cuid, o_custkey AS luid, sid, concat('http://s', CAST(sid AS STRING), '.example.org/a/', CAST(o_orderkey AS STRING)) AS url,
   '' AS source, CAST(CAST(o_orderdate AS DATE) AS STRING) AS postdate, 0 AS dateline, CAST(o_custkey AS INT) AS lastupdate,
   concat('T', CAST(o_orderkey % 500 AS STRING)) AS title, o_orderpriority AS author, o_orderstatus AS extrainfo, text AS contenttext, '' AS contentsource,
-  concat('<p class="c">', lang, '</p><img src="http://i.example.org/', CAST(o_orderkey AS STRING), '.png" width="3" alt="x"><img style="s" class="c">') AS contentabsurl,
+  concat('<p class="c">', lang, '</p>', chr(10), '<img src="http://i.example.org/', CAST(o_orderkey AS STRING), '.png" width="3" alt="x">', chr(10), '<img style="s" class="c">') AS contentabsurl,
   concat('<div><img data-src="d" src="upload/', CAST(o_orderkey AS STRING), '"></div>') AS contentlocalurl,
   CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN o_orderkey * 20 + 1 ELSE 0 END AS titleimageid,
   CASE WHEN o_orderkey % 11 = 0 THEN 0 WHEN o_orderkey % 11 = 1 THEN 1 ELSE 2 END AS indexfinish,
