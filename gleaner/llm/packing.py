@@ -267,3 +267,40 @@ def packed(docs: DataFrame, path: str | None = None, size: int = TOKENS, segment
 
     schema = "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, schema)
+
+
+def packed_examples(examples: DataFrame, limits: tuple[int, int, int] = (TOKENS, SEGMENTS, TOKENS)) -> DataFrame:
+    """``example_id``, ``sequence_id``, ``place`` of instruction examples, which are never cut.
+
+    ``examples``: ``example_id``, ``tokens``, ``segments`` (turns), ``loss_tokens`` (those of the answers).
+    A sequence stays within all three ``limits``. An example that exceeds one alone has a sequence of
+    its own (``place`` 0); null demands count as 0. Tasks pack the examples they read.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << _SLOT
+        packer = Packer(limits, lambda item, count: None)
+
+        def placed(sequences: list[list]) -> pa.RecordBatch:
+            nonlocal number
+            rows = [(item, number + k, place) for k, items in enumerate(sequences) for place, item in enumerate(items)]
+            number += len(sequences)
+            columns = [pa.array([r[k] for r in rows], pa.int64()) for k in range(3)]
+            return pa.RecordBatch.from_arrays(columns, ["example_id", "sequence_id", "place"])
+
+        for batch in batches:
+            ids, *demands = (batch.column(k).to_pylist() for k in range(4))
+            rows = list(zip(ids, zip(*demands, strict=True), strict=True))
+            fits = [all(d <= limit for d, limit in zip(demand, limits, strict=True)) for _, demand in rows]
+            packer.add([i for (i, _), fit in zip(rows, fits, strict=True) if fit], [d for (_, d), fit in zip(rows, fits, strict=True) if fit])
+            ready = [[i] for (i, _), fit in zip(rows, fits, strict=True) if not fit]
+            while len(packer.items) > POOL:
+                ready.append(packer.fill())
+            yield placed(ready)
+        ready = []
+        while packer.items:
+            ready.append(packer.fill())
+        yield placed(ready)
+
+    demands = [F.coalesce(F.col(name).cast("bigint"), F.lit(0)) for name in ("tokens", "segments", "loss_tokens")]
+    return examples.select(F.col("example_id").cast("bigint"), *demands).mapInArrow(run, "example_id bigint, sequence_id bigint, place bigint")

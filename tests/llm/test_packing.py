@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from gleaner.llm.packing import SEGMENTS, Packer, Tokens, packed
+from gleaner.llm.packing import SEGMENTS, Packer, Tokens, packed, packed_examples
 from gleaner.llm.queries import QUERIES
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -89,3 +89,25 @@ def test_limits_hold_together():
         assert chosen and all(sum(demands[k][d] for k in chosen) <= limit for d, limit in enumerate((100, 5, 60)))
         seen += chosen
     assert sorted(seen) == list(range(500))
+
+
+def test_conversations_stay_whole_within_all_limits(spark):
+    turns = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
+    words = F.size(F.split("text", " "))
+    examples = turns.groupBy(F.col("conv_id").alias("example_id")).agg(
+        F.sum(words).alias("tokens"), F.count("*").alias("segments"), F.sum(F.when(F.col("role") == "assistant", words).otherwise(0)).alias("loss_tokens")
+    )
+    limits = (4096, 40, 3000)
+    demands = {r.example_id: (r.tokens, r.segments, r.loss_tokens) for r in examples.collect()}
+    sequences: dict = {}
+    for r in packed_examples(examples.coalesce(1), limits).collect():
+        sequences.setdefault(r.sequence_id, []).append(r.example_id)
+    assert sorted(i for ids in sequences.values() for i in ids) == sorted(demands)
+    for ids in sequences.values():
+        total = [sum(demands[i][d] for i in ids) for d in range(3)]
+        assert len(ids) == 1 or all(t <= limit for t, limit in zip(total, limits, strict=True))
+    # Not many more sequences than the scarcest demand needs.
+    least = max(-(-sum(d[k] for d in demands.values()) // limit) for k, limit in enumerate(limits))
+    assert len(sequences) <= 1.25 * least + 1
+    rows = spark.createDataFrame([(1, None, None, None), (None, 5, 1, 1), (2, 10**6, 1, 1)], "example_id bigint, tokens int, segments int, loss_tokens int")
+    assert packed_examples(rows).count() == 3 and packed_examples(rows.limit(0)).count() == 0
