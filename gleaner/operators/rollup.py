@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from gleaner.schemas import WAITING
 
@@ -18,6 +18,12 @@ def images_complete(images: DataFrame, touched: DataFrame) -> DataFrame:
     return touched.select("cuid").distinct().join(pending, "cuid", "left_anti")
 
 
+def complete_by(images: DataFrame, touched: Column) -> DataFrame:
+    """Articles with an image that is ``touched`` and none left waiting, in one pass over the images."""
+    counts = images.groupBy("cuid").agg(F.count_if(F.col("status") == WAITING).alias("_waiting"), F.count_if(touched).alias("_touched"))
+    return counts.filter("_waiting = 0 AND _touched > 0").select("cuid")
+
+
 def mark_complete(contenturls: DataFrame, complete: DataFrame) -> DataFrame:
     """Articles with ``imagefinish`` set for those that are complete."""
     marks = complete.select("cuid", F.lit(1).alias("_complete"))

@@ -18,7 +18,7 @@ from gleaner.operators.links import insert_account_items, insert_links
 from gleaner.operators.rollup import (
     add_attempts,
     attempts,
-    images_complete,
+    complete_by,
     latest_fetch,
     mark_complete,
     move_clocks,
@@ -40,8 +40,8 @@ def last_attempts(results: DataFrame, key: str) -> DataFrame:
     return results.join(last, [key, "attempt"])
 
 
-def update(table: DataFrame, changes: DataFrame, key: str) -> DataFrame:
-    """A table with the columns of ``changes`` put in place, by key."""
+def update(table: DataFrame, changes: DataFrame, key: str, *keep: Column) -> DataFrame:
+    """A table with the columns of ``changes`` put in place, by key; ``keep`` may use ``_hit``, set where a row changed."""
     names = [name for name in changes.columns if name != key]
     staged = changes.select(key, F.lit(True).alias("_hit"), *[F.col(name).alias(f"_{name}") for name in names])
     joined = table.join(staged, key, "left")
@@ -49,7 +49,8 @@ def update(table: DataFrame, changes: DataFrame, key: str) -> DataFrame:
         *[
             (F.when(F.col("_hit"), F.col(f"_{name}")).otherwise(F.col(name)) if name in names else F.col(f"`{name}`")).alias(name)
             for name in table.columns
-        ]
+        ],
+        *keep,
     )
 
 
@@ -262,11 +263,10 @@ def commit_images(results: DataFrame, images: DataFrame, contenturls: DataFrame)
         "duration",
         "connecterror",
     )
-    stored = update(images, changes, "imgid")
-    touched = images.select("imgid", "cuid").join(last.select("imgid"), "imgid", "left_semi")
+    after = update(images, changes, "imgid", F.col("_hit"))
     return {
-        "images": stored,
-        "contenturls": mark_complete(contenturls, images_complete(stored, touched)),
+        "images": after.drop("_hit"),
+        "contenturls": mark_complete(contenturls, complete_by(after, F.col("_hit"))),
     }
 
 

@@ -6,10 +6,11 @@ from pyspark.sql import functions as F, types as T
 
 from gleaner.operators import accounts, bodies, extract
 from gleaner.plans import commit, dryrun, queries
+from gleaner.schemas import SCHEMAS
 from gleaner.session import stored
 from gleaner.sources.tables import read_raw_pages, read_table, write_table
 from gleaner.streaming import streams
-from workload.native import GENERATED, HTML_LINKS, SHOWN_IMAGE, VISIBLE, WXCONFIG_OK
+from workload.native import DUE_LISTS, GENERATED, HTML_LINKS, SHOWN_IMAGE, VISIBLE, WXCONFIG_OK
 from workload.registry import query
 from workload.standins import CLOCK, NOW
 
@@ -701,3 +702,67 @@ def polite_requests_batch(t):
     events = t.given("events")
     requests = events.select((F.col("user_id") + 1).alias("sid"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("at"))
     return streams.polite_requests_batch(requests, GAP)
+
+
+# ---- one round of the collection, over written snapshots -------------------------------------------------------------
+
+FETCHED, LATER = CLOCK - 10, CLOCK + 100
+
+
+def _snapshot(t, tables: dict, names: list[str]) -> dict:
+    """The named tables as the next snapshot, written and read again."""
+    from gleaner.session import new_folder
+
+    folder = new_folder(t.spark, "snapshots")
+    for name in names:
+        write_table(tables[name], folder, name)
+    return {name: read_table(t.spark, folder, name) for name in names}
+
+
+def _fetched(rows, key: str, failed, body):
+    """Fetched pages of chosen rows (``key, sid, url``)."""
+    return rows.select(
+        F.col(key).alias("attempt"), key, "sid", "url", body.alias("body"), F.when(failed, "timeout").otherwise("").alias("connecterror"),
+        F.lit(1).alias("duration"), F.lit(FETCHED).alias("fetched_at"),
+    )
+
+
+@query(
+    "e1_collection_round",
+    f"""WITH due AS (SELECT sid, max(luid) AS luid FROM ({DUE_LISTS}) GROUP BY sid),
+  n AS (SELECT count(*) AS n FROM pages),
+  lists AS (SELECT d.sid, d.luid, regexp_extract(listurl, '^([a-z]+://[^/?#]*)', 1) AS origin, regexp_extract_all(body, '<li><a href="([^"]*)"', 1) AS hrefs
+    FROM due d JOIN v_listurls l ON l.luid = d.luid JOIN n ON true JOIN v_host_pages h ON h.page = d.luid % n
+    WHERE d.luid % 7 < 6 AND (d.sid - 1) % 6 IN (0, 2, 3)),
+  links AS (SELECT sid, luid, unnest(range(0, len(hrefs))) AS pos, concat(origin, unnest(hrefs)) AS url FROM lists),
+  arts AS (SELECT sid, url, row_number() OVER (ORDER BY luid, pos DESC) AS cuid
+    FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY luid, pos DESC) AS rn FROM links) WHERE rn = 1),
+  chosen AS (SELECT sid, min(cuid) AS cuid FROM arts WHERE sid IN (SELECT sid FROM v_sites WHERE isweixin = 0 AND greatest(lastfetch, {FETCHED}) + gap_s < {LATER}) GROUP BY sid)
+  SELECT a.cuid, a.sid, sitename, concat('T', a.cuid) AS title, a.url FROM chosen c JOIN arts a ON a.cuid = c.cuid JOIN v_sites s ON s.sid = a.sid
+  WHERE (a.sid - 1) % 8 < 4 AND a.cuid % 11 < 10 AND (islocal = 0 OR a.cuid % 2 = 1 OR a.cuid % 3 > 0) ORDER BY a.cuid DESC LIMIT 50""",
+)
+def collection_round(t):
+    """Due list pages to a listing: pages read, articles found, one read per site, its images loaded, every step over a written snapshot."""
+    from gleaner.operators.select import next_article, next_list_page
+
+    empty = {name: t.spark.createDataFrame([], SCHEMAS[name]) for name in ("contenturls", "images", "articletags", "contenttags")}
+    listurls, page_count = t.state("listurls"), t.given("pages").count()
+    bodies_by_id = t.host_pages.select("page", F.col("body").alias("_body"))
+    due = next_list_page(listurls, t.sites, CLOCK).join(listurls.select("luid", F.col("listurl").alias("url")), "luid")
+    due = due.join(bodies_by_id, F.col("luid") % page_count == F.col("page"))
+    results = stored(extract.list_results(_fetched(due, "luid", F.col("luid") % 7 == 6, F.col("_body")), t.sites))
+    first = _snapshot(t, commit.commit_lists(results, t.state("sites"), listurls, empty["contenturls"], NOW), ["sites", "contenturls"])
+
+    wanted = next_article(first["contenturls"], first["sites"], LATER, 0).join(first["contenturls"].select("cuid", "url"), "cuid")
+    image = F.when(F.col("cuid") % 2 == 0, '<img src="/i.png">').otherwise("")
+    body = F.concat(F.lit("<h1>T"), "cuid", F.lit("</h1><article><p>x</p>"), image, F.lit("</article>"))
+    pages = _fetched(wanted, "cuid", F.col("cuid") % 11 == 10, body)
+    read = stored(extract.article_results(pages, first["sites"]))
+    articles = commit.commit_articles(read, first["sites"], first["contenturls"], empty["images"], empty["articletags"], empty["contenttags"], NOW)
+    second = _snapshot(t, articles, ["sites", "contenturls", "images"])
+
+    loaded = second["images"].filter("cuid % 3 > 0").select(
+        F.col("imgid").alias("attempt"), "imgid", F.lit(9).cast("bigint").alias("size"), F.lit(1).alias("duration"), F.lit("").alias("connecterror"), F.lit(FETCHED).alias("fetched_at")
+    )
+    third = _snapshot(t, commit.commit_images(loaded, second["images"], second["contenturls"]), ["contenturls", "images"])
+    return queries.content_list(third["contenturls"], second["sites"], third["images"], 0, 1, 50).select("cuid", "sid", "sitename", "title", "url")
