@@ -73,7 +73,7 @@ def _spans(hit: np.ndarray, following: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def _pack(*parts: np.ndarray | bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=3).compress(b"".join(p if isinstance(p, bytes) else p.tobytes() for p in parts))
+    return zstandard.ZstdCompressor(level=6).compress(b"".join(p if isinstance(p, bytes) else p.tobytes() for p in parts))
 
 
 def _packed(table: pa.Table, size: int, buckets: int) -> Iterator[tuple[int, bytes]]:
