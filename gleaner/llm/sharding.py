@@ -56,20 +56,22 @@ def sharded(docs: DataFrame, limit: int = SHARD_BYTES, key: str = "doc_id") -> D
     while True:
         cells = rows.groupBy(_prefix(high).alias("cell")).agg(*_sums(_SUMS))
         steps = cells.withColumn("depth", F.explode(F.sequence(F.lit(low), F.lit(high)))).withColumn("prefix", F.call_function("shiftright", F.col("cell"), (F.lit(high) - F.col("depth")).cast("int")))
-        entries = steps.groupBy("depth", "prefix").agg(*_sums(_OVER)).where(F.expr(f"shard_bytes <= {limit} OR least = most"))
-        found = (
-            steps.select("cell", "depth", "prefix")
-            .join(entries, ["depth", "prefix"], "left")
-            .groupBy("cell")
-            .agg(F.min(F.when(F.col("least").isNotNull(), F.struct("depth", "prefix", "shard_bytes", "shard_docs"))).alias("entry"))
-        )
-        directory = stored(found)
-        here = rows.withColumn("cell", _prefix(high)).join(directory, "cell").select("doc_id", "n_bytes", "hash", "salt", "entry.*", F.col("entry").isNotNull().alias("done"))
-        settled = here.where("done").drop("done")
+        entries = steps.groupBy("depth", "prefix").agg(*_sums(_OVER)).withColumn("fits", F.expr(f"shard_bytes <= {limit} OR least = most"))
+        # A shard is an entry that fits below one that does not: every entry meets its two halves only.
+        above = entries.select((F.col("depth") + 1).alias("depth"), F.col("prefix").alias("parent"), F.col("fits").alias("parent_fits"))
+        leaves = entries.where("fits").withColumn("parent", F.shiftright("prefix", 1)).join(above, ["depth", "parent"], "left").where("parent_fits IS NULL OR NOT parent_fits")
+        # It holds the directory's cells of its prefix.
+        wide = (F.lit(high) - F.col("depth")).cast("int")
+        first = F.call_function("shiftleft", F.col("prefix"), wide)
+        held = F.sequence(first, first + F.call_function("shiftleft", F.lit(1).cast("bigint"), wide) - 1)
+        directory = stored(leaves.select(F.explode(held).alias("cell"), "depth", "prefix", "shard_bytes", "shard_docs"))
+        here = rows.withColumn("cell", _prefix(high))
+        settled = here.join(directory, "cell").drop("cell")
         placed = settled if placed is None else placed.union(settled)
-        if high == BITS or directory.where("entry IS NULL").isEmpty():
+        rest = stored(cells.select("cell").join(directory, "cell", "left_anti"))
+        if high == BITS or rest.isEmpty():
             break
-        rows = rows.withColumn("cell", _prefix(high)).join(directory.where("entry IS NULL"), "cell", "left_semi").drop("cell")
+        rows = here.join(rest, "cell", "left_semi").drop("cell")
         low, high = high + 1, min(BITS, high + 2 * _AHEAD)
     bits = F.expr("lpad(conv(CAST(prefix AS STRING), 10, 2), depth, '0')")
     placed = placed.withColumn("shard", bits)
