@@ -136,16 +136,18 @@ def fit(taken: np.ndarray, labels: np.ndarray, languages: list[str], rounds: int
 def learn(docs: DataFrame, held_out: int = 2, parts: int = 4, bound: int = TRAIN_DOCS) -> Network | None:
     """A network fitted on about ``bound`` documents at most, as many of each language, none of the held-out fold.
 
-    Only text and non-null ``lang`` are used. None if no document has a language.
+    Only text and non-null ``lang`` of rows with an id are used. None if no document has a language.
     """
-    known = docs.where(F.col("lang").isNotNull() & (fold(parts) != held_out))
+    known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (fold(parts) != held_out))
     counts = known.groupBy("lang").agg(F.count("*").alias("docs"))
     languages = counts.count()
     if not languages:
         return None
+    # Ids are chosen on narrow rows; only the sample, as small as its bound, meets the texts.
     share = F.lit(bound / languages) / F.col("docs")
     grain = F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(_GRAINS))
-    sample = known.select("doc_id", "lang", "text").join(counts, "lang").where(grain < share * _GRAINS)
+    chosen = known.select("doc_id", "lang").join(counts, "lang").where(grain < share * _GRAINS).select("doc_id", "lang").distinct()
+    sample = known.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in text_blocks(batches):
