@@ -17,6 +17,7 @@ WIDTHS = (2, 3, 4)  # bytes that a filter spans
 FILTERS = 16  # filters of each width
 TRAIN_DOCS = 4000  # labelled documents the network is fitted on, about, at most
 TRAIN_WINDOWS = 6  # windows of each of them, evenly spread over the whole text
+_SALTS = 64  # tasks that the rows of one language are dealt to
 _BATCH, _MANY = 64, 8192  # windows that are convolved, and cut out, at once
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -143,10 +144,13 @@ def learn(docs: DataFrame, held_out: int = 2, parts: int = 4, bound: int = TRAIN
     languages = counts.count()
     if not languages:
         return None
-    # Ids are chosen on narrow rows; only the sample, as small as its bound, meets the texts.
+    # Ids are chosen on narrow rows, a language over many tasks; only the sample, as small as its bound, meets the texts.
     share = F.lit(bound / languages) / F.col("docs")
     grain = F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(_GRAINS))
-    chosen = known.select("doc_id", "lang").join(counts, "lang").where(grain < share * _GRAINS).select("doc_id", "lang").distinct()
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(_SALTS))
+    shares = counts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    spread = known.select("doc_id", "lang", salt.cast("int").alias("salt")).join(shares, ["lang", "salt"])
+    chosen = spread.where(grain < share * _GRAINS).select("doc_id", "lang").distinct()
     sample = known.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
