@@ -15,6 +15,7 @@ from gleaner.llm.text import flat, mix, normal, runs, text_blocks, word_hashes,
 WINDOW = 13
 GRAM = 3  # words of which a minimiser is the hash
 BUCKET_BYTES = 16 << 20  # of packed words that a bucket holds on average
+SLOTS = 8  # groups of minimisers in a bucket whose bytes are counted apart
 _LAST = np.iinfo(np.int64).max  # in place of a null id: after all others
 
 
@@ -76,12 +77,32 @@ def _pack(*parts: np.ndarray | bytes) -> bytes:
     return zstandard.ZstdCompressor(level=6).compress(b"".join(p if isinstance(p, bytes) else p.tobytes() for p in parts))
 
 
-def _packed(table: pa.Table, size: int, buckets: int) -> Iterator[tuple[int, bytes]]:
+def _slots(seeds: np.ndarray, buckets: int) -> np.ndarray:
+    """The group of minimisers that each one is in; a bucket has ``SLOTS`` of them."""
+    return (mix(seeds) % np.uint64(buckets * SLOTS)).astype(np.int64)
+
+
+def _weights(table: pa.Table, size: int, buckets: int) -> np.ndarray:
+    """Bytes of words that a block's windows would send to each slot."""
+    data, offsets = flat(table.column("text"))
+    starts, ends, doc = words(data, offsets)
+    data, _, starts, ends = normal(data, offsets, starts, ends, doc)
+    count = len(starts) - size + 1
+    first = np.flatnonzero(doc[: max(count, 0)] == doc[size - 1 :])
+    if not len(first):
+        return np.zeros(buckets * SLOTS)
+    seeds = _least(runs(word_hashes(data, starts, ends), GRAM), size - GRAM + 1)[first]
+    a, b = _spans(np.ones(len(first), bool), np.concatenate(([False], (np.diff(first) == 1) & (seeds[1:] == seeds[:-1]))))
+    return np.bincount(_slots(seeds[a], buckets), ends[first[b] + size - 1] - starts[first[a]], buckets * SLOTS)
+
+
+def _packed(table: pa.Table, size: int, buckets: int, heavy: np.ndarray) -> Iterator[tuple[int, bytes]]:
     """Bucket and blob of what one block of documents sends.
 
     A window that a smaller id of the same block also holds is settled here, so
     of a passage that many documents share the block sends one copy; the settled
-    ranges travel in a blob of their own, past the last bucket.
+    ranges travel in a blob of their own, past the last bucket. Windows whose
+    minimiser is in a slot of ``heavy`` go one by one to the bucket of their own hash.
     """
     data, offsets = flat(table.column("text"))
     starts, ends, doc = words(data, offsets)
@@ -106,9 +127,13 @@ def _packed(table: pa.Table, size: int, buckets: int) -> Iterator[tuple[int, byt
         yield buckets + int(abs(ids[0]) % buckets), _pack(np.array([len(a)]), *rows)
     seeds = _least(runs(hashes, GRAM), size - GRAM + 1)[first]
     left = ~settled
-    following[1:] &= seeds[1:] == seeds[:-1]
+    slots = _slots(seeds, buckets)
+    alone = np.isin(slots, heavy)
+    following[1:] &= (seeds[1:] == seeds[:-1]) & ~alone[1:]
     a, b = _spans(left, following)
-    target = (mix(seeds[a]) % np.uint64(buckets)).astype(np.int64)
+    target = slots[a] % buckets
+    own = alone[a]
+    target[own] = (runs(hashes, size)[first[a[own]]] % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(target, kind="stable")
     a, b, target = a[order], b[order], target[order]
     begins, finishes = starts[first[a]], ends[first[b] + size - 1]
@@ -169,6 +194,11 @@ def repeated_ranges(docs: DataFrame, row: list[Column], window: int = WINDOW) ->
     of words to the minimiser's bucket, where equal windows meet and are sorted
     and compared by their words. Strings of a block and bucket share one compressed
     blob. There are as many buckets as keep one at ``BUCKET_BYTES`` on average.
+
+    All windows around a frequent gram have one minimiser. So the bytes of each slot
+    of minimisers are counted first, and the windows of one that alone is over
+    ``BUCKET_BYTES`` are dealt by their own hash instead: equal windows still
+    meet, and different ones part.
     """
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -176,9 +206,20 @@ def repeated_ranges(docs: DataFrame, row: list[Column], window: int = WINDOW) ->
     packed = total * (span + window - 1) / span
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(packed / BUCKET_BYTES))
 
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(buckets * SLOTS)
+        for table in text_blocks(batches):
+            sums += _weights(table, window, buckets)
+        filled = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(filled, pa.int64()), pa.array(sums[filled].astype(np.int64))], ["slot", "bytes"])
+
+    weights = docs.select("text").mapInArrow(weigh, "slot bigint, bytes bigint").groupBy("slot").agg(F.sum("bytes").alias("bytes"))
+    # At most one for every BUCKET_BYTES sent.
+    heavy = np.array([r.slot for r in weights.where(F.col("bytes") > BUCKET_BYTES).select("slot").collect()], np.int64)
+
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in text_blocks(batches):
-            rows = list(_packed(table, window, buckets))
+            rows = list(_packed(table, window, buckets, heavy))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "blob"])
 

@@ -7,7 +7,9 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import zstandard
 
 from gleaner.llm import substring, text
 from gleaner.llm.queries import QUERIES
@@ -86,3 +88,29 @@ def test_edge_rows(spark):
     assert sorted(got(rows), key=str) == sorted(brute(docs), key=str)
     assert rows.select("row.begin", "row.row_key").distinct().collect() == [(1, 2)]
     assert without_repeats(frame.limit(0)).count() == 0
+
+
+def test_windows_around_a_frequent_gram_are_many_buckets(spark, monkeypatch):
+    """A line in all documents between words of their own: the windows over its edges differ and have few minimisers."""
+    draw = random.Random(11)
+    own = lambda n: [f"w{draw.getrandbits(30)}" for _ in range(n)]
+    # Of many lines the one whose hash is the least, so that most windows over it have it as their minimiser.
+    lines = [" ".join(own(3)) for _ in range(5000)]
+    data, offsets = text.flat(pa.array(lines))
+    hashes = text.word_hashes(data, *text.words(data, offsets)[:2])
+    line = lines[int(np.argmin(text.runs(hashes, 3)[::3]))]
+    rows = [(i, " ".join([*own(10), line, *own(10)])) for i in range(3000)]
+    rows += [(3000 + i, rows[i][1]) for i in range(0, 3000, 10)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    monkeypatch.setattr(substring, "BUCKET_BYTES", 1 << 16)
+    assert sorted(got(without_repeats(docs))) == sorted(brute(rows))
+
+    def loads(table, size, buckets):
+        """In place of the ranges: a bucket and the bytes that came to it."""
+        blobs = [zstandard.ZstdDecompressor().decompress(b) for b in table.column("blob").to_pylist()]
+        held = {"row_id": [table.column("bucket")[0].as_py()], "row_key": [sum(map(len, blobs))], "begin": [0], "end": [0]}
+        return pa.table({name: pa.array(column, pa.int64()) for name, column in held.items()})
+
+    monkeypatch.setattr(substring, "_settled", loads)
+    sizes = sorted(r.row_key for r in substring.repeated_ranges(docs, substring._row(docs)).collect())
+    assert sizes[-1] < 4 * sizes[len(sizes) // 2], sizes
