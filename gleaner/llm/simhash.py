@@ -10,6 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gleaner.llm.components import components
+from gleaner.llm.rows import unpacked, whole
 from gleaner.llm.text import flat, normal, text_blocks, words
 from gleaner.session import stored
 
@@ -142,10 +143,20 @@ def first_of_each_group(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """The documents that stay when one of each group of near-duplicates does: that with the smallest id.
 
     All columns of ``docs`` are kept. A null id comes after all others; equal ids
-    are settled by a hash of the text; of rows with equal id and text one stays.
+    are settled by a hash of the text; of rows with equal id and text one stays, and
+    they meet within each task before they move. An empty table gives an empty result.
     """
-    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key"))["row_key"]
-    kept = near_duplicates(docs, shingle).groupBy("root").agg(first.alias("row_key")).select("row_key")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")).alias("first")
+    kept = near_duplicates(docs, shingle).groupBy("root").agg(first).select(*_found("first.doc_id", F.col("first.row_key")))
     # Columns of the same name in the documents stay apart from the key.
-    keyed = docs.select(F.struct("*").alias("_row"), _row_key())
-    return keyed.join(kept, "row_key", "left_semi").dropDuplicates(["row_key"]).select("_row.*")
+    keyed = docs.select(whole(docs), *_found("doc_id", _row_key())).dropDuplicates(_FOUND)
+    return unpacked(keyed.join(kept, _FOUND, "left_semi"), docs)
+
+
+_FOUND = ["_id", "_none", "_key"]
+
+
+def _found(doc_id: str, key: Column) -> list[Column]:
+    """What finds a row again: its id, never null, whether it was, and its key."""
+    own = F.col(doc_id).cast("bigint")
+    return [F.coalesce(own, F.lit(0).cast("bigint")).alias("_id"), own.isNull().alias("_none"), key.alias("_key")]
