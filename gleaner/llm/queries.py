@@ -18,6 +18,7 @@ from gleaner.llm.sharding import SHARD_BYTES, sharded
 from gleaner.llm.simhash import near_duplicates
 from gleaner.llm.substring import without_repeats
 from gleaner.llm.topk import top_products
+from gleaner.llm.vectors import near_vectors
 from gleaner.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -149,3 +150,25 @@ def _op8(read) -> DataFrame:
 def _op9(read) -> DataFrame:
     """What every revisit of the pages' records refers to."""
     return resolved(captures(read("pages"))).withColumn("headers", printed("headers"))
+
+
+_OP11 = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+  WHERE label IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0 AND len([x for x in embedding if x <> 0]) > 0),
+e AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_inner_product(a.x, b.x) / (sqrt(list_inner_product(a.x, a.x)) * sqrt(list_inner_product(b.x, b.x))) >= 0.93),
+r AS (
+  SELECT vec_id, vec_id AS reached FROM embeddings
+  UNION
+  SELECT r.vec_id, e.b FROM r JOIN e ON e.a = r.reached),
+n AS (SELECT a AS vec_id, count(*) AS n FROM e GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, min(reached) AS component_id, vec_id = min(reached) AS kept
+FROM r LEFT JOIN n USING (vec_id) GROUP BY vec_id, n"""
+
+
+@query("op11_embedding_near_duplicates", _OP11)
+def _op11(read) -> DataFrame:
+    """Links, component and whether it stays, of every vector."""
+    return near_vectors(read("embeddings")).select("vec_id", "n_links", "component_id", "kept")
