@@ -57,11 +57,11 @@ def flat(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end byte of every word, and the index of its document."""
+def words(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end byte of every word, and the index of its document; ``between`` marks the bytes that part words."""
     if not len(data):
         return (np.zeros(0, np.int64),) * 3
-    inside = ~SPACE[data]
+    inside = ~between[data]
     begins, finishes = inside.copy(), inside.copy()
     begins[1:] &= ~inside[:-1]
     finishes[:-1] &= ~inside[1:]
@@ -73,6 +73,24 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(offsets, starts, "right") - 1
 
 
+def lowered(data: np.ndarray) -> np.ndarray:
+    """The bytes with A-Z in lower case."""
+    out = data.copy()
+    out[(out >= 65) & (out <= 90)] += 32
+    return out
+
+
+def distinct(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """Each word's number, and the different words by number; words are told apart by their bytes."""
+    lengths = ends - starts
+    closing = np.cumsum(lengths)
+    place = np.arange(int(closing[-1]) if len(closing) else 0) + np.repeat(starts - (closing - lengths), lengths)
+    offsets = np.concatenate(([0], closing)).astype(np.int64)
+    column = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data[place])])
+    coded = column.dictionary_encode()
+    return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
+
+
 def normal(data: np.ndarray, offsets: np.ndarray, starts: np.ndarray, ends: np.ndarray, doc: np.ndarray):
     """The same texts with one space after each word: bytes, document offsets, word starts and ends."""
     if not len(starts):
