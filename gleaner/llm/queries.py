@@ -12,6 +12,7 @@ from gleaner.llm.labelled import fold
 from gleaner.llm.language import identified, learn as learn_languages
 from gleaner.llm.mixing import mixed
 from gleaner.llm.packing import packed
+from gleaner.llm.phrases import collocations
 from gleaner.llm.quality_classifier import scored
 from gleaner.llm.quality_rules import COUNTS, judged, learn
 from gleaner.llm.revisits import resolved
@@ -210,3 +211,36 @@ FROM r QUALIFY part = 'pair' OR rank <= 50"""
 def _op13(read) -> DataFrame:
     """How far every two sources of a language lie apart, and the terms that mark each source."""
     return divergence(read("documents"))
+
+
+_OP12 = r"""
+WITH d AS (
+  SELECT coalesce(lang, 'und') AS lang,
+    unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM d),
+g AS (SELECT lang, size, array_to_string(ws[i:i + size - 1], ' ') AS phrase
+  FROM (SELECT lang, ws, size, unnest(range(1, len(ws) - size + 2)) AS i FROM w, (SELECT unnest([1, 2, 3, 4]) AS size) WHERE len(ws) >= size)),
+f AS (SELECT lang, size, phrase, count(*) AS f FROM g GROUP BY lang, size, phrase),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE size = 1 GROUP BY lang),
+c AS (SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE size > 1 AND f >= 30),
+k AS (
+  SELECT lang, phrase, a, k, array_to_string(ws[1:k], ' ') AS p, array_to_string(ws[k + 1:], ' ') AS q
+  FROM (SELECT *, unnest(range(1, size)) AS k FROM c)),
+s AS (
+  SELECT k.lang, k.phrase, a, k, x.f AS l, y.f AS r, CAST((CAST(2000000 AS HUGEINT) * a) // (x.f + y.f) AS BIGINT) AS score
+  FROM k JOIN f x ON x.lang = k.lang AND x.phrase = p JOIN f y ON y.lang = k.lang AND y.phrase = q
+  QUALIFY row_number() OVER (PARTITION BY k.lang, k.phrase ORDER BY score, k) = 1),
+i AS (
+  SELECT DISTINCT lang, array_to_string(ws[b:b + m - 1], ' ') AS phrase, a AS f
+  FROM (SELECT *, unnest(range(1, size - m + 2)) AS b FROM (SELECT *, unnest(range(2, size)) AS m FROM c))),
+u AS (SELECT lang, phrase, max(f) AS most FROM i GROUP BY lang, phrase)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM s JOIN n USING (lang) LEFT JOIN u USING (lang, phrase)
+WHERE most IS NULL OR 100 * most < 80 * a QUALIFY rank <= 2000"""
+
+
+@query("op12_collocations", _OP12)
+def _op12(read) -> DataFrame:
+    """The phrases of each language that hold together most."""
+    return collocations(read("documents"))

@@ -80,14 +80,18 @@ def lowered(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def distinct(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, pa.Array]:
-    """Each word's number, and the different words by number; words are told apart by their bytes."""
+def gathered(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The bytes from each start to its end as binary values."""
     lengths = ends - starts
     closing = np.cumsum(lengths)
     place = np.arange(int(closing[-1]) if len(closing) else 0) + np.repeat(starts - (closing - lengths), lengths)
     offsets = np.concatenate(([0], closing)).astype(np.int64)
-    column = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data[place])])
-    coded = column.dictionary_encode()
+    return pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data[place])])
+
+
+def distinct(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """Each word's number, and the different words by number; words are told apart by their bytes."""
+    coded = gathered(data, starts, ends).dictionary_encode()
     return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
 
 
