@@ -17,12 +17,17 @@ def unseen_links(links: DataFrame, contenturls: DataFrame, on: list[str]) -> Dat
     of all pages never gathers in one task; over texts it would be a sort. The
     other columns are joined back for the keys that are left.
     """
-    placed = links.withColumn("_order", reading_order("page", -F.col("pos")))
-    first = placed.groupBy(*on).agg(F.min("_order").alias("_order"))
+    placed, first = first_places(links, on)
     fresh = first.join(contenturls.select(*on), on, "left_anti")
     return placed.join(fresh, [*on, "_order"]).select(*links.columns)
 
 
+def first_places(links: DataFrame, on: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Links with their place ``_order`` in the batch, and the first place of each key."""
+    placed = links.withColumn("_order", reading_order("page", -F.col("pos")))
+    return placed, placed.groupBy(*on).agg(F.min("_order").alias("_order"))
+
+
 def insert_links(links: DataFrame, contenturls: DataFrame, now: int) -> DataFrame:
     """New article rows for links (``page, pos, luid, sid, url``) not stored for any site.
 
@@ -30,7 +35,7 @@ def insert_links(links: DataFrame, contenturls: DataFrame, now: int) -> DataFram
     which is the order of the new ids.
     """
     fresh = unseen_links(links, contenturls, ["url"])
-    return _insert(fresh, contenturls, now)
+    return numbered_articles(fresh, contenturls, now)
 
 
 def insert_account_items(items: DataFrame, contenturls: DataFrame, now: int) -> DataFrame:
@@ -40,9 +45,10 @@ def insert_account_items(items: DataFrame, contenturls: DataFrame, now: int) ->
     title on two sites is two articles.
     """
     fresh = unseen_links(items, contenturls, ["sid", "title"])
-    return _insert(fresh, contenturls, now)
+    return numbered_articles(fresh, contenturls, now)
 
 
-def _insert(fresh: DataFrame, contenturls: DataFrame, now: int) -> DataFrame:
+def numbered_articles(fresh: DataFrame, contenturls: DataFrame, now: int) -> DataFrame:
+    """New article rows with ids above those of ``contenturls``."""
     numbered = new_ids(fresh, contenturls, "cuid", [F.col("page"), F.desc("pos")])
     return conform(numbered.withColumn("dateline", F.lit(now)), "contenturls")

@@ -22,21 +22,29 @@ def article_tag_names(articles: DataFrame) -> DataFrame:
     return articles.select("cuid", F.posexplode(names).alias("pos", "tagname"))
 
 
-def upsert_tags(articles: DataFrame, articletags: DataFrame) -> DataFrame:
-    """The tag table with the unknown names of the articles, numbered by first appearance."""
+def unknown_tags(articles: DataFrame, articletags: DataFrame) -> DataFrame:
+    """Tag rows for the names of the articles that are not known, numbered by first appearance."""
     order = reading_order("cuid", F.col("pos"))
     seen = article_tag_names(articles).groupBy("tagname").agg(F.min(order).alias("_first"))
     unknown = seen.join(articletags.select("tagname"), "tagname", "left_anti")
-    numbered = new_ids(unknown, articletags, "tid", [F.col("_first")])
-    return articletags.select("tid", "tagname").unionByName(numbered.select("tid", "tagname"))
+    return new_ids(unknown, articletags, "tid", [F.col("_first")]).select("tid", "tagname")
 
 
-def upsert_bridge(articles: DataFrame, articletags: DataFrame, contenttags: DataFrame) -> DataFrame:
-    """The article-tag bridge with the pairs not there yet; ``articletags`` already holds all names."""
+def upsert_tags(articles: DataFrame, articletags: DataFrame) -> DataFrame:
+    """The tag table with the unknown names of the articles."""
+    return articletags.select("tid", "tagname").unionByName(unknown_tags(articles, articletags))
+
+
+def missing_pairs(articles: DataFrame, articletags: DataFrame, contenttags: DataFrame) -> DataFrame:
+    """Bridge rows for the tags of articles that are not there yet; ``articletags`` already holds all names."""
     names = article_tag_names(articles).join(articletags.select("tid", "tagname"), "tagname")
     fresh = names.select("cuid", "tid", "pos").join(contenttags.select("cuid", "tid"), ["cuid", "tid"], "left_anti")
-    numbered = new_ids(fresh, contenttags, "ctid", [F.col("cuid"), F.col("pos")])
-    return contenttags.select("ctid", "tid", "cuid").unionByName(numbered.select("ctid", "tid", "cuid"))
+    return new_ids(fresh, contenttags, "ctid", [F.col("cuid"), F.col("pos")]).select("ctid", "tid", "cuid")
+
+
+def upsert_bridge(articles: DataFrame, articletags: DataFrame, contenttags: DataFrame) -> DataFrame:
+    """The article-tag bridge with the pairs not there yet."""
+    return contenttags.select("ctid", "tid", "cuid").unionByName(missing_pairs(articles, articletags, contenttags))
 
 
 def tags_of_articles(contenttags: DataFrame, articletags: DataFrame) -> DataFrame:

@@ -54,7 +54,8 @@ def update(table: DataFrame, changes: DataFrame, key: str, *keep: Column) -> Dat
     )
 
 
-def _status() -> Column:
+def status_of_result() -> Column:
+    """Status by the three errors of a result."""
     return result_status(F.col("joberror"), F.col("connecterror"), F.col("parseerror"))
 
 
@@ -63,7 +64,7 @@ def commit_list_pages(results: DataFrame, listurls: DataFrame) -> DataFrame:
     changes = last_attempts(results, "luid").select(
         "luid",
         "source",
-        _status().alias("status"),
+        status_of_result().alias("status"),
         F.col("fetched_at").alias("lastupdate"),
         "duration",
         "connecterror",
@@ -101,7 +102,7 @@ def commit_lists(
     }
 
 
-def _image_rows(bodies: DataFrame, titles: DataFrame, images: DataFrame, now: int) -> DataFrame:
+def image_rows(bodies: DataFrame, titles: DataFrame, images: DataFrame, now: int) -> DataFrame:
     """New image rows, numbered by article, body images before the title image (``is_title``)."""
     title_rows = titles.filter(strip(F.col("titleimage")) != "").select(
         "cuid",
@@ -127,7 +128,7 @@ def _commit_bodies(
     """
     read = stored(read)
     done = read.filter(F.col("status") == DONE)
-    numbered = _image_rows(manifest_rows(done, F.col("_images"), now), done, images, now)
+    numbered = image_rows(manifest_rows(done, F.col("_images"), now), done, images, now)
     title_ids = numbered.filter("is_title = 1").select("cuid", F.col("imgid").alias("titleimageid"))
     rows = read.join(title_ids, "cuid", "left").withColumn("titleimageid", F.coalesce("titleimageid", F.lit(0)))
     added = numbered.withColumn("dateline", F.lit(now))
@@ -137,18 +138,23 @@ def _commit_bodies(
     }
 
 
-def commit_article_rows(
-    results: DataFrame, contenturls: DataFrame, images: DataFrame, now: int
-) -> dict[str, DataFrame]:
-    """Articles with their fields and bodies, and images with the new ones.
+ARTICLE_CHANGES = (
+    "source postdate lastupdate title author contenttext contentsource contentabsurl contentlocalurl status "
+    "imagefinish connecterror parseerror duration"
+).split()
+
+
+def article_bodies(results: DataFrame, now: int) -> DataFrame:
+    """What results of article fetches change, with the images of each body as ``_images``.
 
     The status is fixed before the body is read: a body that cannot be read
     leaves status 2 with ``parseerror`` set.
     """
-    last = last_attempts(results, "cuid").withColumn("status", _status())
+    rows = results.withColumn("status", status_of_result())
     done = F.col("status") == DONE
     body = normal_body(F.when(done, F.col("content")), F.col("url"), upload_path(F.col("sid"), now), F.col("cuid"))
-    read = last.withColumn("_body", body).select(
+    return rows.withColumn("_body", body).select(
+        "attempt",
         "cuid",
         "sid",
         "source",
@@ -168,17 +174,20 @@ def commit_article_rows(
         "duration",
         F.col("_body.images").alias("_images"),
     )
-    changed = (
-        "source postdate lastupdate title author contenttext contentsource contentabsurl contentlocalurl status "
-        "imagefinish connecterror parseerror duration"
-    ).split()
-    return _commit_bodies(read, contenturls, images, changed, now)
+
+
+def commit_article_rows(
+    results: DataFrame, contenturls: DataFrame, images: DataFrame, now: int
+) -> dict[str, DataFrame]:
+    """Articles with their fields and bodies, and images with the new ones."""
+    read = article_bodies(last_attempts(results, "cuid"), now)
+    return _commit_bodies(read, contenturls, images, ARTICLE_CHANGES, now)
 
 
 def commit_article_tags(results: DataFrame, articletags: DataFrame, contenttags: DataFrame) -> dict[str, DataFrame]:
     """Tags and their bridge with those of the articles read."""
     narrow = results.select("attempt", "cuid", "tag", "joberror", "connecterror", "parseerror")
-    tagged = last_attempts(narrow, "cuid").filter(_status() == DONE).select("cuid", "tag")
+    tagged = last_attempts(narrow, "cuid").filter(status_of_result() == DONE).select("cuid", "tag")
     names = upsert_tags(tagged, articletags)
     return {"articletags": names, "contenttags": upsert_bridge(tagged, names, contenttags)}
 
@@ -205,21 +214,23 @@ def commit_articles(
     }
 
 
-def commit_account_articles(
-    pages: DataFrame, sites: DataFrame, contenturls: DataFrame, images: DataFrame, now: int
-) -> dict[str, DataFrame]:
-    """Saved account articles: as ``commit_articles``, without tags, keeping the title of the list.
+ACCOUNT_CHANGES = (
+    "source postdate lastupdate author extrainfo contenttext contentsource contentabsurl contentlocalurl status "
+    "imagefinish connecterror parseerror duration"
+).split()
 
-    ``pages``: attempt, cuid, sid, body, duration, joberror, connecterror, fetched_at.
-    """
-    read = account_articles(last_attempts(pages, "cuid").withColumn("source", F.col("body")), now)
+
+def account_bodies(pages: DataFrame, now: int) -> DataFrame:
+    """What saved account articles change, with the images of each body as ``_images``."""
+    read = account_articles(pages.withColumn("source", F.col("body")), now)
     # Columns are NULL only where nothing was read; then nothing is known, not even that images are missing.
     was_read = F.col("content").isNotNull()
 
     def known(name: str) -> Column:
         return F.coalesce(F.col(name), F.lit("")).alias(name)
 
-    rows = read.select(
+    return read.select(
+        "attempt",
         "cuid",
         "sid",
         F.when(was_read, F.col("source")).otherwise(F.lit("")).alias("source"),
@@ -232,19 +243,25 @@ def commit_account_articles(
         known("contentabsurl"),
         known("contentlocalurl"),
         known("titleimage"),
-        _status().alias("status"),
+        status_of_result().alias("status"),
         F.when(was_read, (F.size("images") == 0).cast("int")).otherwise(0).alias("imagefinish"),
         "connecterror",
         "parseerror",
         "duration",
         F.col("images").alias("_images"),
     )
-    changed = (
-        "source postdate lastupdate author extrainfo contenttext contentsource contentabsurl contentlocalurl status "
-        "imagefinish connecterror parseerror duration"
-    ).split()
+
+
+def commit_account_articles(
+    pages: DataFrame, sites: DataFrame, contenturls: DataFrame, images: DataFrame, now: int
+) -> dict[str, DataFrame]:
+    """Saved account articles: as ``commit_articles``, without tags, keeping the title of the list.
+
+    ``pages``: attempt, cuid, sid, body, duration, joberror, connecterror, fetched_at.
+    """
+    read = account_bodies(last_attempts(pages, "cuid"), now)
     return {
-        **_commit_bodies(rows, contenturls, images, changed, now),
+        **_commit_bodies(read, contenturls, images, ACCOUNT_CHANGES, now),
         "sites": commit_clocks(pages, sites),
     }
 
@@ -270,7 +287,7 @@ def commit_images(results: DataFrame, images: DataFrame, contenturls: DataFrame)
     }
 
 
-def _due_lists(pages: DataFrame, sites: DataFrame, now: int) -> DataFrame:
+def due_lists(pages: DataFrame, sites: DataFrame, now: int) -> DataFrame:
     """Saved list pages of the account sites that are due, with their content type."""
     due = due_account_sites(sites, now).select("sid", wxconfig_contenttype().alias("contenttype"))
     return pages.join(due, "sid")
@@ -278,7 +295,7 @@ def _due_lists(pages: DataFrame, sites: DataFrame, now: int) -> DataFrame:
 
 def commit_account_items(pages: DataFrame, sites: DataFrame, contenturls: DataFrame, now: int) -> DataFrame:
     """Articles with the new ones that the saved lists of due account sites name."""
-    listed = account_items(_due_lists(pages, sites, now), F.col("contenttype"))
+    listed = account_items(due_lists(pages, sites, now), F.col("contenttype"))
     items = explode_items(listed, "sid").select(
         F.col("sid").alias("page"), "pos", "sid", "title", F.col("link").alias("url"), "postdate"
     )
@@ -287,7 +304,7 @@ def commit_account_items(pages: DataFrame, sites: DataFrame, contenturls: DataFr
 
 def commit_account_clocks(pages: DataFrame, sites: DataFrame, now: int) -> DataFrame:
     """Sites with the clock and the mark of those whose list was read, in vain or not."""
-    touched = _due_lists(pages.select("sid"), sites, now).select("sid").distinct()
+    touched = due_lists(pages.select("sid"), sites, now).select("sid").distinct()
     return update(sites, touched.select("sid", F.lit(now).alias("lastfetch"), F.lit(1).alias("listcreated")), "sid")
 
 

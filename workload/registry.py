@@ -12,6 +12,7 @@ from workload.standins import given, sql, standin, with_standins
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
+TEXTS: dict[str, str] = {}  # the checks as written, over stand-ins
 
 
 class Tables:
@@ -46,7 +47,7 @@ def query(name: str, check: str | None = None):
         run.__doc__ = function.__doc__
         QUERIES[name] = run
         if check:
-            CHECKS[name] = with_standins(check)
+            CHECKS[name], TEXTS[name] = with_standins(check), check
         return function
 
     return register
