@@ -3,21 +3,21 @@
 from __future__ import annotations
 
 import os
-from array import array
 from collections.abc import Iterator
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from gleaner.llm.text import SPACE, flat, text_blocks, word_hashes
+from gleaner.llm.text import SPACE, distinct, flat, text_blocks, word_hashes
 
 TOKENS = 1024  # tokens of a sequence
 SEGMENTS = 64  # pieces of a sequence
 POOL = 1024  # pieces a task chooses from
 _SLOT = 33  # a sequence's number is its task's, then its own
-_KNOWN = 1_000_000  # parts of texts whose ids a worker remembers: about 200 MB
+_KNOWN = 1_000_000  # parts of texts whose ids a worker remembers
 
 
 _BLANK = SPACE.copy()
@@ -61,10 +61,57 @@ def _parts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return bounds[:-1], bounds[1:]
 
 
+class _Known:
+    """Ids of parts of texts seen before, found by a hash and checked by their bytes; a million parts take about 80 MB."""
+
+    def __init__(self):
+        self.hashes, self.entry = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.texts, self.ends = np.zeros(0, np.uint8), np.zeros(1, np.int64)
+        self.ids, self.closing = np.zeros(0, "<u4"), np.zeros(1, np.int64)
+
+    def find(self, hashes: np.ndarray, data: np.ndarray, edges: np.ndarray) -> np.ndarray:
+        """The entry of each part, -1 for those not seen before."""
+        out = np.full(len(hashes), -1)
+        at = np.searchsorted(self.hashes, hashes)
+        hit = np.flatnonzero(at < len(self.hashes))
+        hit = hit[self.hashes[at[hit]] == hashes[hit]]
+        entry = self.entry[at[hit]]
+        lengths = np.diff(edges)[hit]
+        same = lengths == self.ends[entry + 1] - self.ends[entry]
+        hit, entry, lengths = hit[same], entry[same], lengths[same]
+        if not len(hit):
+            return out
+        # Equal hashes and lengths: the bytes decide.
+        closing = np.cumsum(lengths)
+        place = np.arange(int(closing[-1])) - np.repeat(closing - lengths, lengths)
+        differs = data[np.repeat(edges[hit], lengths) + place] != self.texts[np.repeat(self.ends[entry], lengths) + place]
+        good = np.ones(len(hit), bool)
+        good[np.repeat(np.arange(len(hit)), lengths)[differs]] = False
+        out[hit[good]] = entry[good]
+        return out
+
+    def add(self, hashes: np.ndarray, texts: pa.Array, ids: list[list[int]]) -> np.ndarray:
+        """Entries of new parts. One whose hash another part has already is kept, but not found again."""
+        first = len(self.ends) - 1
+        data, edges = flat(texts)
+        self.texts = np.concatenate((self.texts, data))
+        self.ends = np.concatenate((self.ends, self.ends[-1] + edges[1:]))
+        closing = self.closing[-1] + np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))
+        self.ids = np.concatenate((self.ids, np.fromiter(chain.from_iterable(ids), "<u4", int(closing[-1] - self.closing[-1]))))
+        self.closing = np.concatenate((self.closing, closing))
+        entries = np.arange(first, first + len(ids))
+        hashes, one = np.unique(hashes, return_index=True)
+        at = np.searchsorted(self.hashes, hashes)
+        taken = self.hashes[np.minimum(at, max(len(self.hashes) - 1, 0))] == hashes if len(self.hashes) else np.zeros(len(hashes), bool)
+        self.hashes = np.insert(self.hashes, at[~taken], hashes[~taken])
+        self.entry = np.insert(self.entry, at[~taken], entries[one[~taken]])
+        return entries
+
+
 class Tokens:
     """Ids of texts by a byte-level BPE file of the ``tokenizers`` library.
 
-    Texts are cut into parts, equal parts of a block are told by a hash, and each
+    Texts are cut into parts, equal parts of a block are told by their bytes, and each
     different part is looked up; parts not seen before go through the tokenizer together.
     """
 
@@ -73,7 +120,7 @@ class Tokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
+        self.known = _Known()
 
     def encode(self, column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and where each text's begin (one more place at the end)."""
@@ -81,22 +128,23 @@ class Tokens:
         if not len(data):
             return np.zeros(0, "<u4"), np.zeros(len(offsets), np.int64)
         starts, ends = _parts(data, offsets)
-        _, first, same = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
-        text = data.tobytes()
-        parts = [text[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
-        if len(self.known) > _KNOWN:
-            self.known.clear()
-        new = [part for part in parts if part not in self.known]
-        found = self.tokenizer.encode_batch_fast([part.decode() for part in new], add_special_tokens=False)
-        self.known.update(zip(new, [array("I", e.ids).tobytes() for e in found], strict=True))
-        ids = [self.known[part] for part in parts]
-        counts = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        opening = np.cumsum(counts) - counts
-        lengths = counts[same]
+        codes, different = distinct(data, starts, ends)
+        own, edges = flat(different)
+        hashes = word_hashes(own, edges[:-1], edges[1:])
+        if len(self.known.ends) > _KNOWN:
+            self.known = _Known()
+        entry = self.known.find(hashes, own, edges)
+        new = np.flatnonzero(entry < 0)
+        if len(new):
+            texts = different.take(pa.array(new))
+            found = self.tokenizer.encode_batch_fast(texts.cast(pa.large_string()).to_pylist(), add_special_tokens=False)
+            entry[new] = self.known.add(hashes[new], texts, [e.ids for e in found])
+        opening, counts = self.known.closing[entry], self.known.closing[entry + 1] - self.known.closing[entry]
+        lengths = counts[codes]
         closing = np.cumsum(lengths)
-        place = np.repeat(opening[same] - (closing - lengths), lengths) + np.arange(int(closing[-1]))
+        place = np.repeat(opening[codes] - (closing - lengths), lengths) + np.arange(int(closing[-1]))
         before = np.concatenate(([0], closing))
-        return np.frombuffer(b"".join(ids), "<u4")[place], before[np.searchsorted(starts, offsets)]
+        return self.known.ids[place], before[np.searchsorted(starts, offsets)]
 
 
 _tokens: dict[str, Tokens] = {}
@@ -122,45 +170,49 @@ class Packer:
     def __init__(self, limits: tuple[int, ...], cut):
         self.limits, self.cut = np.array(limits, float), cut
         self.items: list = []
-        self.demands = np.zeros((0, len(limits)))
+        self.demands = np.zeros((len(limits), 0))
 
     def add(self, items: list, demands: list[tuple[int, ...]]) -> None:
-        over = [d for d in demands if any(np.array(d) > self.limits)]
-        if over:
-            raise ValueError(f"an item's demands {over[0]} exceed the limits {self.limits}")
+        if not items:
+            return
+        more = np.array(demands, float).T
+        over = np.flatnonzero((more > self.limits[:, None]).any(axis=0))
+        if len(over):
+            raise ValueError(f"an item's demands {demands[over[0]]} exceed the limits {self.limits}")
         self.items += items
-        if items:
-            self.demands = np.concatenate((self.demands, np.array(demands, float)))
+        self.demands = np.concatenate((self.demands, more), axis=1)
 
     def fill(self) -> list:
         """One sequence's items, taken from the pool."""
         room, chosen = self.limits.copy(), []
         free = np.ones(len(self.items), bool)
-        share = self.demands / self.limits
         rest: list[tuple] = []
-        while room[0] > 0 and free.any():
-            fits = free & (self.demands <= room).all(axis=1)
-            last = room[1] <= 1 and len(room) > 1
-            whole = fits & (self.demands[:, 0] == room[0]) if last else fits
-            if whole.any():
-                best = int(np.argmax(np.where(whole, share @ (room / self.limits), -1)))
-            else:
+        tokens = self.demands[0]
+        while room[0] > 0:
+            fits = free & (tokens <= room[0])
+            for demand, left in zip(self.demands[1:], room[1:], strict=True):
+                fits &= demand <= left
+            last = len(room) > 1 and room[1] <= 1
+            whole = np.flatnonzero(fits & (tokens == room[0]) if last else fits)
+            if not len(whole):
                 # Cut the longest item that is left to what there is room for.
-                longest = int(np.argmax(np.where(free, self.demands[:, 0], -1)))
-                parted = self.cut(self.items[longest], int(room[0])) if self.demands[longest, 0] > room[0] and room[1:].min(initial=1) >= 1 else None
+                longest = int(np.argmax(np.where(free, tokens, -1)))
+                parted = self.cut(self.items[longest], int(room[0])) if free[longest] and tokens[longest] > room[0] and room[1:].min(initial=1) >= 1 else None
                 if parted and (np.array(parted[0][1]) <= room).all():
                     free[longest] = False
                     chosen.append(parted[0][0])
                     rest.append(parted[1])
                     break
-                if not fits.any():
+                whole = np.flatnonzero(fits)
+                if not len(whole):
                     break
-                best = int(np.argmax(np.where(fits, share @ (room / self.limits), -1)))
+            # The largest dot product of demands and room, both as shares of the limits.
+            best = int(whole[np.argmax((room / self.limits**2) @ self.demands[:, whole])])
             free[best] = False
             chosen.append(self.items[best])
-            room -= self.demands[best]
-        self.items = [item for item, left in zip(self.items, free.tolist(), strict=True) if left]
-        self.demands = self.demands[free]
+            room -= self.demands[:, best]
+        self.items = list(compress(self.items, free.tolist()))
+        self.demands = self.demands[:, free]
         if rest:
             self.add([r[0] for r in rest], [r[1] for r in rest])
         return chosen
@@ -237,7 +289,8 @@ def packed(docs: DataFrame, path: str | None = None, size: int = TOKENS, segment
     alone. Whole sequences of ``size`` tokens are cut off first; what is left of each document
     is packed under limits on tokens, segments and tokens that bear loss (all but the
     closing id), and cut again where a sequence has room that nothing fits. A
-    sequence that stays short is cut into powers of two, so none is padded. ``ids``
+    sequence that stays short is cut into powers of two, so none is padded. In a plain document all ids but the last bear
+    loss, so the limit on tokens is reached before that on loss-bearing ones; in ``packed_examples`` each can be first. ``ids``
     are little-endian unsigned 32-bit numbers; a document's pieces are in order of ``start``.
 
     Tasks pack the documents they read, so nothing is shuffled, and a task holds a

@@ -111,3 +111,31 @@ def test_conversations_stay_whole_within_all_limits(spark):
     assert len(sequences) <= 1.25 * least + 1
     rows = spark.createDataFrame([(1, None, None, None), (None, 5, 1, 1), (2, 10**6, 1, 1)], "example_id bigint, tokens int, segments int, loss_tokens int")
     assert packed_examples(rows).count() == 3 and packed_examples(rows.limit(0)).count() == 0
+
+
+def test_parts_whose_hashes_meet_keep_their_own_ids(monkeypatch):
+    from gleaner.llm import packing
+
+    monkeypatch.setattr(packing, "word_hashes", lambda data, starts, ends: (ends - starts).astype(np.uint64) % np.uint64(3))
+    known = Tokens(PATH)
+    tokenizer = Tokenizer.from_file(PATH)
+    for texts in (["one two ten six", "five nine", None, ""], ["six ten two one", "nine five seven", "one"]):
+        ids, edges = known.encode(pa.array(texts))
+        for k, text in enumerate(texts):
+            assert ids[edges[k] : edges[k + 1]].tolist() == tokenizer.encode(text or "", add_special_tokens=False).ids
+
+
+def test_examples_of_one_kind_reach_the_loss_limit_first(spark):
+    # A third of all examples bears loss on every token and fills that limit long before the others.
+    rows = [(k, 40, 2, 40 if k % 3 == 0 else 1) for k in range(6000)]
+    frame = spark.createDataFrame(rows, "example_id bigint, tokens int, segments int, loss_tokens int").repartition(4)
+    limits = (1024, 64, 200)
+    need = {r[0]: r[1:] for r in rows}
+    sums: dict = {}
+    for r in packed_examples(frame, limits).collect():
+        sums.setdefault(r.sequence_id, []).append(need[r.example_id])
+    totals = [tuple(map(sum, zip(*own, strict=True))) for own in sums.values()]
+    assert sum(len(own) for own in sums.values()) == len(rows)
+    assert all(t <= limits[0] and s <= limits[1] and loss <= limits[2] for t, s, loss in totals)
+    # Five of the costly ones fill a sequence's loss; the best mix of fives and fours with the others takes 438.
+    assert any(loss > 160 and t < 1024 - 40 for t, _, loss in totals) and len(sums) <= 1.3 * 438
