@@ -27,7 +27,7 @@ _COUNTS = T.StructType([T.StructField(name, T.LongType()) for name in ("part", "
 _COUNT_BITS = 8  # ranges whose counts lie in one folder
 
 
-def collection(spark: SparkSession, root: str, bits: int = RANGE_BITS, urls: Membership = URLS, titles: Membership = TITLES, **options) -> Store:
+def collection(spark: SparkSession, root: str, bits: int | dict[str, int] = RANGE_BITS, urls: Membership = URLS, titles: Membership = TITLES, **options) -> Store:
     """A store of the six state tables with their indexes: known addresses, known titles, counts of finished articles."""
     counts = Kept(_COUNTS, "part", lambda: F.shiftright("part", _COUNT_BITS))
     store = Store(spark, root, {**store_tables(urls, titles), "counts": counts}, bits, **options)

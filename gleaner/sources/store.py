@@ -60,9 +60,10 @@ def _written_buckets(spark: SparkSession, folder: str) -> dict[int, str]:
 class Store:
     """Snapshots of some tables under one folder all executors share."""
 
-    def __init__(self, spark: SparkSession, root: str, extra: dict[str, Kept] | None = None, bits: int = RANGE_BITS, batch: int = BATCH_ROWS):
+    def __init__(self, spark: SparkSession, root: str, extra: dict[str, Kept] | None = None, bits: int | dict[str, int] = RANGE_BITS, batch: int = BATCH_ROWS):
         self.spark, self.root, self.batch = spark, root.rstrip("/"), batch
-        self.tables = {**{name: state_table(name, bits) for name in STATE_TABLES}, **(extra or {})}
+        own = bits if isinstance(bits, dict) else dict.fromkeys(STATE_TABLES, bits)
+        self.tables = {**{name: state_table(name, own.get(name, RANGE_BITS)) for name in STATE_TABLES}, **(extra or {})}
 
     def manifest(self, number: int) -> dict[str, dict[int, list[str]]]:
         """Folders of every bucket by table: one entry per bucket, so a few thousand for a billion rows."""
@@ -74,9 +75,13 @@ class Store:
     def latest(self) -> int:
         """The number of the last finished snapshot."""
         files, path = _path(self.spark, f"{self.root}/manifests")
-        names = (status.getPath().getName() for status in files.listStatus(path))
-        done = [int(name) for name in names if files.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/manifests/{name}/_SUCCESS"))]
-        return max(done)
+        numbers = (int(status.getPath().getName()) for status in files.listStatus(path))
+        return max(number for number in numbers if self.has(number))
+
+    def has(self, number: int) -> bool:
+        """Whether a snapshot is finished."""
+        files, path = _path(self.spark, f"{self.root}/manifests/{number}/_SUCCESS")
+        return files.exists(path)
 
     def read(self, number: int, table: str, buckets: Iterable[int] | None = None) -> DataFrame:
         """A table of a snapshot, or only some of its buckets; filters and columns reach the files."""

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from gleaner.operators.membership import Membership
 from gleaner.plans import increments
+from gleaner.plans.commit import status_of_result
 from gleaner.schemas import STATE_TABLES
 from gleaner.session import new_folder
-from workload.native import VISIBLE, _host_links
-from workload.pages import LISTED, NEW_IMAGES, _list_results
+from gleaner.streaming import streams
+from workload.native import FRESH_LINKS, VISIBLE, _host_links
+from workload.pages import CONTENT_RULE, LISTED, NEW_IMAGES, _list_results
 from workload.registry import TEXTS, query
 from workload.standins import CLOCK, NOW
 
-BITS = 12  # so that the small tables have several key ranges too
+# Several key ranges for the small tables too; the stand-ins leave gaps in the ids of images and of the bridge.
+BITS = {"sites": 8, "listurls": 10, "contenturls": 12, "images": 16, "contenttags": 22}
 INDEX = dict(urls=Membership("urls", 8, 1 << 10), titles=Membership("titles", 8, 1 << 10))
 
 
@@ -132,3 +137,71 @@ def counted_total(t):
     """How many articles of the hot site there are to page through; no article is read."""
     store, number = _store(t)
     return increments.content_count(store, number, 1)
+
+
+def _arriving(t, rows, files: int = 4, per_batch: int = 2):
+    """Rows as a stream of several micro-batches."""
+    folder = new_folder(t.spark, "arriving")
+    rows.repartition(files).write.parquet(folder)
+    return streams.page_stream(t.spark, folder, rows.schema, per_batch=per_batch)
+
+
+@query("st2_stored_articles", f"WITH {FRESH_LINKS} SELECT url, CAST(count(*) AS BIGINT) AS articles FROM (SELECT url FROM fresh UNION ALL SELECT DISTINCT url FROM links WHERE page_url LIKE 'http://%') GROUP BY url")
+def stored_article_batches(t):
+    """Articles after a stream of links has been committed batch by batch to a store that holds some already."""
+    found, known = _host_links(t)
+    store = increments.collection(t.spark, new_folder(t.spark, "stores"), 20, **INDEX)
+    first = increments.start(store, {"contenturls": known.dropDuplicates(["url"])})
+    arriving = _arriving(t, found.select("page", "pos", "luid", "sid", "url"))
+    streams.new_article_batches(arriving, store, first, new_folder(t.spark, "streams"), NOW).awaitTermination()
+    return store.read(store.latest(), "contenturls").groupBy("url").agg(F.count("*").alias("articles"))
+
+
+def _article_stream(t):
+    """The given pages as arriving article pages, committed to an empty store; the schema and folder of what was parsed."""
+    pages = t.list_pages.select("attempt", F.col("attempt").alias("cuid"), "sid", "url", "body", "connecterror", "duration", "fetched_at")
+    results = streams.article_stream(_arriving(t, pages), t.sites)
+    store = increments.collection(t.spark, new_folder(t.spark, "stores"), BITS, **INDEX)
+    first = increments.start(store, {"sites": t.state("sites"), "contenturls": pages.select("cuid", "sid", "url")})
+    folder = new_folder(t.spark, "streams")
+    streams.article_batches(results, store, first, folder, NOW).awaitTermination()
+    return results.schema, folder, store
+
+
+# Sites have a good HTML rule, a good JSON rule (which no given page fits) or a bad one, by their number.
+PAGE_STATUS = f"CASE WHEN {CONTENT_RULE} AND p.connecterror = '' THEN 2 WHEN (sid - 1) % 8 = 6 AND p.connecterror = '' THEN 4 ELSE 3 END"
+
+
+@query("st1_article_fields", f"WITH f AS ({TEXTS['x3_html_fields']}) SELECT attempt, title, author, tag FROM f WHERE connecterror = ''")
+def article_fields(t):
+    """Fields of arriving article pages."""
+    schema, folder, _ = _article_stream(t)
+    return streams.read_fields(t.spark, schema, folder).select("attempt", "title", "author", "tag")
+
+
+@query("st1_failed_pages", f"SELECT * FROM (SELECT attempt, {PAGE_STATUS} AS status FROM v_list_pages p) WHERE status <> 2")
+def failed_article_pages(t):
+    """Arriving article pages that could not be read, with the status they get."""
+    schema, folder, _ = _article_stream(t)
+    return streams.failed_pages(t.spark, schema, folder).select("attempt", status_of_result().alias("status"))
+
+
+@query(
+    "st1_stored_articles",
+    f"WITH f AS ({TEXTS['x3_html_fields']}) SELECT p.attempt AS cuid, sid, {PAGE_STATUS} AS status, title FROM v_list_pages p JOIN f ON f.attempt = p.attempt",
+)
+def streamed_articles(t):
+    """Articles after the stream of their pages has been committed batch by batch."""
+    _, _, store = _article_stream(t)
+    return store.read(store.latest(), "contenturls").select("cuid", "sid", "status", "title")
+
+
+@query("st3_completed_articles", COMPLETE)
+def completed_articles(t):
+    """Articles all of whose images have a result, each once, from a stream of results with late and repeated ones."""
+    images = t.images.select("cuid", "imgid", F.lit(0).alias("status"))
+    results = t.image_results.join(t.images.select("imgid", "cuid"), "imgid").select("cuid", "imgid", "attempt", F.lit(2).alias("status"))
+    late = results.where("imgid % 3 = 0").withColumn("attempt", F.lit(-5).cast("bigint")).withColumn("status", F.lit(0))
+    again = results.where("imgid % 4 = 0").withColumn("attempt", F.col("attempt") + 1)
+    arriving = _arriving(t, results.union(late).union(again).orderBy(F.xxhash64("imgid", "attempt")))
+    return streams.drain_to_parquet(streams.completed_articles(arriving, images, 2), streams.run_folder(t.spark))
