@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from gleaner.llm.rows import row_key, unpacked, whole
 from gleaner.operators.keys import number_rows
 from gleaner.session import stored
 
@@ -17,6 +18,7 @@ SHARE = 1.5  # words of the mix over words of the input
 MOST = 2.0  # times a document may be taken
 BLOCK_UNITS = 2000  # documents that one flight passes over before its rest goes to the next level
 MEET = 500  # blocks whose rests fly together at the next level
+PORTION = 1000  # copies of one row that are made at once
 _EXACT = 1e-9
 
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -104,7 +106,7 @@ def balanced(units: DataFrame, blocks: str = "blocks", seed: int = 0) -> DataFra
 
     Columns used: ``source_rank``, ``chance``, ``size``, ``mark`` (a hash that orders and
     spreads units) and ``blocks`` (into how many blocks the source is dealt). Each
-    block is one flight over its sorted stream, so a source of any size is many
+    block is one flight over its stream, from long documents to short ones, so a source of any size is many
     tasks and a task holds three units. What is left, two units a block at most, flies
     again with the rests of ``MEET`` blocks, until a source is one block and its last
     two units land. The seed and the marks fix every draw; equal units are interchangeable.
@@ -120,7 +122,8 @@ def balanced(units: DataFrame, blocks: str = "blocks", seed: int = 0) -> DataFra
         def fly(batches: Iterator[pa.RecordBatch], final: bool = final, level: int = level) -> Iterator[pa.RecordBatch]:
             yield from _fly(batches, final, seed, level)
 
-        ordered = flying.repartition("source_rank", "block").sortWithinPartitions("source_rank", "block", "mark", "size", *[c for c in columns if c == "doc_id"])
+        # From long to short, so that what is left to the end and lands is short.
+        ordered = flying.repartition("source_rank", "block").sortWithinPartitions("source_rank", "block", F.desc("size"), "mark", *[c for c in columns if c == "doc_id"])
         flown = stored(ordered.mapInArrow(fly, schema))
         if final:
             break
@@ -166,13 +169,12 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SH
     taken on average: the whole part always, the fraction as a chance that the cube method
     settles, balancing words and documents of the source. Null sources are one
     source. Null ids and repeated rows are documents of their own (equal rows are
-    interchangeable; ``row_key`` hashes all columns). An empty table gives an empty result.
+    interchangeable; ``row_key`` is the id with a hash of all columns). An empty table gives an empty result.
     """
-    spread = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
     sizes = stored(
         docs.select(
             F.col("doc_id").cast("bigint"),
-            spread.alias("row_key"),
+            row_key(docs).alias("row_key"),
             F.col("source").cast("string").alias("source"),
             F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORDS)).cast("bigint").alias("size"),
         )
@@ -187,9 +189,15 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SH
 
 
 def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """The mix itself: each document as often as it is taken, with its own columns."""
-    # Equal rows share a key; one of them stands for all their copies.
+    """The mix itself: each document as often as it is taken, with its own columns.
+
+    Nulls, empty texts and repeated rows as in ``mixed``; columns of any name and type are passed on. An empty table gives an empty result.
+    """
+    # Equal rows share a key; one of them stands for all their copies, made in portions.
     copies = mixed(docs, weights, share, most).groupBy("row_key").agg(F.sum("copies").alias("copies")).where("copies > 0")
-    keyed = docs.select(F.struct("*").alias("_row"), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("row_key"))
-    taken = keyed.join(copies, "row_key").dropDuplicates(["row_key"])
-    return taken.select("_row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("_row.*")
+    keyed = docs.select(whole(docs), row_key(docs).alias("row_key")).dropDuplicates(["row_key"])
+    taken = keyed.join(copies, "row_key")
+    portions = F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("copies") - 1) / PORTION))
+    dealt = taken.select("_row", "copies", F.explode(portions).alias("_portion"))
+    left = F.least(F.lit(PORTION), F.col("copies") - F.col("_portion") * PORTION).cast("int")
+    return unpacked(dealt.select("_row", F.explode(F.sequence(F.lit(1), left))), docs)

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from gleaner.llm.labelled import fold, labelled
+from gleaner.llm.rows import names
 from gleaner.llm.text import SPACE, flat, mix, runs, text_blocks, word_hashes, words
 
 TRAIN_ROWS = 20_000  # labelled documents the trees are fitted on, about, at most
@@ -228,7 +229,7 @@ def judged(docs: DataFrame, trees: Trees) -> DataFrame:
             arrays += [pa.array(failed), pa.array(score), pa.array(~failed & (score >= KEEP_FROM))]
             yield pa.RecordBatch.from_arrays([table.column("row").combine_chunks(), table.column("text").combine_chunks(), *arrays], schema.names)
 
-    rows = docs.select(F.struct(*[c for c in docs.columns if c != "text"]).alias("row"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.struct(*names([c for c in docs.columns if c != "text"])).alias("row"), F.col("text").cast("string").alias("text"))
     kinds = [T.StructField(name, T.LongType()) for name in COUNTS]
     kinds += [T.StructField("base_failed", T.BooleanType()), T.StructField("score", T.DoubleType()), T.StructField("kept", T.BooleanType())]
     schema = T.StructType([rows.schema["row"], rows.schema["text"], *kinds])
@@ -238,4 +239,4 @@ def judged(docs: DataFrame, trees: Trees) -> DataFrame:
 def passed(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the rules keep, with their own columns."""
     rows = judged(docs, learn(docs, labels)).where("kept")
-    return rows.select("row.*", "text").select(*docs.columns)
+    return rows.select(*[F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])

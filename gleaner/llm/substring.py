@@ -10,6 +10,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from gleaner.llm.rows import names
 from gleaner.llm.text import flat, mix, normal, runs, text_blocks, word_hashes, words
 
 WINDOW = 13
@@ -240,16 +241,16 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     than ASCII white space, unchanged; kept words are joined by one space.
     A null or empty text has no words and an empty ``kept``. A null id comes after
     all others, and two null ids do not remove from each other; nor do rows
-    with equal ids. Repeated rows get equal results. An empty table gives an empty
+    with equal ids. Repeated rows get equal results, from one set of ranges. An empty table gives an empty
     result. Columns of other names are passed on, whatever they are called.
     """
     row = _row(docs)
     ranges = (
         repeated_ranges(docs, row, window)
         .groupBy("row_id", "row_key")
-        .agg(F.collect_list(F.struct("begin", "end")).alias("ranges"))
+        .agg(F.collect_set(F.struct("begin", "end")).alias("ranges"))
     )
-    rows = docs.select(F.struct(*[c for c in docs.columns if c != "text"]).alias("row"), "text", *row)
+    rows = docs.select(F.struct(*names([c for c in docs.columns if c != "text"])).alias("row"), "text", *row)
     joined = rows.join(ranges, ["row_id", "row_key"], "left").drop("row_id", "row_key")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

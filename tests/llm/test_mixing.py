@@ -97,3 +97,21 @@ def test_edge_rows(spark):
     # One source of empty texts: nothing to take.
     empty = spark.createDataFrame([(1, None, None)], "doc_id bigint, text string, source string")
     assert [(r.size, r.target, r.copies) for r in mixed(empty).collect()] == [(0, 0.0, 0)]
+
+
+def test_small_sources_come_within_a_short_document_of_their_target(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    source = {r.doc_id: r.source for r in docs.select("doc_id", "source").collect()}
+    by_source = defaultdict(list)
+    for r in mixed(docs).collect():
+        by_source[source[r.doc_id]].append(r)
+    for name, rows in by_source.items():
+        middle = sorted(r.size for r in rows)[len(rows) // 2]
+        assert abs(sum(r.size * r.copies for r in rows) - rows[0].target) <= middle, name
+
+
+def test_columns_of_any_name_and_type_pass(spark):
+    docs = spark.createDataFrame([(k // 2, "one two three", "s", {"k": "v"}, 1.0) for k in range(20)], "doc_id bigint, text string, source string, m map<string,string>, `a.b` double")
+    mix = mixture(docs)
+    assert mix.columns == docs.columns
+    assert abs(mix.count() - 30) <= 1 and {r["a.b"] for r in mix.collect()} == {1.0}

@@ -14,18 +14,14 @@ from gleaner.llm.topk import scan, top_products
 
 
 def brute(rows, every: int = 20, top: int = 20) -> list[tuple]:
-    vectors: dict = {}
-    for i, v in rows:
-        if i is None or v is None or any(x is None or not math.isfinite(x) for x in v):
-            continue
-        whole = [math.floor(max(min(64 * x, topk.REACH), -topk.REACH)) for x in v]
-        vectors[i] = min(vectors.get(i, whole), whole)
+    """Every row is a vector of its own; whole numbers of any size."""
+    vectors = [(i, [math.floor(64 * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
-    for q in sorted(vectors):
+    for place, (q, own) in enumerate(vectors):
         if q % every == 0:
-            scores = sorted((-sum(a * b for a, b in zip(vectors[q], v, strict=False)), i) for i, v in vectors.items() if i != q)
+            scores = sorted((-max(min(sum(a * b for a, b in zip(own, v, strict=False)), 2**63 - 1), 1 - 2**63), i) for k, (i, v) in enumerate(vectors) if k != place)
             out += [(q, rank, i, -s) for rank, (s, i) in enumerate(scores[:top], 1)]
-    return out
+    return sorted(out)
 
 
 def test_all_vectors(spark):
@@ -59,9 +55,9 @@ def test_few_exact_vectors_are_read():
 
     import pyarrow as pa
 
-    table = pa.table({"block": pa.array([0] * 4000), "vec_id": pa.array(range(4000)), "v": pa.array(exact.tolist(), pa.list_(pa.int32()))})
+    table = pa.table({"block": pa.array([0] * 4000), "vec_id": pa.array(range(4000)), "row": pa.array(range(4000)), "v": pa.array(exact.tolist(), pa.list_(pa.int32()))})
     file = topk._read(topk._file(table).to_pylist()[0])
-    queries = {"ids": np.array([-1]), "exact": exact[:1]}
+    queries = {"ids": np.array([-1]), "rows": np.array([-1]), "exact": exact[:1]}
     (ids, scores), = scan(queries, iter([file]), 10)
     every = exact.astype(np.int64) @ exact[0].astype(np.int64)
     assert ids.tolist() == np.lexsort((np.arange(4000), -every))[:10].tolist() and scores.tolist() == sorted(every.tolist(), reverse=True)[:10]
@@ -70,9 +66,17 @@ def test_few_exact_vectors_are_read():
 def test_edge_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [
-        (0, [1.0, 2.0]), (20, [0.5]), (40, []), (60, None), (80, [nan]), (100, [inf, 1.0]), (None, [1.0]), (1, [1.0, None]), (2, [3e38, -3e38]),
-        (3, [1.0, 2.0]), (3, [1.0, 2.0]), (3, [1.0, 1.0]), (0, [1.0, 2.0]), (5, [3e38, 3e38]),
+        (0, [1.0, 2.0]), (20, [0.5]), (40, []), (60, None), (80, [nan]), (100, [inf, 1.0]), (None, [1.0]), (1, [1.0, None]), (2, [1e7, -1e7]), (20, [1e7, 1e7]),
+        (3, [1.0, 2.0]), (3, [1.0, 2.0]), (3, [1.0, 1.0]), (0, [1.0, 2.0]), (5, [1e7, 3e16]),
     ]
     frame = spark.createDataFrame([(*r, 1, 2) for r in rows], "vec_id bigint, embedding array<float>, block int, score int")
     assert sorted(tuple(r) for r in top_products(frame).collect()) == brute(rows)
     assert top_products(frame.limit(0)).count() == 0
+
+
+def test_rows_of_one_id_and_large_components_count_in_full(spark):
+    rows = [(0, [1.0, 1.0]), (3, [1.0, 1.0]), (3, [2.0, 3.0]), (0, [4.0, 4.0]), (7, [1e7, 0.0]), (20, [1e7, 0.0]), (9, [1e16, -3.0]), (40, [3e12, 7.0])]
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(3)
+    got = sorted(tuple(r) for r in top_products(frame).collect())
+    assert got == brute(rows)
+    assert (20, 2, 7, 640000000 * 640000000) in got or any(r[0] == 20 and r[2] == 7 and r[3] == 640000000 * 640000000 for r in got)
