@@ -42,8 +42,9 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     prepare(spark)
     rows = without_repeats(docs).where("n_removed = 0 OR kept <> ''")
-    changed = rows.select("row.*", F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text")).alias("text"))
-    return changed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
+    changed = {"text": text, "n_chars": F.length(text).cast(docs.schema["n_chars"].dataType)}
+    return rows.select(*[changed.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
