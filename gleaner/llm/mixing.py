@@ -6,6 +6,7 @@ import random
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -18,6 +19,8 @@ SHARE = 1.5  # words of the mix over words of the input
 MOST = 2.0  # times a document may be taken
 BLOCK_UNITS = 2000  # documents that one flight passes over before its rest goes to the next level
 MEET = 500  # blocks whose rests fly together at the next level
+HELD = 48  # documents whose chances a flight moves together
+LANDED = 12  # documents of a source that are settled together at its end
 PORTION = 1000  # copies of one row that are made at once
 _EXACT = 1e-9
 
@@ -50,9 +53,10 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
 class Flight:
     """Settles the chances of units as they come; at most two keep a chance between 0 and 1.
 
-    Three units are held at a time. The move is along the one direction that changes
-    neither their summed chances nor their summed sizes, in one sense or the other
-    with the probability that keeps every chance in expectation, until one of them is 0 or 1.
+    Up to ``HELD`` units are held at a time. A move is along a direction that changes neither their summed chances nor
+    their summed sizes, in one sense or the other with the probability that keeps every chance in expectation, until
+    some unit is at 0 or 1. The direction moves the longest unit and spreads what balances it over the others, in
+    proportion to the room they have, so long units settle while there are many others.
     """
 
     def __init__(self, *seed: object):
@@ -64,41 +68,76 @@ class Flight:
         if not _EXACT < chance < 1 - _EXACT:
             return [(key, float(round(chance)), size)]
         self.held.append([key, chance, size])
-        if len(self.held) < 3:
+        return self._moved() if len(self.held) >= HELD else []
+
+    def _moved(self) -> list[tuple]:
+        """Those that one move settles; none if no direction is left."""
+        chances = np.array([unit[1] for unit in self.held])
+        u = _direction(chances, np.array([unit[2] for unit in self.held], float))
+        if u is None:
             return []
-        (_, _, a), (_, _, b), (_, _, c) = self.held
-        u = (c - b, a - c, b - a)
-        if not any(u):
-            u = (1, -1, 0)
-        chances = [unit[1] for unit in self.held]
-        forth = min((1 - x) / d if d > 0 else -x / d for x, d in zip(chances, u, strict=True) if d)
-        back = min(x / d if d > 0 else (x - 1) / d for x, d in zip(chances, u, strict=True) if d)
-        step = forth if self.draw.random() * (forth + back) < back else -back
+        up, down = np.where(u > 0, 1 - chances, chances), np.where(u > 0, chances, 1 - chances)
+        moving = np.abs(u) > 0
+        forth, back = (float((room[moving] / np.abs(u[moving])).min()) for room in (up, down))
+        chances = chances + (forth if self.draw.random() * (forth + back) < back else -back) * u
         settled, rest = [], []
-        for unit, d in zip(self.held, u, strict=True):
-            unit[1] += step * d
-            if _EXACT < unit[1] < 1 - _EXACT:
+        for unit, chance in zip(self.held, chances.tolist(), strict=True):
+            unit[1] = chance
+            if _EXACT < chance < 1 - _EXACT:
                 rest.append(unit)
             else:
-                settled.append((unit[0], float(round(unit[1])), unit[2]))
+                settled.append((unit[0], float(round(chance)), unit[2]))
         self.held = rest
         return settled
 
     def rest(self, final: bool) -> list[tuple]:
-        """The units left, landed if the flight is the source's last."""
-        return _landing(self.held) if final else [tuple(unit) for unit in self.held]
+        """The units left, moved as far as they go; in the source's last flight the last few land together."""
+        out: list[tuple] = []
+        while len(self.held) > (LANDED if final else 0) and (settled := self._moved()):
+            out += settled
+        return out + (_landing(self.held) if final else [tuple(unit) for unit in self.held])
+
+
+def _direction(chances: np.ndarray, sizes: np.ndarray) -> np.ndarray | None:
+    """A change of chances that leaves their sum and the sum of sizes as they are; None if there is none."""
+    count = len(sizes)
+    if count < 2:
+        return None
+    longest = int(np.argmax(sizes))
+    room = np.minimum(chances, 1 - chances)
+    room[longest] = 0
+    base = sizes[longest] or 1.0
+    share = sizes / base
+    w0, w1, w2 = room.sum(), (room * share).sum(), (room * share * share).sum()
+    det = w0 * w2 - w1 * w1
+    u = np.zeros(count)
+    if count > 2 and det > 1e-9 * w0 * w2:
+        # The others give up a + b * size of their room each: together 1 unit and the longest one's size.
+        u = -room * ((w2 - w1) + (w0 - w1) * share) / det
+        u[longest] = 1
+        return u / np.abs(u).max()
+    # The others are of one size: two units of one size may change places.
+    order = np.argsort(sizes, kind="stable")
+    same = np.flatnonzero(sizes[order][1:] == sizes[order][:-1])
+    if len(same):
+        u[order[same[0]]], u[order[same[0] + 1]] = 1, -1
+        return u
+    if count > 2:
+        x, y, z = order[-1], order[-2], order[-3]
+        u[x], u[y], u[z] = sizes[z] - sizes[y], sizes[x] - sizes[z], sizes[y] - sizes[x]
+        return u / np.abs(u).max()
+    return None
 
 
 def _landing(rest: list[tuple]) -> list[tuple]:
     """Settle the last units of a source: the choice whose words, then documents, come nearest to what is expected."""
-    best = None
-    for choice in range(1 << len(rest)):
-        taken = [choice >> k & 1 for k in range(len(rest))]
-        words = sum((t - p) * s for t, (_, p, s) in zip(taken, rest, strict=True))
-        docs = sum(t - p for t, (_, p, _) in zip(taken, rest, strict=True))
-        if best is None or (abs(words), abs(docs)) < best[0]:
-            best = (abs(words), abs(docs)), taken
-    return [(key, float(t), s) for t, (key, _, s) in zip(best[1], rest, strict=True)]
+    if not rest:
+        return []
+    taken = np.arange(1 << len(rest))[:, None] >> np.arange(len(rest)) & 1
+    off = taken - np.array([unit[1] for unit in rest])
+    words, docs = np.abs(off @ np.array([unit[2] for unit in rest], float)), np.abs(off.sum(axis=1))
+    best = taken[np.lexsort((docs, np.round(words, 6)))[0]]
+    return [(key, float(t), s) for t, (key, _, s) in zip(best.tolist(), rest, strict=True)]
 
 
 def balanced(units: DataFrame, blocks: str = "blocks", seed: int = 0) -> DataFrame:
@@ -107,9 +146,9 @@ def balanced(units: DataFrame, blocks: str = "blocks", seed: int = 0) -> DataFra
     Columns used: ``source_rank``, ``chance``, ``size``, ``mark`` (a hash that orders and
     spreads units) and ``blocks`` (into how many blocks the source is dealt). Each
     block is one flight over its stream, from long documents to short ones, so a source of any size is many
-    tasks and a task holds three units. What is left, two units a block at most, flies
+    tasks and a task holds ``HELD`` units. What is left, two units a block at most, flies
     again with the rests of ``MEET`` blocks, until a source is one block and its last
-    two units land. The seed and the marks fix every draw; equal units are interchangeable.
+    few units land. The seed and the marks fix every draw; equal units are interchangeable.
     """
     columns = units.columns
     schema = units.withColumn("block", F.lit(0).cast("bigint")).schema
