@@ -181,3 +181,12 @@ def test_collected_pages_become_articles(spark):
     assert sorted((row.title, row.content) for row in page) == [("http://h/1", "x"), ("http://h/2", "x")]
     feed = queries.index_feed(after["contenturls"], after["contenttags"], after["articletags"], 1).collect()
     assert [(row.url, row.tags) for row in feed] == [("http://h/2", "k")]
+
+
+def test_pages_are_taken_as_last_fetched(spark):
+    rows = [("a", "old", "", 1), ("a", "new", "", 5), ("a", "newer", "", 9), ("b", "x", "timeout", 3), ("b", "y", "", 3), ("b", "y", "", 3), ("c", "late", "", 8), ("d", "other", "", 2)]
+    pages = spark.createDataFrame(rows, "url string, body string, connecterror string, fetched_at int")
+    wanted = spark.createDataFrame([("a",), ("a",), ("b",), ("c",), ("none",)], "url string")
+    assert sorted(map(tuple, dryrun.latest_fetches(wanted, pages, 5).collect())) == [("a", "new", ""), ("b", "y", "")]
+    assert sorted(map(tuple, dryrun.latest_fetches(wanted, pages).collect())) == [("a", "newer", ""), ("b", "y", ""), ("c", "late", "")]
+    assert sorted(r.body for r in dryrun.latest_fetches(wanted, pages.drop("fetched_at")).collect())[-1] == "y"
