@@ -308,6 +308,20 @@ def normal_bodies(t):
     return bodies.normalise_bodies(t.bodies, NOW)
 
 
+# The images of the bodies alone have attributes; the text around them holds no markup.
+_STRIPPED = "regexp_replace({}, ' (data-w|data-ratio|data-src|width|height|style|class)=\"[^\"]*\"', '', 'g')"
+
+
+@query(
+    "x10_whole_bodies",
+    f"SELECT cuid, {_STRIPPED.format('contentabsurl')} AS absolute, {_STRIPPED.format('contentlocalurl')} AS local FROM ({BODIES})",
+)
+def whole_reader_bodies(t):
+    """The written bodies of all articles, whole texts, as readers get them."""
+    written = stored(bodies.normalise_bodies(t.bodies, NOW))
+    return written.select("cuid", bodies.reader_body(F.col("contentabsurl")).alias("absolute"), bodies.reader_body(F.col("contentlocalurl")).alias("local"))
+
+
 @query(
     "x8_page_texts",
     f"""SELECT page, {_words("regexp_extract(body, '<article>(.*?)</article>', 1, 's')")} AS contenttext FROM v_host_pages""",
