@@ -39,7 +39,8 @@ IMPLIED = {
 }
 TABLE_PARTS = frozenset("tbody thead tfoot".split())
 TABLE_TAGS = TABLE_PARTS | {"table", "tr", "td", "th", "caption"}
-# Elements whose start separates words in the text of a page.
+# Elements whose start separates words in the text of a page. The set and its order are, as far as known, the block elements of the
+# jsoup library (MIT licence), whose texts these must agree with; the HTML standard counts fewer.
 BLOCK = frozenset(
     "html head body frameset script noscript style meta link title frame noframes section nav aside hgroup header "
     "footer p h1 h2 h3 h4 h5 h6 ul ol pre div blockquote hr address figure figcaption form fieldset ins del dl dt "
