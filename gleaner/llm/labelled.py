@@ -33,3 +33,12 @@ def labelled(labels: DataFrame, held_out: Column, bound: int, label: str = "qual
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & ~held_out)
     return bounded(known.groupBy("doc_id").agg(F.min(label).cast("int").alias("label")), bound)
+
+
+def one_each(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """One row per key, with the least ``value``: however many rows an id has, it counts once.
+
+    Partial minima are taken before rows move, so a task sends one row per key and
+    what is collected is bounded by the number of keys.
+    """
+    return rows.groupBy(*keys).agg(F.min(value).alias(value))

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from gleaner.llm.labelled import _GRAINS, fold
+from gleaner.llm.labelled import _GRAINS, fold, one_each
 from gleaner.llm.text import flat, text_blocks
 
 LENGTH = 256  # bytes of a window
@@ -134,10 +134,10 @@ def fit(taken: np.ndarray, labels: np.ndarray, languages: list[str], rounds: int
     return Network(languages, tables, bias, weight, shift)
 
 
-def learn(docs: DataFrame, held_out: int = 2, parts: int = 4, bound: int = TRAIN_DOCS) -> Network | None:
-    """A network fitted on about ``bound`` documents at most, as many of each language, none of the held-out fold.
+def known_windows(docs: DataFrame, held_out: int = 2, parts: int = 4, bound: int = TRAIN_DOCS) -> DataFrame | None:
+    """``doc_id``, ``lang`` and chosen windows, joined as ``bytes``, of about ``bound`` documents at most; None if no document has a language.
 
-    Only text and non-null ``lang`` of rows with an id are used. None if no document has a language.
+    Of several rows of one id and language that with the least bytes counts. Texts without a byte have no windows and give no row.
     """
     known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (fold(parts) != held_out))
     counts = known.groupBy("lang").agg(F.count("*").alias("docs"))
@@ -160,11 +160,27 @@ def learn(docs: DataFrame, held_out: int = 2, parts: int = 4, bound: int = TRAIN
             opening = np.cumsum(counts) - counts
             chosen = np.concatenate([np.unique(o + np.linspace(0, c - 1, min(c, TRAIN_WINDOWS)).astype(int)) for o, c in zip(opening, counts, strict=True) if c] or [np.zeros(0, int)])
             taken, doc, _ = windows(data, offsets, chosen)
-            language = table.column("lang").combine_chunks().take(pa.array(doc))
-            yield pa.RecordBatch.from_arrays([language, pa.array([t.tobytes() for t in taken], pa.binary())], ["lang", "bytes"])
+            some = np.flatnonzero(counts)
+            edges = np.searchsorted(doc, some), np.searchsorted(doc, some, "right")
+            joined = pa.array([taken[lo:hi].tobytes() for lo, hi in zip(*edges, strict=True)], pa.binary())
+            own = [table.column(name).combine_chunks().take(pa.array(some)) for name in ("doc_id", "lang")]
+            yield pa.RecordBatch.from_arrays([*own, joined], ["doc_id", "lang", "bytes"])
+
+    texts = sample.select(F.col("doc_id").cast("bigint"), F.col("lang").cast("string"), F.col("text").cast("string"))
+    return one_each(texts.mapInArrow(cut, "doc_id bigint, lang string, bytes binary"), ["doc_id", "lang"], "bytes")
 
-    rows = sample.select(F.col("lang").cast("string"), F.col("text").cast("string")).mapInArrow(cut, "lang string, bytes binary").toArrow()
-    pairs = sorted(zip(rows.column("lang").to_pylist(), rows.column("bytes").to_pylist(), strict=True))
+
+def learn(docs: DataFrame, held_out: int = 2, parts: int = 4, bound: int = TRAIN_DOCS) -> Network | None:
+    """A network fitted on about ``bound`` documents at most, one row of each, as many of each language, none of the held-out fold.
+
+    Only text and non-null ``lang`` of rows with an id are used. None if no document has a language, as in an empty table.
+    """
+    known = known_windows(docs, held_out, parts, bound)
+    if known is None:
+        return None
+    rows = known.select("lang", "bytes").toArrow()
+    texts = zip(rows.column("lang").to_pylist(), rows.column("bytes").to_pylist(), strict=True)
+    pairs = sorted((lang, text[at : at + LENGTH]) for lang, text in texts for at in range(0, len(text), LENGTH))
     names = sorted({p[0] for p in pairs})
     if not names:
         return None

@@ -10,7 +10,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from gleaner.llm.labelled import fold, labelled
+from gleaner.llm.labelled import fold, labelled, one_each
 from gleaner.llm.text import SPACE, flat, text_blocks, word_hashes
 
 BUCKETS = 1 << 15  # word vectors; words are hashed to them
@@ -210,11 +210,23 @@ def _pooled_rows(docs: DataFrame, vectors, extra: list[str], schema: T.StructTyp
     return docs.select(*extra, F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
+def known_rows(docs: DataFrame, labels: DataFrame, vectors, bound: int = TRAIN_ROWS) -> DataFrame:
+    """``doc_id``, ``label`` and pooled ``features`` to learn from: one row for each of about ``bound`` ids at most.
+
+    Of several rows of one id that with the least features counts. Rows with a null id take no part.
+    """
+    sample = labelled(labels, fold(5) == 0, bound)
+    known = docs.where("doc_id IS NOT NULL").join(F.broadcast(sample), "doc_id")
+    shape = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("label", T.IntegerType()), T.StructField("features", T.BinaryType())])
+    rows = _pooled_rows(known, vectors, ["doc_id", "label"], shape, lambda features: [pa.array([f.tobytes() for f in features], pa.binary())])
+    return one_each(rows, ["doc_id", "label"], "features")
+
+
 def scored(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_ROWS) -> DataFrame:
     """``doc_id``, ``held_out``, ``score``, ``predicted`` of every document.
 
     Word vectors are gathered from every whole text; the network learns from about ``bound``
-    labelled documents at most, none of them of fold 0 of five (``held_out``). Neither labels nor other columns
+    labelled documents at most, one row of each, none of them of fold 0 of five (``held_out``). Neither labels nor other columns
     but the text enter a score. Null and empty texts have no terms and get the network's
     score for zeros. A null id is in fold 0. Repeated rows are passed on; an empty table gives an empty
     result; with labels of one kind or none the score is their smoothed share.
@@ -223,11 +235,7 @@ def scored(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_ROWS) -> DataF
     own = docs.select(F.col("doc_id").cast("bigint"), "text")
     # Fixed size: BUCKETS x SIZE numbers.
     vectors = context.broadcast(word_vectors(own))
-    sample = labelled(labels, fold(5) == 0, bound)
-    known = own.where("doc_id IS NOT NULL").join(F.broadcast(sample), "doc_id")
-    shape = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("label", T.IntegerType()), T.StructField("features", T.BinaryType())])
-    rows = _pooled_rows(known, vectors, ["doc_id", "label"], shape, lambda features: [pa.array([f.tobytes() for f in features], pa.binary())]).collect()
-    rows.sort(key=lambda r: (r.doc_id, bytes(r.features)))
+    rows = sorted(known_rows(own, labels, vectors, bound).collect(), key=lambda r: r.doc_id)
     features = np.frombuffer(b"".join(r.features for r in rows), np.float32).reshape(-1, FEATURES).astype(float)
     network = fit(features, np.array([r.label for r in rows], float))
 

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from gleaner.llm.labelled import fold, labelled
+from gleaner.llm.labelled import fold, labelled, one_each
 from gleaner.llm.rows import names
 from gleaner.llm.text import SPACE, flat, mix, runs, text_blocks, word_hashes, words
 
@@ -189,11 +189,14 @@ def _split(binned, slope, bend, signs, cuts, ridge, low, high):
     return found
 
 
-def learn(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_ROWS) -> Trees:
-    """Trees fitted on about ``bound`` labelled documents at most; fold 0 of five is never learned from."""
+def known_rows(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_ROWS) -> DataFrame:
+    """``doc_id``, ``label`` and statistics to learn from: one row for each of about ``bound`` ids at most.
+
+    Of several rows of one id that with the least statistics counts. Null ids take no part.
+    """
     sample = labelled(labels, fold(5) == 0, bound)
     # The bound proves the sample small.
-    texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint"), "text").join(F.broadcast(sample), "doc_id")
+    texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).join(F.broadcast(sample), "doc_id")
     names = list(FEATURES)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,7 +205,17 @@ def learn(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_ROWS) -> Trees:
             yield pa.RecordBatch.from_arrays([table.column("doc_id").combine_chunks(), table.column("label").combine_chunks(), *map(pa.array, features.T)], ["doc_id", "label", *names])
 
     schema = ", ".join(["doc_id bigint", "label int", *(f"{n} double" for n in names)])
-    rows = texts.mapInArrow(measure, schema).toPandas().sort_values(["doc_id", *names])
+    rows = texts.mapInArrow(measure, schema).select("doc_id", "label", F.struct(*names).alias("features"))
+    return one_each(rows, ["doc_id", "label"], "features").select("doc_id", "label", "features.*")
+
+
+def learn(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_ROWS) -> Trees:
+    """Trees fitted on about ``bound`` labelled documents at most, one row of each; fold 0 of five is never learned from.
+
+    Without labels of both kinds the trees say the labels' smoothed share; an empty table is one without labels.
+    """
+    names = list(FEATURES)
+    rows = known_rows(docs, labels, bound).toPandas().sort_values("doc_id")
     return fit(rows[names].to_numpy(float), rows["label"].to_numpy(float), list(FEATURES.values()))
 
 

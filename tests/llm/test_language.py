@@ -6,7 +6,7 @@ import zlib
 
 import numpy as np
 
-from gleaner.llm.language import LENGTH, Network, fit, identified, learn, windows
+from gleaner.llm.language import LENGTH, Network, fit, identified, known_windows, learn, windows
 from gleaner.llm.queries import QUERIES
 
 
@@ -57,3 +57,14 @@ def test_edge_rows(spark):
     assert learn(frame.limit(0)) is None
     assert {r.lang_pred for r in identified(frame, None).collect()} == {"und"}
     assert identified(frame.limit(0), network).count() == 0
+
+
+def test_an_id_with_many_rows_counts_once(spark):
+    """A third of all rows on one id: one row of it is learned from, and reaches the driver."""
+    rows = [(k, f"the cat {k} and the dog " * (1 + k % 40), "en" if k % 2 else "fr") for k in range(600)]
+    frame = spark.createDataFrame([*rows, (700, "", "fr"), (701, None, "en")], "doc_id bigint, text string, lang string")
+    hot = frame.unionByName(frame.where("doc_id IN (4, 5)").crossJoin(spark.range(150)).select(*frame.columns)).repartition(8)
+    plain, many = (sorted(map(tuple, known_windows(d).collect())) for d in (frame, hot))
+    assert plain == many
+    assert [r[0] for r in many] == sorted(k for k in range(600) if zlib.crc32(str(k).encode()) % 4 != 2)
+    assert all(len(r[2]) % LENGTH == 0 and len(r[2]) <= 6 * LENGTH for r in many)

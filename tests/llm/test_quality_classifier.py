@@ -7,7 +7,7 @@ import zlib
 
 import numpy as np
 
-from gleaner.llm.quality_classifier import BUCKETS, REACH, SIZE, contexts, fit, index_vectors, pooled, scored, terms, word_vectors
+from gleaner.llm.quality_classifier import BUCKETS, REACH, SIZE, contexts, fit, index_vectors, known_rows, pooled, scored, terms, word_vectors
 from gleaner.llm.queries import QUERIES
 
 
@@ -85,3 +85,15 @@ def test_edge_rows(spark):
     assert scored(frame.limit(0), labels).count() == 0
     data, offsets = flat([b"", b"x", b" "])
     assert (pooled(data, offsets, np.ones((BUCKETS, SIZE), np.float32))[[0, 2]] == 0).all()
+
+
+def test_an_id_with_many_rows_counts_once(spark):
+    """A third of all rows on one id: one row of it is learned from, and reaches the driver."""
+    once = [(k, f"word{k % 7} and, {k} more &&") for k in range(600)]
+    frame = spark.createDataFrame(once, "doc_id bigint, text string")
+    hot = frame.unionByName(frame.where("doc_id = 5").crossJoin(spark.range(300)).select("doc_id", "text")).repartition(8)
+    labels = spark.createDataFrame([(k, k % 2) for k in range(600)], "doc_id bigint, quality int")
+    vectors = spark.sparkContext.broadcast(word_vectors(frame))
+    plain, many = ({tuple(r) for r in known_rows(d, labels, vectors).collect()} for d in (frame, hot))
+    assert plain == many and len(many) == sum(zlib.crc32(str(k).encode()) % 5 != 0 for k in range(600))
+    assert known_rows(hot, labels, vectors).count() == len(many)

@@ -7,7 +7,7 @@ import zlib
 
 import numpy as np
 
-from gleaner.llm.quality_rules import FEATURES, fit, judged, learn, passed
+from gleaner.llm.quality_rules import FEATURES, fit, judged, known_rows, learn, passed
 from gleaner.llm.queries import QUERIES
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -84,3 +84,13 @@ def test_edge_rows(spark):
     assert kept.columns == frame.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["4", "4", "None"]
     assert judged(frame.limit(0), none).count() == 0
     assert len(FEATURES) == 10
+
+
+def test_an_id_with_many_rows_counts_once(spark):
+    """A third of all rows on one id: one row of it is learned from, and reaches the driver."""
+    frame = spark.createDataFrame([(k, f"word{k % 7} and # {k} more\n" * (1 + k % 9)) for k in range(600)], "doc_id bigint, text string")
+    hot = frame.unionByName(frame.where("doc_id = 5").crossJoin(spark.range(300)).select("doc_id", "text")).repartition(8)
+    labels = spark.createDataFrame([(k, k % 2) for k in range(600)], "doc_id bigint, quality int")
+    assert sorted(map(tuple, known_rows(hot, labels).collect())) == sorted(map(tuple, known_rows(frame, labels).collect()))
+    one, other = learn(hot, labels), learn(frame, labels)
+    assert one.base == other.base and (one.value == other.value).all()
