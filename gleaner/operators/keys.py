@@ -1,14 +1,17 @@
-"""Surrogate ids, and multiset and set differences."""
+"""Surrogate ids, equality of keys, and multiset and set differences."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from gleaner.session import stored
 
 # monotonically_increasing_id keeps the place within a partition in the low bits.
 _PLACE_BITS = 33
 
+# Collations that say which texts are one key: byte for byte, or without regard to case.
+EXACT, ANY_CASE = "UTF8_BINARY", "UTF8_LCASE"
+
 
 def reading_order(page: str, place: Column) -> Column:
     """Page and place on it as one number.
@@ -53,6 +56,36 @@ def new_ids(rows: DataFrame, table: DataFrame, key: str, order: list[Column]) ->
     return number_rows(rows, order, key, highest)
 
 
+def collated(rows: DataFrame, on: list[str], equality: str) -> list[Column]:
+    """Key columns of ``rows``, texts under a collation."""
+    texts = {f.name for f in rows.schema if isinstance(f.dataType, T.StringType)}
+    return [F.collate(F.col(c), equality).alias(c) if c in texts else F.col(c) for c in on]
+
+
+def first_spellings(first: DataFrame, on: list[str], order: str, equality: str = EXACT) -> DataFrame:
+    """One row per key under an equality, as spelled where ``order`` is least (then the least spelling).
+
+    ``first`` holds ``on`` and ``order``, each spelling once. Grouping by a collated text is a sort, so
+    rows are to be put together by their exact spelling before, in a hash aggregate: what is sorted
+    here is one row per spelling, however often each occurs.
+    """
+    if equality == EXACT:
+        return first
+    spelled = F.struct(order, *[F.col(c) for c in on])
+    same = [c.alias(f"_same{k}") for k, c in enumerate(collated(first, on, equality))]
+    return first.groupBy(*same).agg(F.min(spelled).alias("_first")).select("_first.*")
+
+
+def without_known(rows: DataFrame, table: DataFrame, on: list[str], equality: str = EXACT) -> DataFrame:
+    """Rows whose key under an equality ``table`` does not have; collated keys are joined by their sort keys."""
+    if equality == EXACT:
+        return rows.join(table.select(*on), on, "left_anti")
+    names = [f"_same{k}" for k in range(len(on))]
+    keyed = rows.select(*rows.columns, *[c.alias(n) for n, c in zip(names, collated(rows, on, equality), strict=True)])
+    known = table.select(*[c.alias(n) for n, c in zip(names, collated(table, on, equality), strict=True)])
+    return keyed.join(known, names, "left_anti").select(*rows.columns)
+
+
 def multiset_difference(new: DataFrame, old: DataFrame) -> DataFrame:
     """Rows of ``new`` left after each row of ``old`` took away one equal row."""
     return new.exceptAll(old.select(*new.columns))

@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from gleaner.operators.keys import ANY_CASE, EXACT, without_known
 from gleaner.sources.store import Commit, Kept
 
 WORDS = 8  # 64-bit words of a block; a key sets one bit in each
@@ -19,11 +20,19 @@ class Membership:
     Keys are dealt into ``buckets`` by a hash. The keys of a bucket lie in files of their own, and set
     bits in the bucket's ``blocks`` blocks of 512 bits. A key whose bits are not all set is surely new. For others
     the bucket's keys are read and compared. A filter too full to tell anything only costs reading: the answer stays exact.
+
+    Under ``ANY_CASE`` keys are hashed folded, so that equal ones set the same bits; those that a perhaps leaves over are
+    compared under that collation. Other collations have no such fold here.
     """
 
     name: str
     buckets: int = 64
     blocks: int = 1 << 14
+    equality: str = EXACT
+
+    def __post_init__(self):
+        if self.equality not in (EXACT, ANY_CASE):
+            raise ValueError(f"no index of keys under {self.equality}")
 
     def tables(self) -> dict[str, Kept]:
         """The two tables as a store keeps them."""
@@ -33,13 +42,17 @@ class Membership:
             f"{self.name}_keys": Kept(keys, "key", lambda: self._bucket()),
         }
 
+    def _hashed(self) -> Column:
+        # Lower case alone keeps two forms of one letter apart where it depends on the place, as for the Greek s.
+        return F.col("key") if self.equality == EXACT else F.upper(F.lower("key"))
+
     def _bucket(self) -> Column:
-        return F.pmod(F.xxhash64("key"), F.lit(self.buckets))
+        return F.pmod(F.xxhash64(self._hashed()), F.lit(self.buckets))
 
     def _probed(self, keys: DataFrame) -> DataFrame:
         """Keys with their slot and the bit they set in each word."""
-        block = F.pmod(F.shiftrightunsigned(F.xxhash64("key"), 24), F.lit(self.blocks))
-        placed = keys.withColumn("slot", self._bucket() * self.blocks + block).withColumn("_bits", F.xxhash64("key", F.lit(1)))
+        block = F.pmod(F.shiftrightunsigned(F.xxhash64(self._hashed()), 24), F.lit(self.blocks))
+        placed = keys.withColumn("slot", self._bucket() * self.blocks + block).withColumn("_bits", F.xxhash64(self._hashed(), F.lit(1)))
         masks = [F.expr(f"shiftleft(1L, CAST(shiftrightunsigned(_bits, {6 * k}) & 63 AS INT))").alias(f"m{k}") for k in range(WORDS)]
         return placed.select(*[F.col(f"`{c}`") for c in keys.columns], "slot", *masks)
 
@@ -56,7 +69,7 @@ class Membership:
         fresh = probed.where("NOT _maybe")
         if parts:
             known = commit.read(f"{self.name}_keys", parts)
-            fresh = fresh.unionByName(maybe.join(known, "key", "left_anti"))
+            fresh = fresh.unionByName(without_known(maybe, known, ["key"], self.equality).select(*fresh.columns))
         return fresh.select(*keys.columns)
 
     def add(self, commit: Commit, keys: DataFrame) -> None:

@@ -13,7 +13,7 @@ from gleaner.functions.rules import wxconfig_contenttype
 from gleaner.operators.accounts import account_articles, account_items, explode_items
 from gleaner.operators.bodies import filename_column, manifest_rows, normal_body
 from gleaner.operators.extract import explode_links
-from gleaner.operators.keys import new_ids
+from gleaner.operators.keys import EXACT, new_ids
 from gleaner.operators.links import insert_account_items, insert_links
 from gleaner.operators.rollup import (
     add_attempts,
@@ -74,12 +74,12 @@ def commit_list_pages(results: DataFrame, listurls: DataFrame) -> DataFrame:
     return update(counted, changes, "luid")
 
 
-def commit_links(results: DataFrame, contenturls: DataFrame, now: int) -> DataFrame:
+def commit_links(results: DataFrame, contenturls: DataFrame, now: int, equality: str = EXACT) -> DataFrame:
     """Articles with the new ones of the links found."""
     links = explode_links(results, "attempt", "luid", "sid").select(
         F.col("attempt").alias("page"), "pos", "luid", "sid", F.col("link").alias("url")
     )
-    return contenturls.unionByName(insert_links(links, contenturls, now))
+    return contenturls.unionByName(insert_links(links, contenturls, now, equality))
 
 
 def commit_clocks(results: DataFrame, sites: DataFrame) -> DataFrame:
@@ -88,17 +88,17 @@ def commit_clocks(results: DataFrame, sites: DataFrame) -> DataFrame:
 
 
 def commit_lists(
-    results: DataFrame, sites: DataFrame, listurls: DataFrame, contenturls: DataFrame, now: int
+    results: DataFrame, sites: DataFrame, listurls: DataFrame, contenturls: DataFrame, now: int, equality: str = EXACT
 ) -> dict[str, DataFrame]:
     """List page results: status and errors, counters, site clocks, new articles.
 
     ``results``: attempt, luid, sid, source, links, duration, joberror,
-    connecterror, parseerror, fetched_at.
+    connecterror, parseerror, fetched_at. ``equality``: the collation under which addresses are one.
     """
     return {
         "listurls": commit_list_pages(results, listurls),
         "sites": commit_clocks(results, sites),
-        "contenturls": commit_links(results, contenturls, now),
+        "contenturls": commit_links(results, contenturls, now, equality),
     }
 
 
@@ -184,12 +184,12 @@ def commit_article_rows(
     return _commit_bodies(read, contenturls, images, ARTICLE_CHANGES, now)
 
 
-def commit_article_tags(results: DataFrame, articletags: DataFrame, contenttags: DataFrame) -> dict[str, DataFrame]:
+def commit_article_tags(results: DataFrame, articletags: DataFrame, contenttags: DataFrame, equality: str = EXACT) -> dict[str, DataFrame]:
     """Tags and their bridge with those of the articles read."""
     narrow = results.select("attempt", "cuid", "tag", "joberror", "connecterror", "parseerror")
     tagged = last_attempts(narrow, "cuid").filter(status_of_result() == DONE).select("cuid", "tag")
-    names = upsert_tags(tagged, articletags)
-    return {"articletags": names, "contenttags": upsert_bridge(tagged, names, contenttags)}
+    names = upsert_tags(tagged, articletags, equality)
+    return {"articletags": names, "contenttags": upsert_bridge(tagged, names, contenttags, equality)}
 
 
 def commit_articles(
@@ -200,16 +200,17 @@ def commit_articles(
     articletags: DataFrame,
     contenttags: DataFrame,
     now: int,
+    equality: str = EXACT,
 ) -> dict[str, DataFrame]:
     """Article results: fields, bodies, images, tags, completeness, site clocks.
 
     ``results``: attempt, cuid, sid, url, source, content, title, author,
     postdate, tag, titleimage, duration, joberror, connecterror, parseerror,
-    fetched_at.
+    fetched_at. ``equality``: the collation under which tag names are one.
     """
     return {
         **commit_article_rows(results, contenturls, images, now),
-        **commit_article_tags(results, articletags, contenttags),
+        **commit_article_tags(results, articletags, contenttags, equality),
         "sites": commit_clocks(results, sites),
     }
 
@@ -293,13 +294,13 @@ def due_lists(pages: DataFrame, sites: DataFrame, now: int) -> DataFrame:
     return pages.join(due, "sid")
 
 
-def commit_account_items(pages: DataFrame, sites: DataFrame, contenturls: DataFrame, now: int) -> DataFrame:
+def commit_account_items(pages: DataFrame, sites: DataFrame, contenturls: DataFrame, now: int, equality: str = EXACT) -> DataFrame:
     """Articles with the new ones that the saved lists of due account sites name."""
     listed = account_items(due_lists(pages, sites, now), F.col("contenttype"))
     items = explode_items(listed, "sid").select(
         F.col("sid").alias("page"), "pos", "sid", "title", F.col("link").alias("url"), "postdate"
     )
-    return contenturls.unionByName(insert_account_items(items, contenturls, now))
+    return contenturls.unionByName(insert_account_items(items, contenturls, now, equality))
 
 
 def commit_account_clocks(pages: DataFrame, sites: DataFrame, now: int) -> DataFrame:
@@ -308,12 +309,12 @@ def commit_account_clocks(pages: DataFrame, sites: DataFrame, now: int) -> DataF
     return update(sites, touched.select("sid", F.lit(now).alias("lastfetch"), F.lit(1).alias("listcreated")), "sid")
 
 
-def commit_account_lists(pages: DataFrame, sites: DataFrame, contenturls: DataFrame, now: int) -> dict[str, DataFrame]:
+def commit_account_lists(pages: DataFrame, sites: DataFrame, contenturls: DataFrame, now: int, equality: str = EXACT) -> dict[str, DataFrame]:
     """Saved list pages of due account sites: new articles, clocks, and the mark that a list was read.
 
     ``pages``: one of ``sid, url, body, connecterror`` per site.
     """
     return {
         "sites": commit_account_clocks(pages, sites, now),
-        "contenturls": commit_account_items(pages, sites, contenturls, now),
+        "contenturls": commit_account_items(pages, sites, contenturls, now, equality),
     }

@@ -5,12 +5,15 @@ They make what the jobs of ``commit`` make of whole tables. Results come as a st
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from gleaner.functions.columns import excerpt, page_arguments, result_status
 from gleaner.operators.accounts import account_items, explode_items
 from gleaner.operators.bodies import manifest_rows
 from gleaner.operators.extract import explode_links
+from gleaner.operators.keys import EXACT, first_spellings
 from gleaner.operators.links import first_places, numbered_articles
 from gleaner.operators.membership import TITLES, URLS, Membership, indexed, store_tables, title_key
 from gleaner.operators.rollup import attempts, latest_fetch
@@ -27,8 +30,12 @@ _COUNTS = T.StructType([T.StructField(name, T.LongType()) for name in ("part", "
 _COUNT_BITS = 8  # ranges whose counts lie in one folder
 
 
-def collection(spark: SparkSession, root: str, bits: int | dict[str, int] = RANGE_BITS, urls: Membership = URLS, titles: Membership = TITLES, **options) -> Store:
-    """A store of the six state tables with their indexes: known addresses, known titles, counts of finished articles."""
+def collection(spark: SparkSession, root: str, bits: int | dict[str, int] = RANGE_BITS, urls: Membership = URLS, titles: Membership = TITLES, equality: str = EXACT, **options) -> Store:
+    """A store of the six state tables with their indexes: known addresses, known titles, counts of finished articles.
+
+    Under ``equality`` (exact, or ``ANY_CASE``) addresses, titles and tag names are told apart; a store keeps to the one it was started with.
+    """
+    urls, titles = replace(urls, equality=equality), replace(titles, equality=equality)
     counts = Kept(_COUNTS, "part", lambda: F.shiftright("part", _COUNT_BITS))
     store = Store(spark, root, {**store_tables(urls, titles), "counts": counts}, bits, **options)
     store.urls, store.titles = urls, titles
@@ -80,6 +87,7 @@ def _insert(commit: Commit, fresh: DataFrame, now: int) -> set[int]:
 def new_links(commit: Commit, links: DataFrame) -> DataFrame:
     """One row per address of ``links`` (``page, pos, url`` and others) that no article has, told by the index."""
     placed, first = first_places(links, ["url"])
+    first = first_spellings(first, ["url"], "_order", commit.store.urls.equality)
     fresh = commit.store.urls.unseen(commit, first.withColumnRenamed("url", "key")).withColumnRenamed("key", "url")
     return placed.join(fresh, ["url", "_order"]).select(*links.columns)
 
@@ -88,6 +96,7 @@ def new_items(commit: Commit, items: DataFrame) -> DataFrame:
     """One row per site and title of ``items`` that no article has, told by the index."""
     keyed = items.withColumn("key", title_key(F.col("sid"), F.col("title")))
     placed, first = first_places(keyed, ["key"])
+    first = first_spellings(first, ["key"], "_order", commit.store.titles.equality)
     fresh = commit.store.titles.unseen(commit, first)
     return placed.join(fresh, ["key", "_order"]).select(*items.columns)
 
@@ -132,8 +141,8 @@ def commit_articles(store: Store, number: int, results: DataFrame, now: int) ->
     _bodies(commit, whole.article_bodies(results, now), whole.ARTICLE_CHANGES, now)
     narrow = results.select("attempt", "cuid", "tag", "joberror", "connecterror", "parseerror")
     tagged = whole.last_attempts(narrow, "cuid").where(whole.status_of_result() == DONE).select("cuid", "tag")
-    commit.append("articletags", unknown_tags(tagged, commit.read("articletags")))
-    commit.append("contenttags", missing_pairs(tagged, commit.read("articletags"), commit.read("contenttags")))
+    commit.append("articletags", unknown_tags(tagged, commit.read("articletags"), store.urls.equality))
+    commit.append("contenttags", missing_pairs(tagged, commit.read("articletags"), commit.read("contenttags"), store.urls.equality))
     _clocks(commit, latest_fetch(results))
     return commit.finish()
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gleaner.operators import links, rollup, select
+from gleaner.operators.keys import ANY_CASE, first_spellings
 from gleaner.sources.tables import conform
 
 ROWS = 60000
@@ -48,6 +49,19 @@ def test_a_hot_link_is_reduced_before_the_shuffle(spark):
     assert fresh.filter("url = 'u1'").first().page == 0
 
 
+def test_a_hot_link_in_any_case_is_reduced_before_it_is_sorted(spark):
+    found = hot(spark, "n").select(
+        F.col("id").alias("page"), F.lit(0).alias("pos"), F.lit(1).alias("luid"), F.lit(1).alias("sid"),
+        F.concat(F.when(F.col("id") % 2 == 0, "u").otherwise("U"), "n").alias("url"),
+    )
+    _, first = links.first_places(found, ["url"])
+    kept = first_spellings(first, ["url"], "_order", ANY_CASE)
+    # Two spellings of the hot one at most reach the collated grouping, of which each task sends one row a key.
+    assert shuffled_rows(kept) <= 2 * (ROWS * 2 // 3 + 20)
+    rows = links.unseen_links(found, conform(spark.range(0).select(), "contenturls"), ["url"], ANY_CASE)
+    assert rows.agg(F.count("*"), F.count_distinct(F.lower("url"))).first() == (ROWS * 2 // 3 + 1,) * 2
+
+
 def test_a_hot_site_is_reduced_before_the_shuffle(spark):
     pages = hot(spark, "sid").select(
         F.col("id").alias("luid"), "sid", F.lit(1).alias("isenable"), F.lit(0).alias("status"), F.lit(0).alias("isfirst")

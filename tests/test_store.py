@@ -8,6 +8,7 @@ import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
+from gleaner.operators import keys
 from gleaner.operators.links import unseen_links
 from gleaner.operators.membership import Membership
 from gleaner.operators.select import visible_articles
@@ -156,6 +157,21 @@ def test_a_full_filter_still_answers_exactly(spark, tmp_path, index):
     assert {r.url for r in got.collect()} == {f"u{k}" for k in range(3001, 3200)}
 
 
+@pytest.mark.parametrize("blocks", [1, 1 << 12])
+def test_the_index_in_any_case(spark, tmp_path, blocks):
+    store = increments.collection(spark, str(tmp_path / "store"), 8, Membership("urls", 2, blocks), SMALL["titles"], keys.ANY_CASE)
+    stored = article_rows(spark, 300)
+    first = increments.start(store, {"contenturls": stored})
+    links = spark.createDataFrame([(k % 7, k, 1, 1, f"{'uU'[k % 2]}{k // 2}") for k in range(560, 660)], "page bigint, pos int, luid bigint, sid bigint, url string")
+    got = increments.new_links(store.begin(first), links)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, unseen_links(links, stored, ["url"], keys.ANY_CASE).collect()))
+    after = increments.commit_links(store, first, links, 5)
+    assert store.read(after, "contenturls").count() == 300 + got.count()
+    assert increments.new_links(store.begin(after), links.withColumn("url", F.upper("url"))).count() == 0
+    with pytest.raises(ValueError):
+        increments.collection(spark, str(tmp_path / "other"), 8, equality="UNICODE_CI")
+
+
 def test_a_page_reads_only_its_ranges(spark, started):
     store, first = started
     assert counted(store, first) == recounted(store, first)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+import string
+
+from pyspark.sql import Column, functions as F
 
 from gleaner.functions import columns, rules, urls
 from gleaner.operators import audit, keys, links, rollup, select, tags
@@ -501,6 +503,49 @@ def new_account_articles(t):
     return added.select("cuid", "sid", "title", "url", "postdate")
 
 
+# Half of the new texts shout, in ASCII letters only; under the equality of any case they meet what is stored all the same.
+SHOUTED = "translate({}, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ')"
+
+
+def _shouted(text: str, which: Column) -> Column:
+    return F.when(which, F.translate(text, string.ascii_lowercase, string.ascii_uppercase)).otherwise(F.col(text))
+
+
+FRESH_ANY_CASE = f"""{HOST_LINKS}, spelled AS (SELECT page, luid, sid, page_url, pos, CASE WHEN pos % 2 = 0 THEN {SHOUTED.format('url')} ELSE url END AS url, url AS stored FROM links),
+  fresh AS (SELECT url, page, pos, luid, sid FROM (SELECT *, row_number() OVER (PARTITION BY lower(url) ORDER BY page, pos DESC) AS rn FROM spelled
+    WHERE lower(url) NOT IN (SELECT lower(url) FROM links WHERE page_url LIKE 'http://%')) WHERE rn = 1)"""
+
+
+def _shouted_links(t):
+    """Links of all pages, every other one in upper case, and as stored articles those of the pages read over http."""
+    found, stored = _host_links(t)
+    return found.withColumn("url", _shouted("url", F.col("pos") % 2 == 0)), stored
+
+
+@query(
+    "j5_new_articles_any_case",
+    f"WITH {FRESH_ANY_CASE} SELECT (SELECT max(page * 1000 + pos) FROM links WHERE page_url LIKE 'http://%') + row_number() OVER (ORDER BY page, pos DESC) AS cuid, luid, sid, url FROM fresh",
+)
+def new_articles_any_case(t):
+    """Article rows for links that no article has in any case, spelled as found first."""
+    found, stored = _shouted_links(t)
+    return links.insert_links(found, stored, NOW, keys.ANY_CASE).select("cuid", "luid", "sid", "url")
+
+
+@query(
+    "j6_new_account_articles_any_case",
+    f"""WITH spelled AS (SELECT page, pos, sid, url, postdate, CASE WHEN page % 2 = 0 THEN lower(title) ELSE title END AS title FROM v_items)
+  SELECT (SELECT max(cuid) FROM v_contenturls) + row_number() OVER (ORDER BY page, pos DESC) AS cuid, sid, title, url, postdate
+  FROM (SELECT *, row_number() OVER (PARTITION BY sid, lower(title) ORDER BY page, pos DESC) AS rn FROM spelled i
+    WHERE NOT EXISTS (SELECT 1 FROM v_contenturls c WHERE c.sid = i.sid AND lower(c.title) = lower(i.title))) WHERE rn = 1""",
+)
+def new_account_articles_any_case(t):
+    """Article rows for account items whose title their site does not have in any case."""
+    title = F.when(F.col("page") % 2 == 0, F.lower("title")).otherwise(F.col("title"))
+    added = links.insert_account_items(t.items.withColumn("title", title), t.contenturls, NOW, keys.ANY_CASE)
+    return added.select("cuid", "sid", "title", "url", "postdate")
+
+
 @query(
     "j7_reconciled_listurls",
     f"""WITH {GENERATED.replace('__WHICH__', 'isweixin = 0 AND listcreated = 0')},
@@ -698,3 +743,39 @@ def bridge_upsert(t):
     tagged = stored(_tagged(t))
     names = tags.upsert_tags(tagged, t.known_tags)
     return tags.upsert_bridge(tagged, names, t.known_bridge)
+
+
+# The same tags, each article's names twice: in lower case before as they are, for two articles in three.
+LOUD_TEXTS = f"SELECT cuid, CASE WHEN cuid % 3 > 0 THEN concat(lower(tag), tag) ELSE tag END AS tag FROM ({TAG_TEXTS})"
+TAGS_ANY_CASE = f"""texts AS ({LOUD_TEXTS}), parts AS (SELECT cuid, string_split(regexp_replace(tag, ',+$', ''), ',') AS names FROM texts),
+  listed AS (SELECT cuid, unnest(range(0, len(names))) AS place, unnest(names) AS tagname FROM parts),
+  named AS (SELECT cuid, tagname, row_number() OVER (PARTITION BY cuid ORDER BY min(place)) - 1 AS pos FROM listed GROUP BY cuid, tagname),
+  known AS (SELECT * FROM v_known_tags),
+  seen AS (SELECT tagname, cuid, pos FROM (SELECT *, row_number() OVER (PARTITION BY lower(tagname) ORDER BY cuid, pos) AS rn FROM named
+    WHERE lower(tagname) NOT IN (SELECT lower(tagname) FROM known)) WHERE rn = 1),
+  alltags AS (SELECT tid, tagname FROM known UNION ALL SELECT (SELECT max(tid) FROM known) + row_number() OVER (ORDER BY cuid, pos), tagname FROM seen)"""
+
+
+def _loud(t):
+    tag = F.when(F.col("cuid") % 3 > 0, F.concat(F.lower("tag"), F.col("tag"))).otherwise(F.col("tag"))
+    return _tagged(t).withColumn("tag", tag)
+
+
+@query("g1_tag_upsert_any_case", f"WITH {TAGS_ANY_CASE} SELECT tid, tagname FROM alltags")
+def tag_upsert_any_case(t):
+    """The tag table with the names it lacked in any case, spelled as they appear first."""
+    return tags.upsert_tags(_loud(t), t.known_tags, keys.ANY_CASE)
+
+
+@query(
+    "g2_bridge_upsert_any_case",
+    f"""WITH {TAGS_ANY_CASE}, old AS (SELECT * FROM v_known_bridge),
+  pairs AS (SELECT cuid, min(tid) AS tid, min(pos) AS pos FROM named n JOIN alltags a ON lower(a.tagname) = lower(n.tagname) GROUP BY cuid, lower(n.tagname))
+  SELECT ctid, tid, cuid FROM old UNION ALL SELECT (SELECT max(ctid) FROM old) + row_number() OVER (ORDER BY cuid, pos), tid, cuid
+  FROM pairs p WHERE NOT EXISTS (SELECT 1 FROM old o WHERE o.cuid = p.cuid AND o.tid = p.tid)""",
+)
+def bridge_upsert_any_case(t):
+    """The article-tag bridge with the pairs it lacked, names compared in any case."""
+    loud = stored(_loud(t))
+    names = tags.upsert_tags(loud, t.known_tags, keys.ANY_CASE)
+    return tags.upsert_bridge(loud, names, t.known_bridge, keys.ANY_CASE)

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from gleaner.operators.keys import ANY_CASE
 from gleaner.operators.membership import Membership
 from gleaner.plans import increments
 from gleaner.plans.commit import status_of_result
 from gleaner.schemas import STATE_TABLES
 from gleaner.session import new_folder
 from gleaner.streaming import streams
-from workload.native import FRESH_LINKS, VISIBLE, _host_links
+from workload.native import FRESH_ANY_CASE, FRESH_LINKS, VISIBLE, _host_links, _shouted_links
 from workload.pages import CONTENT_RULE, LISTED, NEW_IMAGES, _list_results
 from workload.registry import TEXTS, query
 from workload.standins import CLOCK, NOW
@@ -111,6 +112,15 @@ def indexed_links(t):
     return increments.new_links(store.begin(number), found).select("url", "page", "pos", "luid")
 
 
+@query("j5_indexed_links_any_case", f"WITH {FRESH_ANY_CASE} SELECT url, page, pos, luid FROM fresh")
+def indexed_links_any_case(t):
+    """Links that no article has in any case, told by an index of folded addresses."""
+    found, stored = _shouted_links(t)
+    store = increments.collection(t.spark, new_folder(t.spark, "stores"), 20, equality=ANY_CASE, **INDEX)
+    number = increments.start(store, {"contenturls": stored})
+    return increments.new_links(store.begin(number), found).select("url", "page", "pos", "luid")
+
+
 @query("q2_counted_list", f"{LISTED} ORDER BY v.cuid DESC LIMIT 10 OFFSET 20")
 def counted_list(t):
     """The third page of articles of all sites, by the counts of id ranges."""
