@@ -20,8 +20,9 @@ REPORTED = 2000
 SHARDS = 10  # parts of the corpus that are mined apart
 KEY_BITS = 48  # bits of a phrase's key while shards are mined
 MARK_BITS = 27  # bits of the table of locally frequent phrases: 16 MB
-BLOCK = 8 << 20  # bytes of text handled at once
-HELD = 3_000_000  # counts that a mining task keeps before it sends them
+BLOCK = 4 << 20  # bytes of text handled at once, half of it while shards are mined; a block in work takes up to 40 times as much
+HELD = 2_000_000  # counts that a mining task keeps before it sends them
+SENT = 1 << 16  # phrases of a block that leave for Spark at once
 BUCKET_TEXT = 12 << 20  # bytes of text whose phrases meet in one bucket
 SALTS = 64  # parts in which a language's ranking begins
 
@@ -43,10 +44,10 @@ class Words:
         langs = table.column("lang").combine_chunks().dictionary_encode()
         self.langs = langs.dictionary
         self.lang = langs.indices.to_numpy(zero_copy_only=False).astype(np.int64)[doc]
-        breaks = np.concatenate(([0], np.cumsum(_BREAK[self.data])))
+        breaks = np.flatnonzero(_BREAK[self.data])
         # Whether the next word follows in the same piece.
         self.joined = np.zeros(len(self.starts), bool)
-        self.joined[:-1] = (doc[1:] == doc[:-1]) & (breaks[self.starts[1:]] == breaks[self.ends[:-1]])
+        self.joined[:-1] = (doc[1:] == doc[:-1]) & (np.searchsorted(breaks, self.starts[1:]) == np.searchsorted(breaks, self.ends[:-1]))
         own, edges = flat(self.known)
         self.hashes = word_hashes(own, edges[:-1], edges[1:])[self.codes] if len(self.codes) else np.zeros(0, np.uint64)
         own, edges = flat(self.langs.cast(pa.binary()))
@@ -113,13 +114,14 @@ def locally_frequent(texts: DataFrame, buckets: int, support: int = SUPPORT, sha
             return pa.RecordBatch.from_arrays([pa.array(filled, pa.int64()), pa.array([shard] * len(filled), pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "shard", "blob"])
 
         held: list[tuple[np.ndarray, np.ndarray]] = []
-        for table in text_blocks(batches, size=BLOCK):
+        for table in text_blocks(batches, size=BLOCK // 2):
             block, parts = Words(table), []
             at = np.arange(len(block.starts))
             for size in range(1, LONGEST + 1):
                 parts.append(block.keys(size, at))
                 at = block.longer(at, size)
             held.append(_tallied(np.concatenate(parts)))
+            del block, parts, at
             if sum(len(k) for k, _ in held) > HELD:
                 held = [summed(*(np.concatenate(part) for part in zip(*held, strict=True)))]
             if len(held[0][0]) > HELD:
@@ -204,10 +206,12 @@ def phrase_counts(docs: DataFrame, support: int = SUPPORT, shards: int = SHARDS)
             every = np.bincount(block.lang, minlength=len(block.langs))
             parts = [(0, np.arange(len(every)), pa.array([b""] * len(every), pa.large_binary()), every), *_counts(block, shared.value)]
             for size, lang, phrases, counts in parts:
-                yield pa.RecordBatch.from_arrays(
-                    [block.langs.take(pa.array(lang)), pa.array(np.full(len(counts), size), pa.int32()), phrases.cast(pa.binary()).cast(pa.string()), pa.array(counts, pa.int64())],
-                    ["lang", "size", "phrase", "f"],
-                )
+                for first in range(0, len(counts), SENT):
+                    some = slice(first, first + SENT)
+                    yield pa.RecordBatch.from_arrays(
+                        [block.langs.take(pa.array(lang[some])), pa.array(np.full(len(counts[some]), size), pa.int32()), phrases[some].cast(pa.binary()).cast(pa.string()), pa.array(counts[some], pa.int64())],
+                        ["lang", "size", "phrase", "f"],
+                    )
 
     rows = texts.mapInArrow(count, "lang string, size int, phrase string, f bigint")
     return stored(rows.groupBy("lang", "size", "phrase").agg(F.sum("f").alias("f")).where((F.col("size") == 0) | (F.col("f") >= support)))

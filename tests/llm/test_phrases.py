@@ -7,6 +7,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from gleaner.llm import phrases
@@ -90,3 +91,19 @@ def test_scores_beyond_64_bits(spark, monkeypatch):
     monkeypatch.setattr(phrases, "phrase_counts", lambda *_: frame)
     (row,) = collocations(frame).collect()
     assert row.score == 2000000 * (6 * 10**15 + 7) // (16 * 10**15 + 1)
+
+
+def test_a_block_is_counted_within_bounded_memory():
+    import tracemalloc
+
+    words = np.random.default_rng(3).integers(0, 4000, 400_000)
+    text = " ".join(f"word{w}" for w in words)
+    table = pa.table({"text": [text], "lang": ["en"]})
+    marks = np.full(1 << phrases.MARK_BITS - 3, 255, np.uint8)
+    tracemalloc.start()
+    try:
+        rows = sum(len(counts) for _, _, _, counts in phrases._counts(phrases.Words(table), marks))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert rows > 1_000_000 and peak < 45 * len(text)
