@@ -37,3 +37,20 @@ def test_written_standins_have_more_files_as_they_grow(spark, monkeypatch):
         assert len(rows.inputFiles()) > standins.FILES
     finally:
         spark._standins = (FOLDER, {})
+
+
+def test_arriving_pages_come_in_more_files_as_they_grow(spark, monkeypatch):
+    from workload import stores
+
+    seen = []
+    monkeypatch.setattr(stores, "PAGE_ROWS", 5)
+    monkeypatch.setattr(stores, "_arriving", lambda t, rows, files=4, per_batch=2: seen.append((files, per_batch)) or rows)
+    def stop(*_):
+        raise InterruptedError
+
+    monkeypatch.setattr(stores.streams, "article_batches", stop)
+    monkeypatch.setattr(stores.increments, "start", lambda *a: 0)
+    with pytest.raises(InterruptedError):
+        contract.queries()["st1_failed_pages"](spark, FOLDER)
+    ((files, per_batch),) = seen
+    assert files == 2 * per_batch and files > 4
