@@ -190,3 +190,44 @@ def test_pages_are_taken_as_last_fetched(spark):
     assert sorted(map(tuple, dryrun.latest_fetches(wanted, pages, 5).collect())) == [("a", "new", ""), ("b", "y", "")]
     assert sorted(map(tuple, dryrun.latest_fetches(wanted, pages).collect())) == [("a", "newer", ""), ("b", "y", ""), ("c", "late", "")]
     assert sorted(r.body for r in dryrun.latest_fetches(wanted, pages.drop("fetched_at")).collect())[-1] == "y"
+
+
+def shuffled_bytes(frame) -> int:
+    """Bytes that a query puts through shuffles, before compression, from its executed plan."""
+    frame.write.format("noop").mode("overwrite").save()
+    frame.collect()
+    total, todo = 0, [frame._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec" or name.endswith("QueryStageExec"):
+            todo.append(node.executedPlan() if name == "AdaptiveSparkPlanExec" else node.plan())
+            continue
+        if name == "ShuffleExchangeExec":
+            total += node.metrics().apply("dataSize").value()
+        children = node.children()
+        todo.extend(children.apply(place) for place in range(children.size()))
+    return total
+
+
+def test_bodies_of_articles_that_stay_are_not_moved(spark):
+    texts = spark.range(20).select(F.col("id").alias("body_id"), F.rpad(F.col("id").cast("string"), 10_000, "x").alias("contenttext"))
+    narrow = spark.range(2000).select((F.col("id") + 1).alias("cuid"), (F.col("id") % 20).alias("body_id"), F.lit("T").alias("title"))
+    articles = conform(narrow.join(texts, "body_id").drop("body_id"), "contenturls")
+    page = '<div id="js_content"><p>new</p></div><h2 id="activity-name">N</h2>'
+    pages = spark.createDataFrame(
+        [(k, k, 1, f"http://h/{k}", page, 1, "", "", 50) for k in (1, 2, 2000, 9999)],
+        "attempt bigint, cuid bigint, sid bigint, url string, body string, duration int, joberror string, connecterror string, fetched_at int",
+    )
+    sites = state(spark, "sites", [(1, 10)], "sid bigint, lastfetch int")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        after = commit.commit_account_articles(pages, sites, articles, empty(spark, "images"), NOW)["contenturls"]
+        assert after.columns == articles.columns and after.dtypes == articles.dtypes
+        # 20 MB of bodies lie in the articles, 0.2 MB in the texts they come from.
+        assert 200_000 < shuffled_bytes(after) < 3_000_000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    rows = by_key(after, "cuid")
+    assert len(rows) == 2000 and {key for key, row in rows.items() if row.contenttext == "new"} == {1, 2, 2000}
+    assert (rows[2].title, rows[2].lastupdate, len(rows[3].contenttext), rows[3].lastupdate) == ("T", 50, 10_000, 0)
