@@ -237,3 +237,44 @@ def test_parsed_rows_do_not_stay(spark, started, tmp_path):
     for table, frame in expect.items():
         assert sorted(map(tuple, store.read(second, table).collect())) == sorted(map(tuple, frame.select(*SCHEMAS[table].names).collect()))
     assert counted(store, second) == recounted(store, second)
+
+
+def test_flags_are_set_without_the_bodies(spark, started):
+    store, first = started
+    text = {r.cuid: r.contenttext for r in store.read(first, "contenturls").collect()}
+    second = increments.commit_images(store, first, image_results(spark, [5, 6, 9, 10, 63, 64]))
+    for bucket, folders in store.manifest(second)["contenturls"].items():
+        # What was written holds no body, and the files with bodies are those of the first snapshot.
+        assert folders[: 1] == store.manifest(first)["contenturls"][bucket]
+        for folder in folders[1:]:
+            assert not module.WIDE & set(spark.read.parquet(folder).columns)
+    assert len(store.manifest(second)["contenturls"][0]) == 2
+    # Marks are put in place of marks, rows added later stay beside them, and new bodies make the bucket whole again.
+    third = increments.commit_images(store, second, image_results(spark, [7, 8, 199, 200]))
+    fourth = increments.commit_lists(store, third, list_results(spark, ["new", "newer"]), 70)
+    fifth = increments.commit_images(store, fourth, image_results(spark, [197, 198]))
+    rows = {r.cuid: r for r in store.read(fifth, "contenturls").collect()}
+    assert {key: row.contenttext for key, row in rows.items()} == {**text, 101: "", 102: ""}
+    flagged = {key for key, row in rows.items() if row.imagefinish == 1}
+    assert flagged == {r.cuid for r in store.read(first, "contenturls").where("imagefinish = 1").collect()} | {3, 4, 5, 32, 99, 100}
+    assert counted(store, fifth) == recounted(store, fifth)
+    columns = "attempt bigint, cuid bigint, source string, contenttext string, status int"
+    commit = store.begin(fifth)
+    commit.update("contenturls", spark.createDataFrame([(1, 4, "s", "a new body", 2)], columns), "attempt")
+    sixth = commit.finish()
+    rows = {r.cuid: r for r in store.read(sixth, "contenturls").collect()}
+    assert (rows[4].contenttext, rows[4].imagefinish, rows[5].contenttext, rows[5].imagefinish) == ("a new body", 1, "body5", 1)
+    assert len(rows) == 102 and len(store.manifest(sixth)["contenturls"][0]) == 1
+    last = compact(store, sixth, "contenturls")
+    assert not any(module._MARKS in f for folders in store.manifest(last)["contenturls"].values() for f in folders)
+    assert sorted(map(tuple, store.read(last, "contenturls").collect())) == sorted(map(tuple, store.read(sixth, "contenturls").collect()))
+
+
+def test_many_changes_are_one_job(spark, tmp_path, monkeypatch):
+    store = increments.collection(spark, str(tmp_path / "store"), 4, **SMALL, batch=7)
+    first = increments.start(store, tables(spark))
+    writes = []
+    write = Commit._write
+    monkeypatch.setattr(Commit, "_write", lambda self, rows, table: writes.append(table) or write(self, rows, table))
+    increments.commit_images(store, first, image_results(spark, range(1, 150)))
+    assert writes.count("images") == writes.count("contenturls") == 1
