@@ -193,6 +193,20 @@ def test_counts_follow_every_commit(spark, started):
     assert counted(store, third) == recounted(store, third)
 
 
+def test_tables_with_bodies_are_packed_tightly(spark, tmp_path):
+    from pyarrow import parquet
+
+    from gleaner.sources.tables import write_table
+
+    write_table(article_rows(spark), str(tmp_path / "snapshot"), "contenturls")
+    store = Store(spark, str(tmp_path / "store"), bits=4)
+    store.start({"contenturls": article_rows(spark)})
+    for folder in ("snapshot", "store/files"):
+        files = [*(tmp_path / folder).rglob("*.parquet")]
+        found = [parquet.ParquetFile(f).metadata for f in files]
+        assert files and {m.row_group(0).column(k).compression for m in found for k in range(m.num_columns)} == {"ZSTD"}
+
+
 def test_the_second_of_two_commits_fails(spark, started):
     store, first = started
     one, two = store.begin(first), store.begin(first)
