@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import json
+import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from gleaner.operators import extract
 from gleaner.plans import commit, dryrun, queries
+from gleaner.session import stored
 from gleaner.sources.tables import conform
 from tests.test_operators import empty, state
 
@@ -231,3 +234,21 @@ def test_bodies_of_articles_that_stay_are_not_moved(spark):
     rows = by_key(after, "cuid")
     assert len(rows) == 2000 and {key for key, row in rows.items() if row.contenttext == "new"} == {1, 2, 2000}
     assert (rows[2].title, rows[2].lastupdate, len(rows[3].contenttext), rows[3].lastupdate) == ("T", 50, 10_000, 0)
+
+
+@pytest.mark.parametrize("most", [commit.SENT_KEYS, 3])
+def test_no_stored_body_moves_when_spark_sends_no_table_by_itself(spark, tmp_path, monkeypatch, most):
+    monkeypatch.setattr(commit, "SENT_KEYS", most)
+    table = stored(spark.range(1, 200).select(F.col("id").alias("cuid"), (F.col("id") % 40).alias("text"), F.concat(F.lit("body"), F.col("id") % 40).alias("contenttext")))
+    changes = stored(spark.createDataFrame([(k, f"new{k}") for k in (3, 4, 77, 500)], "cuid bigint, contenttext string"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        after = commit.update_bodies(table, changes, changes, "cuid")
+        plan = after._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+        moved = [given for given in re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*?)\]\n", plan) if "contenttext#" in given and "cuid#" in given]
+        rows = {r.cuid: (r.text, r.contenttext) for r in after.collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert rows == {k: (k % 40, f"new{k}" if k in (3, 4, 77) else f"body{k % 40}") for k in range(1, 200)}
+    # The bodies that come new meet the kept columns of their rows; the stored ones stay, unless there are too many keys to send.
+    assert len(moved) == (1 if most > 3 else 2)
